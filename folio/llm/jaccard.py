@@ -16,7 +16,8 @@ in two levels:
   shingle in the windows of their differences, the least frequent ones first; those are the next regions. Members of one component are not
   compared again, and a pivot leaves its region, until no large region is left.
 
-Candidates are verified on the whole sets. A pivot's set travels once for up to `fan` partners (salted), so a pivot with a third of all
+Candidates are verified on the whole sets, each document with its first candidate first; pairs that these links join already are not held against
+each other. A pivot's set travels once for up to `fan` partners (salted), so a pivot with a third of all
 rows as partners is dealt to many tasks. Shingles are compared by 64-bit hashes. The frequent shingles are counted over all documents; the
 `max_hot` most frequent ones are broadcast (8 bytes each): the order only moves work, any order gives the same links.
 
@@ -182,12 +183,14 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
     spark = df.sparkSession
     common.ship(spark)
     docs = df.select("doc_id", common.text_or_empty().alias("text"))
-    profile = common.keep(docs.mapInArrow(_profiles(width, percent), "doc_id long, n long, k1 long, k2 long, head array<long>"), "jaccard-profiles")
+    heads = common.keep(docs.mapInArrow(_profiles(width, percent), "doc_id long, n long, k1 long, k2 long, head array<long>"), "jaccard-heads")
+    profile = common.keep(heads.drop("head"), "jaccard-profiles")
     named = profile.where("n > 0 AND doc_id IS NOT NULL")
     classes = common.keep(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
 
-    counts = named.select(F.explode("head").alias("s")).groupBy("s").count().where(F.col("count") >= hot_from)
+    counts = heads.where("n > 0 AND doc_id IS NOT NULL").select(F.explode("head").alias("s")).groupBy("s").count().where(F.col("count") >= hot_from)
     hot = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(max_hot).collect()], dtype=np.int64))
+    common.discard(heads)
     hot_shared = spark.sparkContext.broadcast(hot)
     prefixes = docs.mapInArrow(_prefixes(width, percent, hot_shared), "id long, prefix array<long>")
     entries = prefixes.join(classes.select("id", "n"), "id").dropDuplicates(["id", "n"]).select("id", "n", F.posexplode("prefix").alias("p", "s"))
@@ -197,12 +200,22 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         dealt = rows.repartition("s").sortWithinPartitions("s", "id")
         return common.keep(dealt.mapInArrow(_region_pairs(percent, small), "s long, a long, b long, big boolean"), "jaccard-regions")
 
+    def linked(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+        """links and those of pairs that say something new: first each document with its first candidate, then what is still apart."""
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        new = _edges(common.keep(verified(first, texts, width, percent).drop("apart"), "jaccard-checked"))
+        links = links.unionByName(new) if links else new
+        roots = common.keep(components(links), "jaccard-roots")
+        side = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"r{c}"))
+        apart = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        return links.unionByName(_edges(common.keep(verified(apart.select("a", "b"), texts, width, percent).drop("apart"), "jaccard-checked")))
+
     found = met(regions)
     pairs = common.keep(found.where("NOT big").select("a", "b").distinct(), "jaccard-pairs")
     big = found.where("big").select("s", F.col("a").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(big.select("id")).distinct()
     texts = common.keep(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
-    links = _edges(common.keep(verified(pairs, texts, width, percent).drop("apart"), "jaccard-checked"))
+    links = linked(pairs, None)
 
     while not big.isEmpty():
         pivots = big.groupBy("s").agg(F.min("id").alias("a"))
@@ -222,7 +235,7 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         rows = ranked.where(F.col("k").isNotNull() & (F.col("p") <= reach))
         found = met(rows.select(F.xxhash64("a", "token").alias("s"), F.col("b").alias("id"), "n", "dn", F.col("p").cast("long").alias("p"), "comp"))
         pairs = common.keep(found.where("NOT big").select("a", "b").distinct(), "jaccard-pairs")
-        links = links.unionByName(_edges(common.keep(verified(pairs, texts, width, percent).drop("apart"), "jaccard-checked")))
+        links = linked(pairs, links)
         big = found.where("big").select("s", F.col("a").alias("id"))
 
     roots = components(links)

@@ -12,8 +12,9 @@ the input; matches never cross documents.
   the anchor, read backwards, and each takes its longest left extension that another member shares. Where that differs among members the
   interval is left-diverse: a maximal repeat. A member whose left and right extension reach `length` together repeats there, whichever member it
   shares them with, so all occurrences are found and not neighbours alone.
-* An anchor string with more than `cap` classes (a passage in very many documents) would be one large task. Its windows are
-  counted by hash instead, merged before the shuffle. That is as exact, and nothing is cut off.
+* Where more than `tree` classes share an anchor string, the tree could be a chain as long as the context; their windows are counted by hash in the
+  task. More than `cap` classes (a passage in very many documents; cap times 800 bytes is what a task holds) are not gathered
+  at all: their windows are rows, counted after a map-side merge. Either is as exact, and nothing is cut off.
 
 Anchors and windows are compared by 64-bit hashes of bytes within one 64-bit anchor hash.
 
@@ -149,7 +150,7 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((h, first))
 
 
-def repeated(left: list[bytes], right: list[bytes], length: int) -> dict[int, list[tuple[int, int]]]:
+def by_tree(left: list[bytes], right: list[bytes], length: int) -> dict[int, list[tuple[int, int]]]:
     """For each member: runs of window starts, relative to its anchor, that another member shares."""
     order = sorted(range(len(right)), key=right.__getitem__)
     lcp = [_common(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
@@ -164,9 +165,32 @@ def repeated(left: list[bytes], right: list[bytes], length: int) -> dict[int, li
     return out
 
 
-def _groups(length: int):
+def counted(left: list[bytes], right: list[bytes], length: int) -> dict[int, list[tuple[int, int]]]:
+    """As by_tree(), by the hashes of all windows: for groups whose interval tree could be a long chain."""
+    owners, starts, hashes = [], [], []
+    for x, (a, b) in enumerate(zip(left, right, strict=True)):
+        c = textnum.sums(np.frombuffer(a[::-1] + b, np.uint8))
+        at = np.arange(len(a) + len(b) - length + 1)
+        hashes.append(textnum.span_hash(c, at, at + length))
+        starts.append(at - len(a))
+        owners.append(np.full(len(at), x))
+    owner, start, h = (np.concatenate(x) for x in (owners, starts, hashes))
+    key = textnum.mix(h ^ textnum.mix(start.astype(np.int64).view(U) + U(1)))  # the place is part of the key
+    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+    out: dict[int, list[tuple[int, int]]] = {}
+    for k in np.flatnonzero(n[back] > 1).tolist():
+        runs = out.setdefault(int(owner[k]), [])
+        if runs and runs[-1][1] == start[k] - 1:
+            runs[-1] = (runs[-1][0], int(start[k]))
+        else:
+            runs.append((int(start[k]), int(start[k])))
+    return out
+
+
+def _groups(length: int, tree: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(g, rh, left, right):
+            repeated = by_tree if len(rh) <= tree else counted
             return [(g, rh[x], lo, hi) for x, runs in repeated(left, right, length).items() for lo, hi in runs]
 
         now, rh, left, right = None, [], [], []
@@ -228,7 +252,7 @@ def _finish(length: int):
     return run
 
 
-def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int = 1024) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int = 16384, tree: int = 512) -> DataFrame:
     """(id, th, a, b): runs of starts of repeated windows; docs: (id, th, text)."""
     anchors = common.keep(docs.mapInArrow(_anchors(length, gram), "id long, th long, p long, back int, ahead int, g long, rh long"), "suffix-anchors")
     classes = anchors.groupBy("g", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "p", "back", "ahead")).alias("one"))
@@ -239,7 +263,7 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int =
     spoken = common.keep(
         docs.join(ask, ["id", "th"]).dropDuplicates(["id", "th"]).select("text", "xs").mapInArrow(_contexts_with_size(length), "g long, rh long, left binary, right binary, large boolean"), "suffix-contexts"
     )
-    found = spoken.where("NOT large").drop("large").repartition("g").sortWithinPartitions("g").mapInArrow(_groups(length), "g long, rh long, lo long, hi long")
+    found = spoken.where("NOT large").drop("large").repartition("g").sortWithinPartitions("g").mapInArrow(_groups(length, tree), "g long, rh long, lo long, hi long")
     rows = spoken.where("large").drop("large").mapInArrow(_windows(length), "g long, rh long, at long, h long")
     twice = rows.groupBy("g", "at", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     found = found.unionByName(rows.join(twice, ["g", "at", "h"]).select("g", "rh", F.col("at").alias("lo"), F.col("at").alias("hi")))
@@ -261,12 +285,12 @@ def _contexts_with_size(length: int):
     return run
 
 
-def remove_repeats(df: DataFrame, length: int = 400, gram: int = 64, cap: int = 1024) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 400, gram: int = 64, cap: int = 16384, tree: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of df."""
     common.ship(df.sparkSession)
     text = common.text_or_empty()
     docs = df.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    runs = repeated_runs(docs, length, gram, cap).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the text
+    runs = repeated_runs(docs, length, gram, cap, tree).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the text
     out = docs.join(runs, ["id", "th"], "left").select("id", "text", "runs").mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
