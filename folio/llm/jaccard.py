@@ -16,7 +16,8 @@ in two levels:
   shingle in the windows of their differences, the least frequent ones first; those are the next regions. Members of one component are not
   compared again, and a pivot leaves its region, until no large region is left.
 
-Candidates are verified on the whole sets, each document with its first candidate first; pairs that these links join already are not held against
+Each class has a parity sketch (bit h is how many of its shingles fall to h, modulo 2). Sketches differ in no more bits than the sets differ in
+shingles, so pairs whose sketches differ too much are dropped, exactly. The other candidates are verified on the whole sets, each document with its first candidate first; pairs that these links join already are not held against
 each other. A pivot's set travels once for up to `fan` partners (salted), so a pivot with a third of all
 rows as partners is dealt to many tasks. Shingles are compared by 64-bit hashes. The frequent shingles are counted over all documents; the
 `max_hot` most frequent ones are broadcast (8 bytes each): the order only moves work, any order gives the same links.
@@ -38,6 +39,7 @@ from . import common, textnum
 from .components import components
 
 U = np.uint64
+SKETCH = 10  # bits of a parity sketch, as a power of two
 
 
 def needed(a, b, percent: int):
@@ -53,16 +55,19 @@ def window(n, percent: int):
 def _profiles(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, k1, k2, heads = [], [], [], []
+            n, k1, k2, heads, bits = [], [], [], [], []
             for s in textnum.shingle_sets(b.column(1), width):
                 u = s.view(U)
                 n.append(len(s))
                 k1.append(int(textnum.mix(u + U(0x51)).sum(dtype=U).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce(textnum.mix(u * U(0x2545F4914F6CDD1D) + U(0x77))).view(np.int64)) if len(s) else 0)
+                odd = np.bincount((textnum.mix(u ^ U(0x5DEECE66D)) >> U(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) & 1
+                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
                 heads.append(s[: 5 * window(len(s), percent) // 4 + 1])
             lengths = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             head = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), head], ["doc_id", "n", "k1", "k2", "head"])
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) << (SKETCH - 6)), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), head, sketch], ["doc_id", "n", "k1", "k2", "head", "sketch"])
 
     return run
 
@@ -183,7 +188,7 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
     spark = df.sparkSession
     common.ship(spark)
     docs = df.select("doc_id", common.text_or_empty().alias("text"))
-    heads = common.keep(docs.mapInArrow(_profiles(width, percent), "doc_id long, n long, k1 long, k2 long, head array<long>"), "jaccard-heads")
+    heads = common.keep(docs.mapInArrow(_profiles(width, percent), "doc_id long, n long, k1 long, k2 long, head array<long>, sketch array<long>"), "jaccard-heads")
     profile = common.keep(heads.drop("head"), "jaccard-profiles")
     named = profile.where("n > 0 AND doc_id IS NOT NULL")
     classes = common.keep(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
@@ -200,6 +205,17 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         dealt = rows.repartition("s").sortWithinPartitions("s", "id")
         return common.keep(dealt.mapInArrow(_region_pairs(percent, small), "s long, a long, b long, big boolean"), "jaccard-regions")
 
+    sketches = classes.join(profile, ["n", "k1", "k2"]).where("id = doc_id").select("id", "n", "sketch").dropDuplicates(["id"])
+    sketches = common.keep(sketches, "jaccard-sketches")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """pairs without those whose parity sketches differ in more bits than linked sets may differ in shingles."""
+        side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        size = F.col("na") + F.col("nb")
+        most = size - 2 * F.ceil(percent * size / (100 + percent))
+        odd = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(odd <= most).select("a", "b")
+
     def linked(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
         """links and those of pairs that say something new: first each document with its first candidate, then what is still apart."""
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -211,7 +227,7 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         return links.unionByName(_edges(common.keep(verified(apart.select("a", "b"), texts, width, percent).drop("apart"), "jaccard-checked")))
 
     found = met(regions)
-    pairs = common.keep(found.where("NOT big").select("a", "b").distinct(), "jaccard-pairs")
+    pairs = common.keep(plausible(found.where("NOT big").select("a", "b").distinct()), "jaccard-pairs")
     big = found.where("big").select("s", F.col("a").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(big.select("id")).distinct()
     texts = common.keep(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
@@ -234,13 +250,13 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         reach = F.floor((100 - percent) * (F.col("n") + 100 * F.col("n") / percent) / (100 + percent))  # the most a partner can differ by
         rows = ranked.where(F.col("k").isNotNull() & (F.col("p") <= reach))
         found = met(rows.select(F.xxhash64("a", "token").alias("s"), F.col("b").alias("id"), "n", "dn", F.col("p").cast("long").alias("p"), "comp"))
-        pairs = common.keep(found.where("NOT big").select("a", "b").distinct(), "jaccard-pairs")
+        pairs = common.keep(plausible(found.where("NOT big").select("a", "b").distinct()), "jaccard-pairs")
         links = linked(pairs, links)
         big = found.where("big").select("s", F.col("a").alias("id"))
 
     roots = components(links)
     rooted = classes.join(roots, F.col("id") == F.col("u"), "left").select("n", "k1", "k2", F.coalesce("root", "id").alias("root"))
-    return profile.drop("head").join(rooted, ["n", "k1", "k2"], "left").select(
+    return profile.drop("sketch").join(rooted, ["n", "k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
     )
 
