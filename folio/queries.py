@@ -1,4 +1,274 @@
-"""Queries over the test tables, and the same in DuckDB SQL."""
+"""Queries over the test tables, and the same in DuckDB SQL.
+
+The tables hold plain text, so some inputs are stand-ins, made alike on both sides: cells from ', ', fonts from line lengths, pages of 40
+lines, relationship chains from orders, image sizes and probes from part keys.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import layout, lines, ordered, search
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+LINES = """l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l1 AS (SELECT doc_id, unnest(range(len(a))) AS line_ix, unnest(a) AS text FROM l0),
+l AS (SELECT doc_id, line_ix // 40 AS page_ix, line_ix, text, 9 + length(text) % 12 AS font FROM l1 WHERE NOT regexp_full_match(text, '[\\x09-\\x0D\\x1C-\\x20\\p{Z}]*'))"""
+CELLS = "list_filter(list_transform(string_split_regex(replace(text, ', ', '  '), ' {2,}|\\t'), lambda x: regexp_replace(x, '^[\\x09-\\x0D\\x1C-\\x20\\p{Z}]+|[\\x09-\\x0D\\x1C-\\x20\\p{Z}]+$', '', 'g')), lambda x: x <> '')"
+ESCAPED = "replace(replace(replace(replace(replace(regexp_replace({0}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def own_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.text_lines(table(spark, sf, "documents"))
+
+
+def cell_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return own_lines(spark, sf).withColumn("text", F.replace("text", F.lit(", "), F.lit("  ")))
+
+
+def own_pages(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 40).cast("int"))).alias("page_ix"))
+
+
+RUNS = f"""{LINES}, c AS (SELECT doc_id, page_ix, line_ix, font, len({CELLS}) AS n_cells FROM l),
+n AS (SELECT *, CASE WHEN lag(n_cells) OVER w = n_cells THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY doc_id, page_ix ORDER BY line_ix)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_ix ORDER BY line_ix ROWS UNBOUNDED PRECEDING) AS run FROM n),
+q AS (SELECT *, CASE WHEN n_cells >= 2 AND count(*) OVER (PARTITION BY doc_id, page_ix, run) >= 2 THEN run END AS run_id FROM r),
+m AS (SELECT doc_id, quantile_disc(font, 0.5 ORDER BY font DESC) AS median FROM l GROUP BY doc_id)"""
+STYLE = "CASE WHEN 10 * font >= 18 * median THEN 'TITLE' WHEN 10 * font >= 14 * median THEN 'HEADING1' WHEN 10 * font >= 12 * median THEN 'HEADING2' ELSE 'NORMAL' END"
+
+
+@query(f"""WITH {RUNS}, b AS (SELECT doc_id, page_ix, coalesce('t' || run_id, 'p' || line_ix) AS block, max(run_id) AS run_id, count(*) AS n_lines,
+max(CASE WHEN run_id IS NULL THEN {STYLE} END) AS style FROM q JOIN m USING (doc_id) GROUP BY 1, 2, 3)
+SELECT doc_id, CASE WHEN run_id IS NULL THEN 'PARAGRAPH' ELSE 'TABLE' END AS kind, coalesce(style, '-') AS style, count(*) AS n_blocks, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM b GROUP BY 1, 2, 3""")
+def document_structure(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = lines.page_blocks(cell_lines(spark, sf).withColumn("font_pt", F.col("font_pt")).join(own_lines(spark, sf).select("doc_id", "line_ix", F.col("font_pt").alias("f")), ["doc_id", "line_ix"]).withColumn("font_pt", F.col("f")).drop("f"), table(spark, sf, "documents"))
+    return blocks.groupBy("doc_id", "kind", F.coalesce("style", F.lit("-")).alias("style")).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_lines").alias("n_lines"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_ix, len({CELLS}) AS n_cells, array_to_string({CELLS}, '|') AS cells FROM l")
+def cell_split(spark: SparkSession, sf: str) -> DataFrame:
+    c = T.split_cells(F.col("text"))
+    return cell_lines(spark, sf).select("doc_id", F.col("line_ix").cast("long").alias("line_ix"), F.size(c).cast("long").alias("n_cells"), F.array_join(c, "|").alias("cells"))
+
+
+@query(f"WITH {RUNS} SELECT doc_id, page_ix, min(line_ix) AS first_line, count(*) AS n_lines, max(n_cells) AS n_cells FROM q WHERE run_id IS NOT NULL GROUP BY doc_id, page_ix, run_id")
+def table_runs(spark: SparkSession, sf: str) -> DataFrame:
+    r = lines.table_runs(cell_lines(spark, sf)).where("run_id IS NOT NULL").groupBy("doc_id", "page_ix", "run_id")
+    return r.agg(F.min("line_ix").cast("long").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.max("n_cells").cast("long").alias("n_cells")).select("doc_id", F.col("page_ix").cast("long").alias("page_ix"), "first_line", "n_lines", "n_cells")
+
+
+@query(f"WITH {RUNS} SELECT d.doc_id, CAST(coalesce(median, 11) AS DOUBLE) AS median FROM documents d LEFT JOIN m USING (doc_id)")
+def upper_median_font(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.median_fonts(own_lines(spark, sf), table(spark, sf, "documents")).withColumn("median", F.col("median").cast("double"))
+
+
+@query(f"WITH {RUNS} SELECT doc_id, {STYLE} AS style, count(*) AS n_lines FROM l JOIN m USING (doc_id) GROUP BY 1, 2")
+def heading_classify(spark: SparkSession, sf: str) -> DataFrame:
+    own = own_lines(spark, sf)
+    m, f = F.col("median"), F.col("font_pt")
+    style = F.when(10 * f >= 18 * m, "TITLE").when(10 * f >= 14 * m, "HEADING1").when(10 * f >= 12 * m, "HEADING2").otherwise("NORMAL")
+    return own.join(lines.median_fonts(own, table(spark, sf, "documents")), "doc_id").groupBy("doc_id", style.alias("style")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+PAGES = f"{LINES}, p AS (SELECT doc_id, unnest(range((len(a) - 1) // 40 + 1)) AS page_ix FROM l0)"
+
+
+@query(f"""WITH {PAGES}, u AS (SELECT doc_id, page_ix, sum(length(text)) AS n FROM l GROUP BY 1, 2)
+SELECT p.doc_id, p.page_ix, CAST(coalesce(n, 0) AS BIGINT) AS n_units, coalesce(n, 0) < 20 AS scanned FROM p LEFT JOIN u ON p.doc_id = u.doc_id AND p.page_ix = u.page_ix""")
+def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.scanned_pages(own_lines(spark, sf), own_pages(spark, sf)).withColumn("page_ix", F.col("page_ix").cast("long"))
+
+
+@query(f"WITH {PAGES}, x AS (SELECT *, lead(page_ix) OVER (PARTITION BY doc_id ORDER BY page_ix) AS after FROM p) SELECT doc_id, page_ix, 'NORMAL' AS style FROM x WHERE after IS NOT NULL")
+def page_separators(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.page_separators(own_pages(spark, sf)).withColumn("page_ix", F.col("page_ix").cast("long"))
+
+
+@query(f"""SELECT 'documents' AS origin, doc_id AS id, length({ESCAPED.format('text')}) AS n_chars, md5({ESCAPED.format('text')}) AS digest FROM documents
+UNION ALL SELECT 'pages', page_id, length({ESCAPED.format('html')}), md5({ESCAPED.format('html')}) FROM pages""")
+def xml_escape(spark: SparkSession, sf: str) -> DataFrame:
+    def part(name: str, key: str, column: str) -> DataFrame:
+        e = T.escape_xml(F.col(column))
+        return table(spark, sf, name).select(F.lit(name).alias("origin"), F.col(key).alias("id"), F.length(e).cast("long").alias("n_chars"), F.md5(e).alias("digest"))
+
+    return part("documents", "doc_id", "text").unionByName(part("pages", "page_id", "html"))
+
+
+HALF_UP = "CAST((2 * {n} * {p} + {u}) // (2 * CAST({u} AS BIGINT)) AS BIGINT)"
+
+
+def _shown(u: int, name: str, digits: int) -> str:
+    p = 10**digits
+    t = HALF_UP.format(n="n", p=p, u=u)
+    return f"CAST({t} // {p} AS VARCHAR) || '.' || lpad(CAST({t} % {p} AS VARCHAR), {digits}, '0') || ' {name}'"
+
+
+@query(f"""WITH s AS (SELECT doc_id, k, CAST(n_chars AS BIGINT) * k AS n FROM documents, (SELECT unnest([1, 37, 1024, 1048576]) AS k))
+SELECT doc_id, k, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN {_shown(1024, 'KB', 1)} WHEN n < 1073741824 THEN {_shown(1 << 20, 'MB', 1)} ELSE {_shown(1 << 30, 'GB', 2)} END AS shown FROM s""")
+def size_format(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.explode(F.array(*map(F.lit, (1, 37, 1024, 1048576)))).alias("k"))
+    return d.select("doc_id", "k", T.format_size(F.col("n_chars") * F.col("k")).alias("shown"))
+
+
+@query("""WITH s AS (SELECT p_partkey, CAST(CASE p_partkey % 8 WHEN 0 THEN p_size || ' KB' WHEN 1 THEN p_size || '.5 mb' WHEN 2 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN p_size || 'B' WHEN 4 THEN ' ' || p_size || ' gB '
+WHEN 5 THEN '.' || p_size WHEN 6 THEN p_size || '.' ELSE '-' || p_size END AS VARCHAR) AS given FROM part),
+m AS (SELECT *, regexp_extract(upper(trim(given)), '^([0-9]+(?:\\.[0-9]+)?)\\s*(B|KB|MB|GB)?$', 1) AS v, regexp_extract(upper(trim(given)), '^([0-9]+(?:\\.[0-9]+)?)\\s*(B|KB|MB|GB)?$', 2) AS u FROM s)
+SELECT p_partkey, given, CAST(trunc(TRY_CAST(v AS DOUBLE) * CASE u WHEN 'B' THEN 1 WHEN 'MB' THEN 1048576 WHEN 'GB' THEN 1073741824 ELSE 1024 END) AS BIGINT) AS bytes FROM m""")
+def size_parse(spark: SparkSession, sf: str) -> DataFrame:
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 8
+    forms = (F.concat(s, F.lit(" KB")), F.concat(s, F.lit(".5 mb")), s, F.concat(s, F.lit("B")), F.concat(F.lit(" "), s, F.lit(" gB ")), F.concat(F.lit("."), s), F.concat(s, F.lit(".")))
+    given = F.concat(F.lit("-"), s)
+    for i, form in reversed(list(enumerate(forms))):
+        given = F.when(k == i, form).otherwise(given)
+    return table(spark, sf, "part").select("p_partkey", given.alias("given")).withColumn("bytes", T.parse_size(F.col("given")))
+
+
+@query("""WITH s AS (SELECT doc_id, (['Title', 'Heading1', 'Heading2', 'Heading3', 'Heading5', 'heading1', 'Quote'])[1 + doc_id % 7] AS given FROM documents),
+t AS (SELECT *, CASE given WHEN 'Title' THEN 'TITLE' WHEN 'Heading1' THEN 'HEADING1' WHEN 'Heading2' THEN 'HEADING2' WHEN 'Heading3' THEN 'HEADING3' WHEN 'Heading5' THEN 'HEADING3' ELSE 'NORMAL' END AS style FROM s)
+SELECT doc_id, style, CASE style WHEN 'TITLE' THEN 'Title' WHEN 'HEADING1' THEN 'Heading1' WHEN 'HEADING2' THEN 'Heading2' WHEN 'HEADING3' THEN 'Heading3' END AS style_id,
+CAST(CASE style WHEN 'TITLE' THEN 24 WHEN 'HEADING1' THEN 19 WHEN 'HEADING2' THEN 15 WHEN 'HEADING3' THEN 12.5 ELSE 11 END AS DOUBLE) AS points FROM t""")
+def style_map(spark: SparkSession, sf: str) -> DataFrame:
+    ids = F.array(*map(F.lit, ("Title", "Heading1", "Heading2", "Heading3", "Heading5", "heading1", "Quote")))
+    d = table(spark, sf, "documents").select("doc_id", T.style_of_id(F.element_at(ids, (F.col("doc_id") % 7 + 1).cast("int"))).alias("style"))
+    return d.withColumn("style_id", T.style_id(F.col("style"))).withColumn("points", T.style_points(F.col("style")))
+
+
+@query("""WITH s AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'media/' || page_id || '.png' WHEN 2 THEN '/word/media/' || page_id || '.png' ELSE '../media/' || page_id || '.png' END AS target FROM pages),
+t AS (SELECT page_id, regexp_replace(target, '^/', '') AS x FROM s)
+SELECT page_id, CASE WHEN starts_with(x, 'word/media/') THEN x WHEN starts_with(x, 'media/') THEN 'word/' || x ELSE 'word/media/' || string_split(x, '/')[-1] END AS path FROM t""")
+def media_path(spark: SparkSession, sf: str) -> DataFrame:
+    k, name = F.col("page_id") % 4, F.concat(F.col("page_id").cast("string"), F.lit(".png"))
+    target = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("media/"), name)).when(k == 2, F.concat(F.lit("/word/media/"), name)).otherwise(F.concat(F.lit("../media/"), name))
+    return table(spark, sf, "pages").select("page_id", T.media_path(target).alias("path"))
+
+
+@query("""SELECT c_mktsegment, l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
+def lookup_chain(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return found.groupBy("c_mktsegment", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
+@query("SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def optional_part(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    return found.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2)
+SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY o) AS kinds FROM f GROUP BY 1""")
+def distinct_ext(spark: SparkSession, sf: str) -> DataFrame:
+    first = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("o"))
+    return first.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), ordered.joined(F.col("o"), F.col("event_type"), ",").alias("kinds"))
+
+
+SPANS = "c AS (SELECT conv_id AS table_id, turn // 4 AS row_ix, turn % 4 AS cell_ix, 1 + turn % 3 AS grid_span FROM conversations), k AS (SELECT table_id, max(n) AS n_columns FROM (SELECT table_id, row_ix, sum(grid_span) AS n FROM c GROUP BY 1, 2) GROUP BY 1)"
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("turn")
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("table_id"), F.floor(t / 4).alias("row_ix"), (t % 4).alias("cell_ix"), (1 + t % 3).alias("grid_span"))
+
+
+@query(f"WITH {SPANS} SELECT table_id, CAST(n_columns AS BIGINT) AS n_columns FROM k")
+def table_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.column_counts(_cells(spark, sf))
+
+
+@query(f"""WITH {SPANS}, b AS (SELECT *, coalesce(sum(grid_span) OVER (PARTITION BY table_id, row_ix ORDER BY cell_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT table_id, row_ix, cell_ix, round(48 + before * (499.0::DOUBLE / n_columns), 6) AS x, CAST(floor(greatest(10, (499.0::DOUBLE / n_columns) * grid_span - 8)) AS BIGINT) AS width FROM b JOIN k USING (table_id)""")
+def table_x_cursor(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.cell_places(_cells(spark, sf)).select("table_id", "row_ix", "cell_ix", F.round("x", 6).alias("x"), F.col("width").cast("long").alias("width"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+f AS (SELECT doc_id, 0 AS ord, 1 AS page_no, 48::DOUBLE AS y, 12.5 * greatest(1, ceil(length(a[1]) / 90.0)) AS h, CASE WHEN trim(a[1]) = '' THEN 0 ELSE 8 END AS g, a FROM a
+UNION ALL SELECT doc_id, ord + 1, page_no + CASE WHEN yn + hn > 794 THEN 1 ELSE 0 END, CASE WHEN yn + hn > 794 THEN 48::DOUBLE ELSE yn END, hn, CASE WHEN trim(a[ord + 2]) = '' THEN 0 ELSE 8 END, a
+FROM (SELECT *, CASE WHEN ord = 0 AND 48 + h > 794 THEN 48 + h + g ELSE y + h + g END AS yn, 12.5 * greatest(1, ceil(length(a[ord + 2]) / 90.0)) AS hn FROM f WHERE ord + 1 < len(a)))
+SELECT doc_id, CAST(ord AS BIGINT) AS ord, CAST(page_no + CASE WHEN over THEN 1 ELSE 0 END AS BIGINT) AS page_no, y FROM (SELECT doc_id, ord, page_no, y, max(CASE WHEN ord = 0 AND 48 + h > 794 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) = 1 AS over FROM f)""")
+def paginate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "text"))
+    height = 12.5 * F.greatest(F.lit(1), F.ceil(F.length("text") / 90.0))
+    blocks = rows.select("doc_id", "ord", height.cast("double").alias("height"), F.when(F.trim("text") == "", 0.0).otherwise(8.0).alias("gap"))
+    return layout.paginate(blocks).select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("page_no").cast("long").alias("page_no"), "y")
+
+
+IMAGES = "i AS (SELECT p_partkey, CAST(1 + p_partkey * 37 % 40000 AS BIGINT) AS w, CAST(1 + p_partkey * 101 % 9000 AS BIGINT) AS h FROM part)"
+
+
+def _images(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", (1 + k * 37 % 40000).cast("int").alias("width"), (1 + k * 101 % 9000).cast("int").alias("height"))
+
+
+@query(f"""WITH {IMAGES}, s AS (SELECT *, least(1.0::DOUBLE, 14400.0::DOUBLE / greatest(w * 0.75::DOUBLE, h * 0.75::DOUBLE)) AS f FROM i)
+SELECT p_partkey, CAST(floor(greatest(w * 0.75::DOUBLE * f, 1) + 0.5) AS BIGINT) AS page_w, CAST(floor(greatest(h * 0.75::DOUBLE * f, 1) + 0.5) AS BIGINT) AS page_h FROM s""")
+def img_page_size(spark: SparkSession, sf: str) -> DataFrame:
+    w, h = layout.image_page(F.col("width").cast("double"), F.col("height").cast("double"))
+    return _images(spark, sf).select("p_partkey", w.alias("page_w"), h.alias("page_h"))
+
+
+@query(f"""WITH {IMAGES}, r AS (SELECT *, greatest(1, 12582912 // (w * 4)) AS t FROM i), e AS (SELECT *, unnest(range(0, h, t)) AS top FROM r)
+SELECT p_partkey, CAST(top AS BIGINT) AS top, CAST(least(t, h - top) AS BIGINT) AS n_rows, w * h * 4 <= 33554432 AS direct FROM e""")
+def tile_plan(spark: SparkSession, sf: str) -> DataFrame:
+    direct = layout.decodes_directly(F.col("width"), F.col("height"), 128)
+    return layout.tiles(_images(spark, sf)).select("p_partkey", F.col("top").cast("long").alias("top"), F.col("rows").cast("long").alias("n_rows"), direct.alias("direct"))
+
+
+@query(f"""WITH {IMAGES}, p AS (SELECT CAST(1 << k AS BIGINT) AS s FROM (SELECT unnest(range(0, 31)) AS k))
+SELECT p_partkey, (SELECT min(s) FROM p WHERE (w // 2) // s < 499) AS decode, (SELECT min(s) FROM p WHERE w // (2 * s) < 200) AS thumb FROM i""")
+def sample_size(spark: SparkSession, sf: str) -> DataFrame:
+    return _images(spark, sf).select("p_partkey", layout.sample_size(F.col("width"), F.lit(499)).alias("decode"), layout.thumbnail_sample(F.col("width")).alias("thumb"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS item_id, scale_step, quality, (p_partkey * 7919 % 5000000 + 2000) * (quality + 3) // (100 * (scale_step + 1)) AS size_bytes
+FROM part, (SELECT unnest(range(0, 13)) AS scale_step), (SELECT unnest(range(2, 98)) AS quality)),
+x AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY size_bytes > 20000, CASE WHEN size_bytes <= 20000 THEN scale_step ELSE size_bytes END, CASE WHEN size_bytes <= 20000 THEN -quality ELSE scale_step END, quality) AS k FROM p)
+SELECT item_id, scale_step, quality, size_bytes, size_bytes <= 20000 AS reached FROM x WHERE k = 1""")
+def quality_search(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(search.IMAGE_STEPS).cast("long"))).alias("scale_step"))
+    p = p.withColumn("quality", F.explode(F.sequence(F.lit(search.LOW).cast("long"), F.lit(search.HIGH).cast("long"))))
+    size = F.expr("(item_id * 7919 % 5000000 + 2000) * (quality + 3) div (100 * (scale_step + 1))")
+    return search.best_quality(p.withColumn("size_bytes", size), 20000)
+
+
+@query("""WITH a AS (SELECT p_partkey AS doc_id, step, (p_partkey * 7919 % 900000 + 1000) // (step * step) AS size_bytes FROM part, (SELECT unnest(range(1, 12)) AS step)),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size_bytes > 20000, CASE WHEN size_bytes <= 20000 THEN step ELSE -step END) AS k FROM a)
+SELECT doc_id, step, size_bytes, size_bytes <= 20000 AS reached FROM x WHERE k = 1""")
+def pdf_downscale_pick(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(search.DOCUMENT_STEPS).cast("long"))).alias("step"))
+    return search.first_fit(a.withColumn("size_bytes", F.expr("(doc_id * 7919 % 900000 + 1000) div (step * step)")), 20000)
+
+
+@query("""WITH s AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS p, count(*) OVER (PARTITION BY n_regionkey) - 1 AS last FROM nation),
+u AS (SELECT *, CASE WHEN p = 2 AND last >= 2 THEN 1 WHEN p = 1 AND last >= 2 THEN 2 ELSE p END AS a FROM s),
+d AS (SELECT *, CASE WHEN a = 0 AND last >= 1 THEN 1 WHEN a = 1 AND last >= 1 THEN 0 ELSE a END AS b FROM u)
+SELECT n_regionkey, n_name, CAST(CASE WHEN b > 3 THEN b - 1 ELSE b END AS INTEGER) AS position FROM d WHERE b <> 3""")
+def reorder_swap(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "nation").select("n_regionkey", "n_name", (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")) - 1).alias("position"))
+    return ordered.remove_at(ordered.move(ordered.move(s, ["n_regionkey"], 2, True), ["n_regionkey"], 0, False), 3)
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN ' ' ELSE role END AS author, text FROM conversations),
+x AS (SELECT conv_id, turn, '<w:p><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">' || {ESCAPED.format("CASE WHEN author IS NULL OR trim(author) = '' THEN 'Unknown' ELSE author END")} || ': </w:t></w:r><w:r><w:t xml:space="preserve">' || {ESCAPED.format("coalesce(text, '')")} || '</w:t></w:r></w:p>' AS v FROM c)
+SELECT conv_id, count(*) AS n, md5(string_agg(v, '' ORDER BY turn, v)) AS digest FROM x GROUP BY 1""")
+def comment_section(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").select("conv_id", "turn", T.comment_xml(F.when(F.col("turn") % 5 == 4, " ").otherwise(F.col("role")), F.coalesce("text", F.lit(""))).alias("v"))
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.md5(ordered.joined(F.col("turn"), F.col("v"))).alias("digest"))

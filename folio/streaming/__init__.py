@@ -1,0 +1 @@
+"""Watching folders for new documents (an extension: batch is all that is needed)."""
