@@ -16,8 +16,8 @@ in two levels:
   shingle in the windows of their differences, the least frequent ones first; those are the next regions. Members of one component are not
   compared again, and a pivot leaves its region, until no large region is left.
 
-Each class has a parity sketch (bit h is how many of its shingles fall to h, modulo 2). Sketches differ in no more bits than the sets differ in
-shingles, so pairs whose sketches differ too much are dropped, exactly. The other candidates are verified on the whole sets, each document with its first candidate first; pairs that these links join already are not held against
+Each class has a parity sketch (bit h is how many of its shingles fall to h, modulo 2), which grows with the set; of two sketches the longer is
+folded to the length of the other. Sketches differ in no more bits than the sets differ in shingles, so pairs whose sketches differ too much are dropped, exactly. The other candidates are verified on the whole sets, each document with its first candidate first; pairs that these links join already are not held against
 each other. A pivot's set travels once for up to `fan` partners (salted), so a pivot with a third of all
 rows as partners is dealt to many tasks. Shingles are compared by 64-bit hashes. The frequent shingles are counted over all documents; the
 `max_hot` most frequent ones are broadcast (8 bytes each): the order only moves work, any order gives the same links.
@@ -32,14 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, textnum
 from .components import components
 
 U = np.uint64
-SKETCH = 10  # bits of a parity sketch, as a power of two
+SKETCH = 10  # least bits of a parity sketch, as a power of two; a larger set has at least half as many bits as shingles
+WANTED = 18  # 64-bit words of the filter on texts to verify, as a power of two
 
 
 def needed(a, b, percent: int):
@@ -61,12 +62,14 @@ def _profiles(width: int, percent: int):
                 n.append(len(s))
                 k1.append(int(textnum.mix(u + U(0x51)).sum(dtype=U).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce(textnum.mix(u * U(0x2545F4914F6CDD1D) + U(0x77))).view(np.int64)) if len(s) else 0)
-                odd = np.bincount((textnum.mix(u ^ U(0x5DEECE66D)) >> U(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) & 1
+                size = 1 << max(SKETCH, (len(s) - 1).bit_length() - 1)
+                odd = np.bincount((textnum.mix(u ^ U(0x5DEECE66D)) & U(size - 1)).astype(np.int64), minlength=size) & 1
                 bits.append(np.packbits(odd.astype(bool)).view(np.int64))
                 heads.append(s[: 5 * window(len(s), percent) // 4 + 1])
             lengths = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             head = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)])))
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) << (SKETCH - 6)), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)])))
+            lengths = np.concatenate([[0], np.cumsum([len(x) for x in bits])]).astype(np.int32)
+            sketch = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), head, sketch], ["doc_id", "n", "k1", "k2", "head", "sketch"])
 
     return run
@@ -179,6 +182,22 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, diffe
     return dealt_out.mapInArrow(_against_pivot(width, percent, differences), "a long, b long, n long, dn long, linked boolean, apart array<long>")
 
 
+def _folded(sketch: str, other: str) -> Column:
+    """sketch, with as many words as other where it has more: positions are low bits of a hash, so its runs of that length add up modulo 2."""
+    s, n = F.col(sketch), F.size(other)
+    runs = F.sequence(F.lit(0), (F.size(s) / n).cast("int") - 1)
+    none = F.array_repeat(F.lit(0).cast("long"), n)
+    return F.when(F.size(s) > n, F.aggregate(runs, none, lambda t, k: F.zip_with(t, F.slice(s, k * n + 1, n), lambda x, y: x.bitwiseXOR(y)))).otherwise(s)
+
+
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose id is not in wanted, by a bitmap of hashes that is broadcast: 1 << WANTED rows at most, at any size."""
+    h = F.xxhash64("id")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
+    bitmap = wanted.groupBy(F.pmod(h, F.lit(1 << WANTED)).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    return rows.join(F.broadcast(bitmap), (F.pmod(h, F.lit(1 << WANTED)) == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0), "left_semi")
+
+
 def _edges(checked: DataFrame) -> DataFrame:
     return checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -213,7 +232,7 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         size = F.col("na") + F.col("nb")
         most = size - 2 * F.ceil(percent * size / (100 + percent))
-        odd = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        odd = F.aggregate(F.zip_with(_folded("sa", "sb"), _folded("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         return pairs.join(side("a"), "a").join(side("b"), "b").where(odd <= most).select("a", "b")
 
     def linked(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -230,7 +249,8 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
     pairs = common.keep(plausible(found.where("NOT big").select("a", "b").distinct()), "jaccard-pairs")
     big = found.where("big").select("s", F.col("a").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(big.select("id")).distinct()
-    texts = common.keep(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
+    wanted = common.keep(wanted, "jaccard-wanted")
+    texts = common.keep(_maybe(docs.withColumnRenamed("doc_id", "id"), wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
     links = linked(pairs, None)
 
     while not big.isEmpty():
