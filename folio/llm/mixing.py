@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS = (5, 2, 1)
+BROADCAST_SOURCES = 10000  # up to so many sources their table is broadcast, so that a hot one is not dealt to one task
 
 
 def water_fill(sizes: list[int], weights: list[int], share: Fraction, most: int) -> list[Fraction]:
@@ -109,7 +110,7 @@ def _mixed(df: DataFrame, carry: list, seed: int, n_shards: int, share: str, mos
     source = spark.createDataFrame(facts, "__source string, __source_size long, __target double, __blocks long")
 
     def dealt(x: DataFrame) -> DataFrame:
-        return x.join(source, "__source").withColumn("__block", F.pmod("__hash", "__blocks"))
+        return x.join(F.broadcast(source) if len(facts) <= BROADCAST_SOURCES else source, "__source").withColumn("__block", F.pmod("__hash", "__blocks"))
 
     blocks: dict[str, dict[int, int]] = {}
     for r in dealt(light).groupBy("__source", "__block").agg(F.sum("__size").alias("words")).collect():
