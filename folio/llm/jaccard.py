@@ -14,7 +14,8 @@ in two levels:
   difference from a pivot keeps it, and linked sets differ by at most (100 - percent) / (100 + percent) * (|A| + |B|) shingles. So members
   that are close to the pivot link by the triangle inequality alone (a star around the closest one), and any other linked pair shares a
   shingle in the windows of their differences, the least frequent ones first; those are the next regions. Members of one component are not
-  compared again, and a pivot leaves its region, until no large region is left.
+  compared again, and a pivot leaves its region, until no large region is left. Each round takes twice as
+  large regions for small ones, up to 1 << GROWS times `small`, as a pivot that is far from all others shortens a region by one only.
 
 Each class has a parity sketch (bit h is how many of its shingles fall to h, modulo 2), which grows with the set; of two sketches the longer is
 folded to the length of the other. Sketches differ in no more bits than the sets differ in shingles, so pairs whose sketches differ too much are dropped, exactly. The other candidates are verified on the whole sets, each document with its first candidate first; pairs that these links join already are not held against
@@ -40,6 +41,7 @@ from .components import components
 
 U = np.uint64
 SKETCH = 10  # least bits of a parity sketch, as a power of two; a larger set has at least half as many bits as shingles
+GROWS = 3  # later rounds compare regions of up to twice, four times, ... small classes in the task, at most small << GROWS
 WANTED = 18  # 64-bit words of the filter on texts to verify, as a power of two
 
 
@@ -202,6 +204,10 @@ def _edges(checked: DataFrame) -> DataFrame:
     return checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    return roots.select("u", F.col("root").alias("v"))
+
+
 def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_from: int = 128, max_hot: int = 1 << 18, small: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of df."""
     spark = df.sparkSession
@@ -220,7 +226,7 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
     entries = prefixes.join(classes.select("id", "n"), "id").dropDuplicates(["id", "n"]).select("id", "n", F.posexplode("prefix").alias("p", "s"))
     regions = entries.select("s", "id", "n", F.col("n").alias("dn"), F.col("p").cast("long").alias("p"), F.col("id").alias("comp"))
 
-    def met(rows: DataFrame) -> DataFrame:
+    def met(rows: DataFrame, small: int = small) -> DataFrame:
         dealt = rows.repartition("s").sortWithinPartitions("s", "id")
         return common.keep(dealt.mapInArrow(_region_pairs(percent, small), "s long, a long, b long, big boolean"), "jaccard-regions")
 
@@ -236,14 +242,19 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         return pairs.join(side("a"), "a").join(side("b"), "b").where(odd <= most).select("a", "b")
 
     def linked(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
-        """links and those of pairs that say something new: first each document with its first candidate, then what is still apart."""
+        """Edges with the components of links and pairs: first each document with its first candidate, then what is still apart.
+
+        The links so far come back as stars, a written table, so that plans do not grow with the rounds.
+        """
+        if links and pairs.isEmpty():
+            return links
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         new = _edges(common.keep(verified(first, texts, width, percent).drop("apart"), "jaccard-checked"))
         links = links.unionByName(new) if links else new
-        roots = common.keep(components(links), "jaccard-roots")
+        roots = components(links)
         side = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"r{c}"))
         apart = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        return links.unionByName(_edges(common.keep(verified(apart.select("a", "b"), texts, width, percent).drop("apart"), "jaccard-checked")))
+        return _stars(roots).unionByName(_edges(common.keep(verified(apart.select("a", "b"), texts, width, percent).drop("apart"), "jaccard-checked")))
 
     found = met(regions)
     pairs = common.keep(plausible(found.where("NOT big").select("a", "b").distinct()), "jaccard-pairs")
@@ -253,7 +264,9 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
     texts = common.keep(_maybe(docs.withColumnRenamed("doc_id", "id"), wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
     links = linked(pairs, None)
 
+    level = 0
     while not big.isEmpty():
+        level = min(level + 1, GROWS)
         pivots = big.groupBy("s").agg(F.min("id").alias("a"))
         members = big.join(pivots, "s").where("id <> a").select("a", F.col("id").alias("b")).distinct()
         held = common.keep(verified(members, texts, width, percent, differences=True), "jaccard-differences")
@@ -262,6 +275,7 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         sure = held.join(best, "a").where((score + F.col("score") <= 0) & (F.col("b") != F.col("least"))).select(F.col("least").alias("u"), F.col("b").alias("v"))
         links = links.unionByName(_edges(held)).unionByName(sure)
         roots = components(links)
+        links = _stars(roots)
         state = held.join(roots, F.col("b") == F.col("u"), "left").select("a", "b", "n", "dn", F.coalesce("root", "b").alias("comp"), "apart")
         several = state.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("a")
         tokens = common.keep(state.join(several, "a", "left_semi").withColumn("token", F.explode("apart")).drop("apart"), "jaccard-tokens")
@@ -269,7 +283,7 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         ranked = tokens.join(often, ["a", "token"], "left").withColumn("p", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("k", F.lit(1)), "token")) - 1)
         reach = F.floor((100 - percent) * (F.col("n") + 100 * F.col("n") / percent) / (100 + percent))  # the most a partner can differ by
         rows = ranked.where(F.col("k").isNotNull() & (F.col("p") <= reach))
-        found = met(rows.select(F.xxhash64("a", "token").alias("s"), F.col("b").alias("id"), "n", "dn", F.col("p").cast("long").alias("p"), "comp"))
+        found = met(rows.select(F.xxhash64("a", "token").alias("s"), F.col("b").alias("id"), "n", "dn", F.col("p").cast("long").alias("p"), "comp"), small << level)
         pairs = common.keep(plausible(found.where("NOT big").select("a", "b").distinct()), "jaccard-pairs")
         links = linked(pairs, links)
         big = found.where("big").select("s", F.col("a").alias("id"))
