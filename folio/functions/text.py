@@ -56,7 +56,7 @@ def escape_xml(c: Column) -> Column:
 def media_path(c: Column) -> Column:
     """The archive path of a relationship's target."""
     s = F.regexp_replace(c, "^/", "")
-    return F.when(s.startswith("word/media/"), s).when(s.startswith("media/"), F.concat(F.lit("word/"), s)).otherwise(F.concat(F.lit("word/media/"), F.substring_index(s, "/", -1)))
+    return F.when(s.startswith("media/"), F.concat(F.lit("word/"), s)).otherwise(F.concat(F.lit("word/media/"), F.substring_index(s, "/", -1)))
 
 
 def split_cells(c: Column) -> Column:
@@ -111,9 +111,9 @@ def style_points(c: Column) -> Column:
 
 
 def emu_size(width: Column, height: Column) -> tuple[Column, Column]:
-    """Drawing size of a pixel size: 9525 a pixel, at most 5486400 wide."""
+    """Drawing size of a pixel size: 9525 a pixel, at most 5486400 wide; the height times the ratio (a double), truncated."""
     w, h = width * 9525, height * 9525
-    return F.least(w, F.lit(5486400)).cast("long"), F.when(w > 5486400, F.floor(h * 5486400.0 / w)).otherwise(h).cast("long")
+    return F.least(w, F.lit(5486400)).cast("long"), F.when(w > 5486400, F.floor(h * (F.lit(5486400.0) / w))).otherwise(h).cast("long")
 
 
 def run_xml(run: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import layout, lines, ordered, search
+from .sources import docx, docx_writer
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -152,7 +153,7 @@ def style_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'media/' || page_id || '.png' WHEN 2 THEN '/word/media/' || page_id || '.png' ELSE '../media/' || page_id || '.png' END AS target FROM pages),
 t AS (SELECT page_id, regexp_replace(target, '^/', '') AS x FROM s)
-SELECT page_id, CASE WHEN starts_with(x, 'word/media/') THEN x WHEN starts_with(x, 'media/') THEN 'word/' || x ELSE 'word/media/' || string_split(x, '/')[-1] END AS path FROM t""")
+SELECT page_id, CASE WHEN starts_with(x, 'media/') THEN 'word/' || x ELSE 'word/media/' || string_split(x, '/')[-1] END AS path FROM t""")
 def media_path(spark: SparkSession, sf: str) -> DataFrame:
     k, name = F.col("page_id") % 4, F.concat(F.col("page_id").cast("string"), F.lit(".png"))
     target = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("media/"), name)).when(k == 2, F.concat(F.lit("/word/media/"), name)).otherwise(F.concat(F.lit("../media/"), name))
@@ -272,3 +273,56 @@ SELECT conv_id, count(*) AS n, md5(string_agg(v, '' ORDER BY turn, v)) AS digest
 def comment_section(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", "turn", T.comment_xml(F.when(F.col("turn") % 5 == 4, " ").otherwise(F.col("role")), F.coalesce("text", F.lit(""))).alias("v"))
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.md5(ordered.joined(F.col("turn"), F.col("v"))).alias("digest"))
+
+
+TURNS = """t AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS k, CAST(count(*) OVER (PARTITION BY conv_id) AS INTEGER) AS n,
+replace(replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS clean FROM conversations)"""
+
+
+def conversation_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A document for each conversation: a paragraph for each turn, then a table of roles and texts."""
+    k = F.col("k")
+    t = table(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    t = t.select(F.col("conv_id").cast("string").alias("path"), "role", "text", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("k"))
+
+    def runs(text, bold):
+        off = F.lit(False)
+        names = ("italic", "underline", "strikethrough", "is_insertion", "is_deletion")
+        return F.array(F.struct(text.alias("text"), bold.alias("bold"), *(off.alias(x) for x in names), F.lit(None).cast("string").alias("color_hex")))
+
+    block, style = F.lit("block").alias("entity"), F.element_at(F.array(*(F.lit(x) for x in T.POINTS)), k % 5 + 1)
+    own = t.select("path", block, k.cast("long").alias("id"), k.alias("ord"), F.lit("PARAGRAPH").alias("kind"), style.alias("style"), (k % 3).alias("list_level"), runs(F.col("text"), F.col("role") == "user").alias("runs"))
+    whole = t.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
+    grid = whole.select("path", block, F.lit(-1).cast("long").alias("id"), F.col("n_rows").alias("ord"), F.lit("TABLE").alias("kind"), "n_rows")
+    sides = t.select("*", F.posexplode(F.array(F.coalesce("role", F.lit("")), F.col("text"))).alias("j", "v")).withColumn("cell", (2 * k + F.col("j")).cast("long"))
+    cell = sides.select("path", F.lit("cell").alias("entity"), F.col("cell").alias("id"), F.lit(-1).cast("long").alias("parent"), k.alias("row_ix"), F.col("j").alias("cell_ix"), (1 + k % 2).alias("grid_span"), (k % 3 == 2).alias("vmerge_cont"))
+    inner = sides.select("path", block, (-2 - F.col("cell")).alias("id"), F.col("cell").alias("parent"), F.lit(0).alias("ord"), F.lit("PARAGRAPH").alias("kind"), F.lit("NORMAL").alias("style"), F.lit(0).alias("list_level"), runs(F.col("v"), F.lit(False)).alias("runs"))
+    out = spark.createDataFrame([], docx.SCHEMA)
+    for part in (own, grid, cell, inner):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+@query(f"""WITH {TURNS} SELECT CAST(conv_id AS VARCHAR) AS path, k AS ord, 'PARAGRAPH' AS kind, ['TITLE', 'HEADING1', 'HEADING2', 'HEADING3', 'NORMAL'][k % 5 + 1] AS style, 0 AS list_level,
+CAST((k % 3 >= 1)::INT + (clean <> '')::INT AS INTEGER) AS n_runs, CASE WHEN k % 3 >= 1 THEN repeat('    ', k % 3 - 1) || '• ' ELSE '' END || clean AS text,
+coalesce(role = 'user', false) AND clean <> '' AS bold, CAST(NULL AS INTEGER) AS n_rows FROM t
+UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), n, 'TABLE', NULL, NULL, NULL, NULL, NULL, n FROM t
+UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), n + 1, 'PARAGRAPH', 'NORMAL', 0, 0, '', false, NULL FROM t""")
+def docx_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives written and scanned again: the blocks of their bodies."""
+    b = docx.blocks(docx.scan(docx_writer.write(conversation_rows(spark, sf)))).where("parent_cell_id IS NULL")
+    text = F.array_join(F.transform("runs", lambda r: r["text"]), "")
+    n_runs = F.when(F.col("runs").isNotNull(), F.size("runs"))
+    return b.select("path", "ord", "kind", "style", "list_level", n_runs.alias("n_runs"), text.alias("text"), F.exists("runs", lambda r: r["bold"]).alias("bold"), "n_rows")
+
+
+@query(f"""WITH {TURNS}, c AS (SELECT *, unnest([0, 1]) AS j FROM t)
+SELECT CAST(conv_id AS VARCHAR) AS path, k AS row_ix, CAST(j AS INTEGER) AS cell_ix, 1 + k % 2 AS grid_span, k % 3 = 2 AS vmerge_cont, CASE j WHEN 0 THEN coalesce(role, '') ELSE clean END AS text FROM c""")
+def docx_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives written and scanned again: the cells of their tables, with the text of the paragraphs in them."""
+    rows = docx.scan(docx_writer.write(conversation_rows(spark, sf))).where("entity = 'cell' OR parent IS NOT NULL")
+    cell = F.when(F.col("entity") == "cell", F.col("id")).otherwise(F.col("parent"))
+    at = lambda c: F.max(F.when(F.col("entity") == "cell", F.col(c))).alias(c)
+    text = F.array_sort(F.collect_list(F.when(F.col("entity") == "block", F.struct("ord", F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("v")))))
+    found = rows.groupBy("path", cell.alias("cell")).agg(at("row_ix"), at("cell_ix"), at("grid_span"), at("vmerge_cont"), text.alias("p"))
+    return found.select("path", "row_ix", "cell_ix", "grid_span", "vmerge_cont", ordered.flattened_cell(F.transform("p", lambda s: s["v"])).alias("text"))
