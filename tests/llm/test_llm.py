@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folio.llm import exact_dedup, html_text, jaccard, mixing, packing, secrets, sharding, suffix_dedup, webp
+from folio.llm import exact_dedup, html_text, jaccard, mixing, packing, quality, secrets, sharding, suffix_dedup, webp
 
 SCHEMA = "doc_id long, text string, lang string, source string, key string, size string"
 
@@ -160,3 +160,19 @@ def test_html(spark):
     page = "<body><nav><a href=x>Home</a></nav><div class='ad'>Buy this now</div><article><h1>A &amp; B</h1><p>First  text<br>here<p>Short.</article><footer>&copy; x</footer>"
     rows = html_text.extract(spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", "")], "page_id long, url string, html string")).collect()
     assert [re.sub("\n+", "|", r["text"]) for r in sorted(rows)] == ["A & B|First text|here|Short.", "", ""]
+
+
+def test_quality(spark, docs, none):
+    r = random.Random(5)
+    good, bad = [f"plain{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
+    rows = [(i, None if i % 50 == 0 else " ".join(r.choice(good if i % 2 else bad) for _ in range(30)), None if i % 3 == 0 else "en", None if i % 7 == 0 else f"h{i % 4}", "k", "z") for i in range(400)]
+    both = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 200) if i % 50] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    got = quality.classify(both, labels).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(400))
+    assert all(x["kept"] == bool(x["doc_id"] % 2) for x in got if x["doc_id"] >= 200 and x["doc_id"] % 50)  # none of these is labelled
+    kept = quality.keep_clean(both, labels)
+    assert kept.columns == both.columns and {x["doc_id"] for x in kept.collect()} == {x["doc_id"] for x in got if x["kept"]}
+    for empty in (labels.limit(0), labels.where("doc_id = 3"), labels.where("quality = 1")):  # no labels, or of one class
+        assert quality.classify(docs, empty).count() == len(TEXTS)
+    assert quality.classify(none, labels).count() == 0
