@@ -176,3 +176,123 @@ def test_quality(spark, docs, none):
     for empty in (labels.limit(0), labels.where("doc_id = 3"), labels.where("quality = 1")):  # no labels, or of one class
         assert quality.classify(docs, empty).count() == len(TEXTS)
     assert quality.classify(none, labels).count() == 0
+
+
+def prefix(value):
+    """(code, extra bits, their number) of a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    extra = (value - 1).bit_length() - 2
+    return 2 * extra + 2 + ((value - 1) >> extra & 1), (value - 1) & ((1 << extra) - 1), extra
+
+
+class Stream:
+    """Writes a lossless stream by hand."""
+
+    def __init__(self, width, height):
+        self.fields = []
+        self.add((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3))
+
+    def add(self, *fields):
+        self.fields += fields
+
+    def image(self, ops, cache_bits=0, main=True, which=None):
+        """ops: ARGB numbers, ('copy', length, distance value), ('cache', index), each with a group if which (fields of a group image) is given."""
+        self.add((1, 1), (cache_bits, 4)) if cache_bits else self.add((0, 1))
+        groups = [0] * len(ops)
+        if main and which is None:
+            self.add((0, 1))
+        elif main:
+            tile, numbers, groups = which
+            self.add((1, 1), (tile - 2, 3))
+            self.image([n << 8 for n in numbers], main=False)
+        said = []
+        for op in ops:
+            if isinstance(op, int):
+                said.append([(0, op >> 8 & 255, 0, 0), (1, op >> 16 & 255, 0, 0), (2, op & 255, 0, 0), (3, op >> 24, 0, 0)])
+            elif op[0] == "copy":
+                (a, x, n), (b, y, m) = prefix(op[1]), prefix(op[2])
+                said.append([(0, 256 + a, x, n), (4, b, y, m)])
+            else:
+                said.append([(0, 280 + op[1], 0, 0)])
+        codes = {}
+        for g in range(max(groups) + 1):
+            for k, alphabet in enumerate((280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)):
+                counts = np.bincount([s for own, h in zip(said, groups, strict=True) if h == g for c, s, _, _ in own if c == k], minlength=alphabet)
+                lengths = webp.code_lengths(counts)
+                if lengths.any():
+                    codes[g, k] = lengths, webp.canonical(lengths)
+                    self.add((0, 1), (15, 4), *((0 if s > 15 else 4, 3) for s in webp.LENGTH_ORDER), (0, 1), *((int(f"{int(x):04b}"[::-1], 2), 4) for x in lengths))
+                elif (only := int(np.argmax(counts))) < 256:
+                    codes[g, k] = np.zeros(alphabet, int), np.zeros(alphabet, int)
+                    self.add((1, 1), (0, 1), (1, 1), (only, 8))
+        for own, g in zip(said, groups, strict=True):
+            for k, s, x, n in own:
+                lengths, values = codes[g, k]
+                self.add((int(values[s]), int(lengths[s])), (x, n))
+
+    def file(self):
+        number, at = 0, 0
+        for value, n in self.fields:
+            number |= value << at
+            at += n
+        return webp.container(number.to_bytes(at // 8 + 1, "little"))
+
+
+def pixels(numbers, width):
+    return np.array([[n >> 16 & 255, n >> 8 & 255, n & 255, n >> 24] for n in numbers], np.uint8).reshape(-1, width, 4)
+
+
+def test_webp_references_and_cache():
+    a, b, c = 0xFF102030, 0x80FF0001, 0x01020304
+    s = Stream(4, 3)
+    s.add((0, 1))
+    # the pixel to the left is near place 2, the one above place 1; a distance over 120 counts pixels
+    s.image([a, b, ("copy", 1, 2), c, ("copy", 4, 1), ("copy", 3, 120 + 7), ("cache", (a * webp.CACHE_FACTOR & 0xFFFFFFFF) >> 28)], cache_bits=4)
+    assert (webp.decode(s.file())[0] == pixels([a, b, b, c, a, b, b, c, b, b, c, a], 4)).all()
+    s = Stream(2, 2)
+    s.add((0, 1))
+    s.image([a, ("copy", 3, 2)])  # overlaps what it writes
+    assert (webp.decode(s.file())[0] == pixels([a] * 4, 2)).all()
+    s = Stream(130, 40)
+    s.add((0, 1))
+    row = [0xFF000000 | k * 77 & 0xFFFFFF for k in range(130)]
+    s.image([*row, ("copy", 4096, 120 + 130), ("copy", 39 * 130 - 4096, 120 + 130)])  # the longest length, and a distance of a row
+    assert (webp.decode(s.file())[0] == pixels(row * 40, 130)).all()
+    s = Stream(2, 1)
+    s.add((0, 1))
+    s.image([a, ("copy", 2, 2)])
+    with pytest.raises(ValueError):
+        webp.decode(s.file())
+    # the format's list of near places, at its start and where distances tie
+    assert webp.NEAR[:12] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2)]
+    assert webp.NEAR[34:40] == [(0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0)] and webp.NEAR[-4:] == [(7, 7), (-7, 7), (8, 6), (8, 7)]
+
+
+def test_webp_groups_and_transforms():
+    r = random.Random(2)
+    numbers = [r.choice([0xFF000000, 0xFF0000FF, 0x7F123456]) + (k % 8 >= 4) * 0x1000 for k in range(8 * 8)]
+    s = Stream(8, 8)
+    s.add((0, 1))
+    s.image(numbers, which=(2, [0, 1, 1, 0], [(k // 8 // 4 + k % 8 // 4) % 2 for k in range(64)]))
+    assert (webp.decode(s.file())[0] == pixels(numbers, 8)).all()
+    for n, pack in ((2, 3), (3, 2), (9, 1), (30, 0)):
+        palette = [r.getrandbits(32) for _ in range(n)]
+        index = [[r.randrange(n) for _ in range(11)] for _ in range(3)]
+        s = Stream(11, 3)
+        s.add((1, 1), (3, 2), (n - 1, 8))
+        s.image([sum(((p >> k) - (q >> k) & 255) << k for k in (0, 8, 16, 24)) for p, q in zip(palette, [0, *palette], strict=False)], main=False)
+        s.add((0, 1))
+        each, many = 8 >> pack, 1 << pack
+        s.image([0xFF000000 | sum(v << each * j for j, v in enumerate(line[k : k + many])) << 8 for line in index for k in range(0, 11, many)])
+        assert (webp.decode(s.file())[0] == pixels([palette[i] for line in index for i in line], 11)).all()
+    # green is subtracted; then the predictor of mode 1 (left; above in the first column, left in the first row, opaque black first)
+    numbers = [r.getrandbits(32) for _ in range(6 * 5)]
+    minus = [v & 0xFF00FF00 | ((v >> 16) - (v >> 8) & 255) << 16 | (v - (v >> 8)) & 255 for v in numbers]
+    before = [0xFF000000 if k == 0 else minus[k - 6] if k % 6 == 0 else minus[k - 1] for k in range(30)]
+    s = Stream(6, 5)
+    s.add((1, 1), (2, 2), (1, 1), (0, 2), (0, 3))
+    s.image([0xFF000100] * 4, main=False)
+    s.add((0, 1))
+    s.image([sum(((p >> k) - (q >> k) & 255) << k for k in (0, 8, 16, 24)) for p, q in zip(minus, before, strict=True)])
+    assert (webp.decode(s.file())[0] == pixels(numbers, 6)).all()
