@@ -1,9 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 A page's markup is stripped to lines: one for each block element, its text with character references decoded and white space folded. A line's weight
-is its length without link text; lines of page furniture (by element, role, class or id) weigh nothing and are never kept. The weights are
-summed over sliding windows of `width` lines. Text surges where a window exceeds the threshold (a share of the page's largest window) and
-dives where the windows fall to nothing; the lines between are the main text. If an article or main element has text, only its lines have weight.
+is its length without link text, and nothing where more than half of it is link text; page furniture (by element, role, class or id) is never kept. The
+weights are summed over sliding windows of `width` lines. Text surges where a window exceeds the threshold (a share of the page's largest window) and
+dives where the windows fall to nothing; the lines between, links too, are the main text. So a list of links that is longer than a window and lies outside
+the surges is left out. If an article or main element has text, all of its lines are the main text, and they alone; if its text is links only, where it is
+longer than the link-free text of the rest of the page.
 
 Nulls: a null html is an empty page with empty text; null page_id and url stay null. A page of any length is one pass over its tags. Repeated rows give
 repeated results, an empty table no rows. Other columns are ignored.
@@ -131,9 +133,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str, width: int = 3, share: float = 0.1, least: int = 80) -> str:
     rows = lines(page)
-    if any(a and w for _, w, a in rows):
-        rows = [(t, w, a) if a else ("", 0, a) for t, w, a in rows]
-        least = 1
+    inside = [t for t, _, a in rows if a and t]
+    if any(w for _, w, a in rows if a) or sum(map(len, inside)) > sum(w for _, w, a in rows if not a):
+        return "\n\n".join(inside)
     weights = [w if 2 * w >= len(t.replace(" ", "")) else 0 for t, w, _ in rows]  # lines that are mostly links weigh nothing
     sums = [sum(weights[max(0, i - width // 2) : i + width // 2 + 1]) for i in range(len(weights))]
     floor = min(least, share * max(sums, default=0))
@@ -146,8 +148,8 @@ def main_text(page: str, width: int = 3, share: float = 0.1, least: int = 80) ->
         while end < len(rows) and sums[end] > 0:
             end += 1
         if max(sums[i:end]) >= floor:  # a surge, up to its dive
-            inside = [k for k in range(i, end) if weights[k]]
-            kept += [rows[k][0] for k in inside if sums[k] >= floor or inside[0] < k < inside[-1]]
+            marked = [k for k in range(i, end) if sums[k] >= floor]
+            kept += [rows[k][0] for k in range(i, end) if rows[k][0] and (sums[k] >= floor or marked[0] < k < marked[-1])]
         i = end
     return "\n\n".join(kept)
 

@@ -162,6 +162,16 @@ def test_html(spark):
     assert [re.sub("\n+", "|", r["text"]) for r in sorted(rows)] == ["A & B|First text|here|Short.", "", ""]
 
 
+def test_html_keeps_lines_of_links():
+    article = "<article><h2><a href=x>Linked heading</a></h2><p>Some words.</p><ul><li><a href=x>Source one</a><li><a href=x>Source two</a><li><a href=x>Source three</a><li><a href=x>Source four</a></ul><table><tr><td><a href=x>Cell</a></table><p>See <a href=x>further reading here</a></article>"
+    words = ["Linked heading", "Some words.", "Source one", "Source two", "Source three", "Source four", "Cell", "See further reading here"]
+    assert html_text.main_text(f"<body><p>Outside<div>{article}</div>").split("\n\n") == words
+    assert html_text.main_text("<body><p>(c)</p><main><ul><li><a href=x>Only a link</a><li><a href=x>and another</a></ul></main>") == "Only a link\n\nand another"
+    body = "All of these words are plain text. " * 20
+    page = f"<body><ul>{'<li><a href=x>Menu</a>' * 6}</ul><h1><a href=x>Title</a></h1><p>{body}</p><p><a href=x>A link between</a></p><p><a href=x>and one more</a></p><p>{body}</p><p>See <a href=x>the source of it all</a></p>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", body.strip(), "A link between", "and one more", body.strip(), "See the source of it all"]
+
+
 def test_quality(spark, docs, none):
     r = random.Random(5)
     good, bad = [f"plain{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
