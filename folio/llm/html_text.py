@@ -32,38 +32,59 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 NAMES = re.compile(
     r"^(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|submenu|topbar|breadcrumbs?|crumbs?|sidebar|rail|aside|footer|foot|colophon|masthead|"
     r"comments?|commentlist|disqus\w*|respond|replies|reply|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|"
-    r"recommendations|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip|search|tags|hidden|paywall|teaser|outbrain|taboola|header)$"
+    r"recommendations|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip|search|tags|hidden|paywall|teaser|outbrain|taboola|header|(?:is|visually)[-_]+hidden)$"
 )
+#: A class or id word is a name as a whole, or where all of its parts are names or these, with a name among them.
+PLACES = set("site page main top bottom left right global primary secondary post entry mobile desktop container wrapper wrap box bar area block list links link buttons button icons section inner unit slot form item items posts articles stories".split())
+CARDS = re.compile(r"^(?:comments?|commentlist|respond|replies|reply|related|recommended|recommendations|teaser|promo\w*|outbrain|taboola)$")  # may hold articles that are not the page's
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PLACED = {"div", "ul", "ol", "dl", "table", "td", "header"}  # an id on another element, or on a section, is a place to link to
 SINGLE = {"header"}  # furniture unless it lies in an article
 #: An end tag is left out where one of these follows: the open element, if it is one of the named, ends there.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE or (tag in SINGLE and not in_article):
+def _named(word: str, in_article: bool) -> bool:
+    """Whether a class or id word says furniture."""
+    parts = re.split(r"[-_]+", word)
+    if parts[-1] in ("header", "tags") and (in_article or len(parts) > 1 and parts[0] in ("post", "entry", "article", "section", "page")):
+        return False
+    if NAMES.match(word):
         return True
+    names = [bool(NAMES.match(p)) and p != "hidden" for p in parts]
+    return any(names) and all(n or p in PLACES for n, p in zip(names, parts, strict=True))
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> tuple[bool, list[str]]:
+    """Whether an element is furniture whatever it holds, and the class and id words by which it is unless it holds the article."""
+    if tag in FURNITURE or (tag in SINGLE and not in_article):
+        return True, []
+    words = {"class": [], "id": []}
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, []
         if name == "role" and value in ROLES:
-            return True
+            return True, []
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if any(NAMES.match(p) for p in ([word] if len(parts) > 3 else parts)) and not (in_article and parts[-1] in ("header", "tags")):
-                    return True
-    return False
+            return True, []
+        if name in words and tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
+            words[name] += value.split()
+    if tag not in PLACED or "section" in words["class"]:
+        words["id"] = []
+    return False, [w for w in words["class"] + words["id"] if _named(w, in_article)]
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, weight, in an article) of each block in page order."""
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, int]] = []
     stack: list[str] = []
     bad = links = articles = 0  # open furniture, links and articles
-    marks: list[tuple[bool, bool, bool]] = []
+    named = [(-1, False)]  # each element that is furniture by name: the one around it, and whether it is for cards
+    held: list[bool] = [True]  # whether it holds the main element
+    within = 0  # the innermost open one
+    holders: list[int] = []  # within of each article
+    marks: list[tuple[bool, bool, bool, int]] = []
     text: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -71,15 +92,20 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             whole = " ".join(html.unescape("".join(t for t, _ in text)).split())
             if whole:
                 free = "".join(html.unescape("".join(t for t, link in text if not link)).split())
-                out.append((whole, len(free), articles > 0))
+                out.append((whole, len(free), articles > 0, within))
             text.clear()
 
     def pop() -> None:
-        nonlocal bad, links, articles
+        nonlocal bad, links, articles, within
         stack.pop()
-        b, a, m = marks.pop()
+        b, a, m, within = marks.pop()
         bad, links, articles = bad - b, links - a, articles - m
 
+    def hold(at: int) -> None:
+        while not held[at]:
+            held[at] = True
+            at = named[at][0]
+
     at = 0
     while True:
         m = TAG.search(page, at)
@@ -101,6 +127,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 if tag in INLINE and any(t not in INLINE for t in stack[depth + 1 :]):
                     continue  # an inline end tag does not end blocks
                 while len(stack) > depth:
+                    if marks[-1][3] != within:
+                        flush()
                     pop()
             continue
         if tag in RAW:
@@ -118,17 +146,49 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 pop()
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        is_bad = _furniture(tag, m[3], articles > 0)
+        is_bad, names = _furniture(tag, m[3], articles > 0)
         is_article = tag in ("article", "main") or 'role="main"' in m[3].lower()
-        if is_article or is_bad:
+        if is_article or is_bad or names:
             flush()
         stack.append(tag)
-        marks.append((is_bad, tag == "a", is_article))
+        marks.append((is_bad, tag == "a", is_article, within))
+        if names and not is_bad and not bad:
+            named.append((within, any(CARDS.match(p) for w in names for p in re.split(r"[-_]+", w))))
+            held.append(False)
+            within = len(named) - 1
+        if is_article and not is_bad and not bad:
+            if tag == "article":
+                holders.append(within)
+            else:
+                hold(within)
         bad, links, articles = bad + is_bad, links + (tag == "a"), articles + is_article
         if is_bad and bad == 1 and out and out[-1][1] >= 0:
-            out.append(("", 0, articles > 0))  # furniture parts the text on its sides
+            out.append(("", 0, articles > 0, within))  # furniture parts the text on its sides
     flush()
-    return out
+
+    def open_ones() -> list[bool]:
+        """Of each named element, whether it and all around it hold the article."""
+        open_ = [True]
+        for k in range(1, len(named)):
+            open_.append(held[k] and open_[named[k][0]])
+        return open_
+
+    shown = open_ones()
+    if not any(a and shown[k] for _, _, a, k in out):  # no article but in furniture by name: there it is, if it is no card and not less than the rest
+        rest = sum(w for _, w, _, k in out if shown[k])
+        cards = [False]
+        for k in range(1, len(named)):
+            cards.append(named[k][1] or cards[named[k][0]])
+        before = held.copy()
+        for k in holders:
+            if not cards[k]:
+                hold(k)
+        more = open_ones()
+        if sum(len(t) for t, _, a, k in out if a and more[k]) >= rest:
+            shown = more
+        else:
+            held = before
+    return [(t, w, a) for t, w, a, k in out if shown[k]]
 
 
 def main_text(page: str, width: int = 3, share: float = 0.1, least: int = 80) -> str:

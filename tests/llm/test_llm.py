@@ -172,6 +172,23 @@ def test_html_keeps_lines_of_links():
     assert html_text.main_text(page).split("\n\n") == ["Title", body.strip(), "A link between", "and one more", body.strip(), "See the source of it all"]
 
 
+@pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "has-sidebar", "overflow-hidden", "elementor-widget", "sidebar", "social widget", "legal-box"])
+@pytest.mark.parametrize("article", ["article", "main"])
+def test_html_wrappers_by_name(wrapper, article):
+    assert html_text.main_text(f"<body><div class=menu>Home</div><div class='{wrapper}'><div id=search>Find</div><{article}><p>All of it.</p></{article}></div>") == "All of it."
+
+
+def test_html_names():
+    headings = "<h2 id='legal-aspects'>Legal</h2><p>One.</p><section id='search'><h2>Search</h2><p>Two.</p></section><h2 id='social-networks' class=social>Social</h2><div class=section id=notice><p>Three.</p></div><div class='topic legal-aspects'>Four.</div>"
+    words = ["Legal", "One.", "Search", "Two.", "Social", "Three.", "Four."]
+    assert html_text.main_text(f"<article>{headings}<div class='share-buttons'>Tell it</div><div id=comments>I say</div></article>").split("\n\n") == words
+    body = "All of these words are plain text. " * 20
+    assert html_text.main_text(f"<div class='overflow-hidden'><h2 id=legal>Legal</h2><p>{body}</p></div><div class='related-posts'><article>A card</article></div>").split("\n\n") == ["Legal", body.strip()]
+    assert html_text.main_text(f"<div><p>{body}</p></div><div id=comments><article>{body * 2}</article></div><div class=sidebar><article>A card</article></div>") == body.strip()
+    for name in ("sidebar", "widget-area", "site-footer", "main-nav", "cookie_banner", "post ad-slot", "social-links", "visually-hidden"):
+        assert html_text.main_text(f"<article><p>One.</p><div class='{name}'>Gone</div></article>") == "One."
+
+
 def test_quality(spark, docs, none):
     r = random.Random(5)
     good, bad = [f"plain{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
