@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|"[^"]*"|'[^']*'""")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 FURNITURE = {"head", "nav", "footer", "aside", "form", "noscript", "template", "svg", "math", "object", "video", "audio", "canvas", "button", "select", "dialog", "menu", "map", "label", "fieldset", "applet"} | RAW
@@ -55,13 +55,22 @@ def _named(word: str, in_article: bool) -> bool:
     return any(names) and all(n or p in PLACES for n, p in zip(names, parts, strict=True))
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> tuple[bool, list[str]]:
+def _attributes(text: str) -> dict[str, str]:
+    """Values by whole name, in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text) if text else ():
+        if name:
+            quoted = value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1
+            out.setdefault(name.lower(), html.unescape(value[1:-1] if quoted else value).strip().lower())
+    return out
+
+
+def _furniture(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, list[str]]:
     """Whether an element is furniture whatever it holds, and the class and id words by which it is unless it holds the article."""
     if tag in FURNITURE or (tag in SINGLE and not in_article):
         return True, []
     words = {"class": [], "id": []}
-    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), value.strip("\"'").lower()
+    for name, value in attributes.items():
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True, []
         if name == "role" and value in ROLES:
@@ -146,8 +155,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 pop()
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        is_bad, names = _furniture(tag, m[3], articles > 0)
-        is_article = tag in ("article", "main") or 'role="main"' in m[3].lower()
+        attributes = _attributes(m[3])
+        is_bad, names = _furniture(tag, attributes, articles > 0)
+        is_article = tag in ("article", "main") or attributes.get("role") == "main"
         if is_article or is_bad or names:
             flush()
         stack.append(tag)

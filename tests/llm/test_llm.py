@@ -189,6 +189,14 @@ def test_html_names():
         assert html_text.main_text(f"<article><p>One.</p><div class='{name}'>Gone</div></article>") == "One."
 
 
+def test_html_attributes():
+    page = "<article aria-label='Hidden valleys'><p data-title='Hidden gems'>We saw <a href='/the-hidden-fortress'>the film</a> and <a href='?id=search'>looked</a> <a href=/hidden/id=share>for it</a>.</p><div data-id='share' data-class=ad>Kept.</div><p title='a \\'>Last.</p></article>"
+    assert html_text.main_text(page).split("\n\n") == ["We saw the film and looked for it.", "Kept.", "Last."]
+    for said in ("hidden", "HIDDEN=''", "class=ad", 'id = "share"', "class='x ad'id=y", "aria-hidden=true", "title='>' hidden", "style='color:red; display : none'"):
+        assert html_text.main_text(f"<article><p>One.</p><div {said}>Gone</div></article>") == "One."
+    assert html_text.main_text("<div data-role='main'>Not it</div><div role=main><p>The text.</p></div>") == "The text."
+
+
 def test_quality(spark, docs, none):
     r = random.Random(5)
     good, bad = [f"plain{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
