@@ -3,7 +3,7 @@
 A page's markup is stripped to lines: one for each block element, its text with character references decoded and white space folded. A line's weight
 is its length without link text, and nothing where more than half of it is link text; page furniture (by element, role, class or id) is never kept. The
 weights are summed over sliding windows of `width` lines. Text surges where a window exceeds the threshold (a share of the page's largest window) and
-dives where the windows fall to nothing; the lines between, links too, are the main text. So a list of links that is longer than a window and lies outside
+dives where the windows fall to nothing; the lines between, links and short ones too, are the main text, and removed furniture does not part them. So a list of links that is longer than a window and lies outside
 the surges is left out. If an article or main element has text, all of its lines are the main text, and they alone; if its text is links only, where it is
 longer than the link-free text of the rest of the page.
 
@@ -172,8 +172,6 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             else:
                 hold(within)
         bad, links, articles = bad + is_bad, links + (tag == "a"), articles + is_article
-        if is_bad and bad == 1 and out and out[-1][1] >= 0:
-            out.append(("", 0, articles > 0, within))  # furniture parts the text on its sides
     flush()
 
     def open_ones() -> list[bool]:
@@ -203,7 +201,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str, width: int = 3, share: float = 0.1, least: int = 80) -> str:
     rows = lines(page)
-    inside = [t for t, _, a in rows if a and t]
+    inside = [t for t, _, a in rows if a]
     if any(w for _, w, a in rows if a) or sum(map(len, inside)) > sum(w for _, w, a in rows if not a):
         return "\n\n".join(inside)
     weights = [w if 2 * w >= len(t.replace(" ", "")) else 0 for t, w, _ in rows]  # lines that are mostly links weigh nothing
@@ -218,8 +216,7 @@ def main_text(page: str, width: int = 3, share: float = 0.1, least: int = 80) ->
         while end < len(rows) and sums[end] > 0:
             end += 1
         if max(sums[i:end]) >= floor:  # a surge, up to its dive
-            marked = [k for k in range(i, end) if sums[k] >= floor]
-            kept += [rows[k][0] for k in range(i, end) if rows[k][0] and (sums[k] >= floor or marked[0] < k < marked[-1])]
+            kept += [t for t, _, _ in rows[i:end]]
         i = end
     return "\n\n".join(kept)
 

@@ -197,6 +197,15 @@ def test_html_attributes():
     assert html_text.main_text("<div data-role='main'>Not it</div><div role=main><p>The text.</p></div>") == "The text."
 
 
+def test_html_short_ends_without_article():
+    body = "All of these words are plain text. " * 24
+    advert, byline = "<div class=ad>Buy this now</div>", "<p><a href=x>By the author of it</a></p>"
+    assert html_text.main_text(f"<div><h1>Title</h1>{advert}<p>{body}</p></div>").split("\n\n") == ["Title", body.strip()]
+    page = f"<div><h1>Title</h1>{advert}{byline}<p>{body}</p>{advert * 4}{byline}{advert}<p>The end.</p></div>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", "By the author of it", body.strip(), "By the author of it", "The end."]
+    assert html_text.main_text(f"<div><h1>Title</h1><p>Short</p><p>Words</p><p>Here</p><p>{body}</p></div>").split("\n\n") == ["Title", "Short", "Words", "Here", body.strip()]
+
+
 def test_quality(spark, docs, none):
     r = random.Random(5)
     good, bad = [f"plain{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
