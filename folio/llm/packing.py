@@ -4,13 +4,16 @@
   that is not an apostrophe. So a text is cut there, the distinct pieces of a batch are tokenised once a worker, and the ids are put together
   by array gathers. Documents that hold a special token's string are tokenised whole.
 * Statistics: in how many documents each token id occurs, over all documents (a number an id of the vocabulary, so a bounded broadcast).
-* Shards: each scan task packs its documents in blocks of about `block_tokens` tokens. A block has an inverted index of BM25 weights. A
-  seed document (the first unused one) asks for its `terms` heaviest terms; unused documents by falling score fill its window. The document that
-  reaches the window's end is cut there and its rest is the next seed; so is what is left at a block's end. A task's last tokens go to sequences whose lengths
-  are powers of two. So no sequence has padding, and each id lies in one piece.
+* Routing: documents are put in the order of two min-hashes of the token ids they share with others, rare ids preferred (weight idf squared), and dealt by
+  ranges of it. So documents with rare terms in common meet whatever the layout of the files; a group that is too large for a task goes to several.
+* Shards: a task packs its documents in blocks of about `block_tokens` tokens (half to one and a half times, or all there is). A block has an inverted
+  index of BM25 weights, with the statistics of the whole table. A seed document (the first unused one) asks for all of its terms but the end token; unused
+  documents of the block by falling score fill its window. The document that reaches the window's end is cut there and its rest is the next seed; so is
+  what is left at a block's end. Only when no unused document has a term of the seed's, the next unused one goes on. A task's last tokens go to sequences
+  whose lengths are powers of two. So no sequence has padding, and each id lies in one piece.
 
-A task holds one block, whatever the document; a hot source or group of copies is spread as the table's files are. Results depend on how
-the table is split into scan tasks, not on which executor runs them.
+Neighbours in other blocks are not seen (README has the share). A task holds one and a half blocks and a document. Results depend on how the table is
+split into scan tasks where keys tie, and on the ranges Spark samples, not on which executor runs them.
 
 Nulls: a null text is empty and has the end token alone; a null doc_id stays null. Repeated rows are packed one by one. An empty
 table gives no rows. Other columns are ignored.
@@ -115,7 +118,7 @@ def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _pieces:
             _pieces[path] = Pieces(path)
-        seen, n = np.zeros(VOCABULARY, np.int64), 0
+        seen, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
         for batch in batches:
             data, offsets = textnum.column_bytes(batch.column(1))
             for i, j in textnum.chunks(offsets):
@@ -125,8 +128,9 @@ def _tokens(path: str):
                     pair = np.unique(np.repeat(np.arange(len(part), dtype=np.int64) << 16, [len(x) for x in part]) | np.concatenate(part))
                     seen += np.bincount(pair & 0xFFFF, minlength=VOCABULARY)
                 n += len(docs)
+                total += sum(map(len, docs))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in docs], pa.binary()), pa.nulls(len(docs), pa.int64())], ["doc_id", "ids", "n"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([seen.astype("<u4").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["doc_id", "ids", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([np.append(seen, total).astype("<u8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["doc_id", "ids", "n"])
 
     return run
 
@@ -134,45 +138,77 @@ def _tokens(path: str):
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob, n in zip(batch.column(0), batch.column(1), strict=True):
-            f = np.frombuffer(blob.as_py(), "<u4").astype(np.int64)
+            f = np.append(np.frombuffer(blob.as_py(), "<u8").astype(np.int64), n.as_py())
             at = np.flatnonzero(f)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, VOCABULARY)), pa.array(np.append(f[at], n.as_py()))], ["id", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(f[at])], ["id", "f"])
+
+
+def _route(shared):
+    """Adds the keys by which documents with rare shared terms meet, and a number of the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, row = shared.value, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(1)]
+            ids, starts = np.concatenate(docs), np.cumsum([0, *map(len, docs[:-1])])
+            least = [pa.array(np.minimum.reduceat(k[ids], starts)) for k in keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *least, pa.array(row + np.arange(len(docs)))], ["doc_id", "ids", "first", "second", "row"])
+            row += len(docs)
+
+    return run
+
+
+def route_keys(idf: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Two rows of a number for each token id: the least of a document's is its key. Ids of one document, and the end token, have none."""
+    u = np.random.default_rng(5).random((2, len(f)))
+    keys = -np.log1p(-u) / np.maximum(idf, 1e-6) ** 2
+    keys[:, f < 2] = keys[:, END] = np.inf
+    return keys
 
 
 class Index:
-    """BM25 weights of a block's documents, by term and by document."""
+    """BM25 weights of a block's documents, by term and by document. The end token, which all have, is no term."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         lengths = np.array([len(x) for x in docs], dtype=np.float64)
         pair, tf = np.unique(np.repeat(np.arange(len(docs), dtype=np.int64) << 16, lengths.astype(np.int64)) | np.concatenate(docs), return_counts=True)
-        doc, term = pair >> 16, pair & 0xFFFF
-        norm = k1 * (1 - b + b * lengths / max(lengths.mean(), 1))
+        term = pair & 0xFFFF
+        pair, tf, term = pair[term != END], tf[term != END], term[term != END]
+        doc = pair >> 16
+        norm = k1 * (1 - b + b * lengths / max(mean, 1))
         weight = idf[term] * tf * (k1 + 1) / (tf + norm[doc])
-        self.terms, self.doc_at = terms, np.searchsorted(doc, np.arange(len(docs) + 1))
-        self.term, self.weight = term, weight
+        self.doc_at, self.term = np.searchsorted(doc, np.arange(len(docs) + 1)), term
         order = np.argsort(term.astype(np.uint16), kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.n = len(docs)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of each document for all terms of the seed's."""
+        terms = self.term[self.doc_at[seed] : self.doc_at[seed + 1]]
+        if not len(terms):
+            return np.zeros(self.n)
+        spans = list(zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist(), strict=True))
+        return np.bincount(np.concatenate([self.post_doc[p:q] for p, q in spans]), np.concatenate([self.post_weight[p:q] for p, q in spans]), self.n)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents with a term of the seed's, by falling score."""
-        a, b = self.doc_at[seed], self.doc_at[seed + 1]
-        top = self.term[a:b] if b - a <= self.terms else self.term[a:b][np.argpartition(self.weight[a:b], -self.terms)[-self.terms :]]
-        score = np.zeros(self.n)
-        for t in top.tolist():
-            p, q = self.post_at[t], self.post_at[t + 1]
-            score[self.post_doc[p:q]] += self.post_weight[p:q]
+        score = self.scores(seed)
         score[~unused] = 0
-        found = np.flatnonzero(score)
-        if len(found) > 64:
-            found = found[np.argpartition(score[found], -64)[-64:]]  # the window's next 64; it asks again if they don't fill it
-        return found[np.lexsort((found, -score[found]))]
+        found, many = np.flatnonzero(score), 64
+        while len(found):
+            s = score[found]
+            head = s >= np.partition(s, -many)[-many] if len(found) > many else np.ones(len(found), dtype=bool)  # as many as the window may take; ties stay together
+            best = found[head]
+            yield from best[np.lexsort((best, -s[head]))].tolist()
+            found, many = found[~head], 8 * many
 
 
-def _pack(window: int, block_tokens: int, terms: int, idf_shared):
+def _pack(window: int, block_tokens: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = idf_shared.value
+        idf, mean = shared.value
         sequence, out = TaskContext.get().partitionId() << 32, []
         held: list[tuple] = []  # what the open window has: (doc_id, ids, start, end)
         room = window
@@ -201,7 +237,7 @@ def _pack(window: int, block_tokens: int, terms: int, idf_shared):
             return start
 
         def block(names, docs):
-            index, unused = Index(docs, idf, terms), np.ones(len(docs), dtype=bool)
+            index, unused = Index(docs, idf, mean), np.ones(len(docs), dtype=bool)
             first, seed = 0, None
             while True:
                 if seed is None:
@@ -215,17 +251,15 @@ def _pack(window: int, block_tokens: int, terms: int, idf_shared):
                     start = put(names[seed], docs[seed], start)
                 put(names[seed], docs[seed], start)
                 own, seed = seed, None
-                while room < window and seed is None:  # the seed's window has room
-                    near = index.neighbours(own, unused)
-                    if not len(near):
+                if room == window:
+                    continue
+                for k in index.neighbours(own, unused):  # the seed's window has room
+                    unused[k] = False
+                    at = put(names[k], docs[k], 0)
+                    if room == window:
+                        if at < len(docs[k]):
+                            seed, start = k, at
                         break
-                    for k in near.tolist():
-                        unused[k] = False
-                        at = put(names[k], docs[k], 0)
-                        if room == window:
-                            if at < len(docs[k]):
-                                seed, start = k, at
-                            break
 
         def rows():
             nonlocal out
@@ -239,10 +273,12 @@ def _pack(window: int, block_tokens: int, terms: int, idf_shared):
                 names.append(name)
                 docs.append(np.frombuffer(ids.as_py(), "<u2"))
                 total += len(docs[-1])
-                if total >= block_tokens:
-                    block(names, docs)
+                if 2 * total >= 3 * block_tokens:  # so what is left at the end is half a block at least
+                    cut = int(np.searchsorted(np.cumsum([len(x) for x in docs]), block_tokens)) + 1
+                    block(names[:cut], docs[:cut])
                     yield rows()
-                    names, docs, total = [], [], 0
+                    names, docs = names[cut:], docs[cut:]
+                    total = sum(map(len, docs))
         if docs:
             block(names, docs)
         rest, length = list(held), window - room
@@ -262,7 +298,7 @@ def _pack(window: int, block_tokens: int, terms: int, idf_shared):
     return run
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, window: int = 4096, block_tokens: int = 2_000_000, terms: int = 16) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str | None = None, window: int = 4096, block_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece."""
     spark = df.sparkSession
     common.ship(spark)
@@ -272,14 +308,16 @@ def pack(df: DataFrame, tokenizer: str | None = None, window: int = 4096, block_
         tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
     table = common.keep(df.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(_tokens(tokenizer), "doc_id long, ids binary, n long"), "pack-tokens")
     found = {r["id"]: r["f"] for r in table.where("n IS NOT NULL").select("ids", "n").mapInArrow(_frequencies, "id long, f long").groupBy("id").agg(F.sum("f").alias("f")).collect()}
-    n, f = found.get(VOCABULARY, 0), np.zeros(1 << 16)
+    total, n, f = found.get(VOCABULARY, 0), found.get(VOCABULARY + 1, 0), np.zeros(1 << 16)
     for k, v in found.items():
         if k < VOCABULARY:
             f[k] = v
-    idf = spark.sparkContext.broadcast(np.log1p((n - f + 0.5) / (f + 0.5)))
-    return table.where("n IS NULL").select("doc_id", "ids").mapInArrow(
-        _pack(window, block_tokens, terms, idf), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    idf = np.log1p((n - f + 0.5) / (f + 0.5))
+    keys, shared = spark.sparkContext.broadcast(route_keys(idf, f)), spark.sparkContext.broadcast((idf, total / max(n, 1)))
+    routed = table.where("n IS NULL").select("doc_id", "ids").mapInArrow(_route(keys), "doc_id long, ids binary, first double, second double, row long")
+    order = ["first", "second", "row"]
+    routed = routed.repartitionByRange(max(1, -(-total // (2 * block_tokens))), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return routed.mapInArrow(_pack(window, block_tokens, shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op5_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

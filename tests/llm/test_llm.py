@@ -138,6 +138,39 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_neighbours():
+    r = np.random.default_rng(4)
+    docs = [np.append(r.integers(3, 400, r.integers(1, 120)), 2).astype("<u2") for _ in range(150)] + [np.array([2], "<u2")]
+    docs += [np.append(docs[0][:20], r.integers(3, 400, 60)).astype("<u2")]
+    f = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=1 << 16)
+    idf, mean = np.log1p((len(docs) - f + 0.5) / (f + 0.5)), 50.0
+    index, unused = packing.Index(docs, idf, mean), r.random(len(docs)) < 0.8
+    for seed, own in enumerate(docs):
+        score = [sum(idf[t] * (c := (x == t).sum()) * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in np.unique(own) if t != 2) for x in docs]
+        assert np.allclose(index.scores(seed), score)
+        got = list(index.neighbours(seed, unused))
+        assert sorted(got) == [k for k, x in enumerate(score) if x > 0 and unused[k]]
+        assert all(score[a] >= score[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_packing_meets_across_files(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, r = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json"))), random.Random(8)
+    words = sorted(t for t in (k.replace("</w>", "") for k in tokenizer.get_vocab()) if re.fullmatch("[a-z]{5,9}", t) and len(tokenizer.encode(t, add_special_tokens=False).ids) == 1)
+    own = [r.sample(words, 20) for _ in range(40)]
+    # 40 topics of 6 texts; the texts of a topic lie in six files
+    rows = [(10 * topic + k, " ".join(r.choices(own[topic], k=60)), None, None, None, None) for k in range(6) for topic in r.sample(range(40), 40)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), SCHEMA)
+    sequences = {}
+    for x in packing.pack(docs, window=512, block_tokens=2000).collect():
+        sequences.setdefault(x["doc_id"], set()).add(x["sequence_id"])
+    assert len(sequences) == 240
+    together = sum(any(sequences[10 * t + k] & sequences[10 * t + m] for m in range(6) if m != k) for t in range(40) for k in range(6))
+    assert together >= 180
+
+
 def test_webp(docs, none):
     r = np.random.default_rng(1)
     for shape in ((1, 1), (5, 3), (40, 48)):
