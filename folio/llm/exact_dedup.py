@@ -1,12 +1,13 @@
-"""Exact deduplication with an extendible-hash index on shared files.
+"""Exact deduplication by grouping, with an extendible-hash directory as labels of the index on shared files.
 
 Texts are equal when they are identical after lower-casing A-Z. Of equal texts the row with the largest doc_id stays.
 
 * The scan writes one index entry a row (key, digest, doc_id) to the shared folder; the key is a 64-bit hash of the text.
 * The directory starts with one bucket. A bucket with more distinct keys than `capacity` is split by its next key bit, and the
   directory doubles when that bucket already uses all of its bits. Only counts by key prefix reach the driver (2**max_bits at most).
-* Owner tasks get the texts by (bucket, key) after a map-side merge of equal texts, so a group that holds a third of all rows arrives
-  as one row a map task. They compare bytes: texts with one key but different bytes form a chain, with one index row each.
+* A plain grouping by (key, text), with a map-side merge of equal texts, finds keep_id and group_size, so a group that holds a third of all rows
+  arrives as one row a map task and its bytes are compared whole. The directory decides nothing of this: bucket and chain (the place among
+  texts of one key but different bytes) are put on the rows afterwards, and the query drops them.
 * The index rows, sorted by bucket and key, are written to the shared folder and joined with the entries on key and digest.
 
 Nulls: a null text is the empty text; a null doc_id sorts below every other. Repeated rows (one doc_id, equal text) count one by one in
