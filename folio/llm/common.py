@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files of a query go when it has ended
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -20,39 +20,55 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new temporary one, but only if all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         have = sc._jsc.sc().getCheckpointDir()
         if have.isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="folio-"))
             have = sc._jsc.sc().getCheckpointDir()
         base = have.get()
     return base.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
+    """A path in this application's own folder under the shared one; that folder goes when the driver ends."""
+    own = f"{shared_dir(spark)}/folio/{spark.sparkContext.applicationId}"
+    fs, p = _file(spark, own)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: its lineage ends there and it survives lost executors."""
+    """Writes df as a table in the shared folder and reads it back: its lineage ends there, it survives lost executors, and its shuffle files go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the driver lets go of shuffle files that only the finished plan used
+    had = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, had)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by keep() that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._folio_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by keep() that nothing will read again."""
+    for df in tables:
+        fs, p = _file(df.sparkSession, df._folio_path)
+        fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one parent at most and no parent has one."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(u, root) for every node of edges (u, v) but the roots; root is the smallest node that u reaches.
 
-    Each step is a map-side combined minimum and a join on the node; adaptive skew handling splits hubs. The edges of each round are a
-    table in the shared folder, so lineage stays short and nothing is collected but a count and a checksum.
+    Each step is a map-side combined minimum and a join on the node, whose hubs adaptive skew handling splits; it ends when all
+    edges are stars. The edges of each round are a table in the shared folder that replaces the last one, so lineage stays short and nothing is
+    collected. The table returned is written too (discard() it).
     """
-    e = common.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
-    while mark[0]:
+    e = common.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        e = common.keep(small.distinct(), "edges")
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
-    return e.withColumnRenamed("v", "root")
+        last, e = e, common.keep(small.distinct(), name)
+        common.discard(last)
+    out = e.withColumnRenamed("v", "root")
+    out._folio_path = e._folio_path
+    return out

@@ -13,9 +13,9 @@ in two levels:
   region takes one of its documents as pivot and is joined again by the members' differences from it. |A ^ B| is a metric, taking the
   difference from a pivot keeps it, and linked sets differ by at most (100 - percent) / (100 + percent) * (|A| + |B|) shingles. So members
   that are close to the pivot link by the triangle inequality alone (a star around the closest one), and any other linked pair shares a
-  shingle in the windows of their differences, the least frequent ones first; those are the next regions. Members of one component are not
-  compared again, and a pivot leaves its region, until no large region is left. Each round takes twice as
-  large regions for small ones, up to 1 << GROWS times `small`, as a pivot that is far from all others shortens a region by one only.
+  shingle in the windows of their differences, the least frequent ones first. Up to `leaf` members of a pivot are joined so in one task, by
+  their differences alone; more than that are split into regions by the shingles in those windows and joined again, until all is done. The
+  pivot leaves its region, so each round's regions are smaller.
 
 Each class has a parity sketch (bit h is how many of its shingles fall to h, modulo 2), which grows with the set; of two sketches the longer is
 folded to the length of the other. Sketches differ in no more bits than the sets differ in shingles, so pairs whose sketches differ too much are dropped, exactly. The other candidates are verified on the whole sets, each document with its first candidate first; pairs that these links join already are not held against
@@ -41,7 +41,6 @@ from .components import components
 
 U = np.uint64
 SKETCH = 10  # least bits of a parity sketch, as a power of two; a larger set has at least half as many bits as shingles
-GROWS = 3  # later rounds compare regions of up to twice, four times, ... small classes in the task, at most small << GROWS
 WANTED = 18  # 64-bit words of the filter on texts to verify, as a power of two
 
 
@@ -173,6 +172,83 @@ def _against_pivot(width: int, percent: int, differences: bool):
     return run
 
 
+def _leaf(percent: int):
+    """Links (u, v) among the members of each pivot, as a forest, from rows (a, b, n, dn, linked, apart) sorted by pivot a."""
+
+    def links(a, b, n, dn, near, apart, offsets):
+        m = len(b)
+        comp = np.where(near, m, np.arange(m))  # m is the pivot's
+        out = [(a, int(x)) for x in b[near]]
+        score = (100 + percent) * dn - (100 - percent) * n  # two members link where their scores sum to 0 or less
+        least = int(np.argmin(score))
+        for k in np.flatnonzero(score + score[least] <= 0).tolist():
+            if comp[k] != comp[least]:
+                out.append((int(b[least]), int(b[k])))
+                comp[comp == comp[k]] = comp[least]
+        if (comp == comp[0]).all():
+            return out
+        owner = np.repeat(np.arange(m), np.diff(offsets))
+        _, token, times = np.unique(apart, return_inverse=True, return_counts=True)
+        order = np.lexsort((token, times[token], owner))  # owners stay in place, their tokens come rare ones first
+        place = np.arange(len(owner)) - offsets[owner]
+        reach = ((100 - percent) * (percent * n + 100 * n)) // (percent * (100 + percent))  # the most a partner can differ by
+        use = (place <= reach[owner]) & (times[token[order]] > 1)
+        entry_owner, entry_token = owner[use], token[order][use]
+        by_token = np.argsort(entry_token, kind="stable")
+        posting, at = entry_owner[by_token], np.searchsorted(entry_token[by_token], np.arange(len(times) + 1))
+        mine = np.searchsorted(entry_owner, np.arange(m + 1))
+        for x in range(m):
+            own = entry_token[mine[x] : mine[x + 1]]
+            if not len(own):
+                continue
+            found = np.unique(np.concatenate([posting[at[t] : at[t + 1]] for t in own.tolist()]))
+            found = found[(found > x) & (comp[found] != comp[x])]
+            most = n[x] + n[found] - 2 * needed(n[x], n[found], percent)
+            found = found[(most >= np.abs(n[x] - n[found])) & (most >= np.abs(dn[x] - dn[found]))]
+            for k in range(0, len(found), 1024):
+                part = found[k : k + 1024]
+                length = dn[part]
+                spans = np.repeat(offsets[part] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+                mine_sorted = apart[offsets[x] : offsets[x + 1]]
+                hit = mine_sorted[np.minimum(np.searchsorted(mine_sorted, apart[spans]), len(mine_sorted) - 1)] == apart[spans]
+                both = np.bincount(np.repeat(np.arange(len(part)), length), hit, len(part)).astype(np.int64)
+                good = dn[x] + length - 2 * both <= n[x] + n[part] - 2 * needed(n[x], n[part], percent)
+                for y in part[good].tolist():
+                    if comp[y] != comp[x]:
+                        out.append((int(b[x]), int(b[y])))
+                        comp[comp == comp[y]] = comp[x]
+            if (comp == comp[x]).all():
+                break
+        return out
+
+    def solved(held):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        lists = rows.column(5)
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        n, dn = (rows.column(k).to_numpy() for k in (2, 3))
+        near = rows.column(4).to_numpy(zero_copy_only=False)
+        out = links(rows.column(0)[0].as_py(), rows.column(1).to_numpy(), n, dn, near, lists.flatten().to_numpy(), offsets - offsets[0])
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column(0)[0].as_py() != a[i]:
+                    yield solved(held)
+                    held = []
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield solved(held)
+
+    return run
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, differences: bool = False, fan: int = 256) -> DataFrame:
     """(a, b, n, dn, linked, apart) of distinct candidate pairs; texts: (id, text). n: b's size; dn: shingles in one set only (apart, if asked for)."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / fan).cast("long").alias("parts"))
@@ -204,35 +280,26 @@ def _edges(checked: DataFrame) -> DataFrame:
     return checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _stars(roots: DataFrame) -> DataFrame:
-    return roots.select("u", F.col("root").alias("v"))
-
-
-def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_from: int = 128, max_hot: int = 1 << 18, small: int = 256) -> DataFrame:
+def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_from: int = 128, max_hot: int = 1 << 18, small: int = 256, leaf: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of df."""
     spark = df.sparkSession
     common.ship(spark)
     docs = df.select("doc_id", common.text_or_empty().alias("text"))
     heads = common.keep(docs.mapInArrow(_profiles(width, percent), "doc_id long, n long, k1 long, k2 long, head array<long>, sketch array<long>"), "jaccard-heads")
-    profile = common.keep(heads.drop("head"), "jaccard-profiles")
-    named = profile.where("n > 0 AND doc_id IS NOT NULL")
-    classes = common.keep(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
+    profile = common.keep(heads.select("doc_id", "n", "k1", "k2"), "jaccard-profiles")
+    classes = common.keep(profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
 
     counts = heads.where("n > 0 AND doc_id IS NOT NULL").select(F.explode("head").alias("s")).groupBy("s").count().where(F.col("count") >= hot_from)
     hot = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(max_hot).collect()], dtype=np.int64))
-    common.discard(heads)
     hot_shared = spark.sparkContext.broadcast(hot)
     prefixes = docs.mapInArrow(_prefixes(width, percent, hot_shared), "id long, prefix array<long>")
     entries = prefixes.join(classes.select("id", "n"), "id").dropDuplicates(["id", "n"]).select("id", "n", F.posexplode("prefix").alias("p", "s"))
     regions = entries.select("s", "id", "n", F.col("n").alias("dn"), F.col("p").cast("long").alias("p"), F.col("id").alias("comp"))
 
-    def met(rows: DataFrame, small: int = small) -> DataFrame:
+    def met(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition("s").sortWithinPartitions("s", "id")
         return common.keep(dealt.mapInArrow(_region_pairs(percent, small), "s long, a long, b long, big boolean"), "jaccard-regions")
 
-    sketches = classes.join(profile, ["n", "k1", "k2"]).where("id = doc_id").select("id", "n", "sketch").dropDuplicates(["id"])
-    sketches = common.keep(sketches, "jaccard-sketches")
-
     def plausible(pairs: DataFrame) -> DataFrame:
         """pairs without those whose parity sketches differ in more bits than linked sets may differ in shingles."""
         side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -241,56 +308,67 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         odd = F.aggregate(F.zip_with(_folded("sa", "sb"), _folded("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         return pairs.join(side("a"), "a").join(side("b"), "b").where(odd <= most).select("a", "b")
 
-    def linked(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
-        """Edges with the components of links and pairs: first each document with its first candidate, then what is still apart.
-
-        The links so far come back as stars, a written table, so that plans do not grow with the rounds.
-        """
-        if links and pairs.isEmpty():
-            return links
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among pairs: first each document with its first candidate, then the pairs that these stars do not join."""
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        new = _edges(common.keep(verified(first, texts, width, percent).drop("apart"), "jaccard-checked"))
-        links = links.unionByName(new) if links else new
-        roots = components(links)
-        side = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"r{c}"))
+        one = common.keep(verified(first, texts, width, percent).drop("apart"), "jaccard-checked")
+        star = one.where("linked").select("b", "a")
+        side = lambda c: star.select(F.col("b").alias(c), F.col("a").alias(f"r{c}"))
         apart = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        return _stars(roots).unionByName(_edges(common.keep(verified(apart.select("a", "b"), texts, width, percent).drop("apart"), "jaccard-checked")))
+        two = common.keep(verified(apart.select("a", "b"), texts, width, percent).drop("apart"), "jaccard-checked")
+        used.extend([one, two])
+        return _edges(one).unionByName(_edges(two))
 
     found = met(regions)
+    met_ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id")))
+    sketches = _maybe(heads.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "sketch"), met_ids)
+    sketches = common.keep(sketches.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "jaccard-sketches")
+    common.discard(heads)
     pairs = common.keep(plausible(found.where("NOT big").select("a", "b").distinct()), "jaccard-pairs")
     big = found.where("big").select("s", F.col("a").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(big.select("id")).distinct()
     wanted = common.keep(wanted, "jaccard-wanted")
     texts = common.keep(_maybe(docs.withColumnRenamed("doc_id", "id"), wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
-    links = linked(pairs, None)
+    used: list[DataFrame] = [texts, sketches, wanted, pairs]
+    links = linked(pairs)
 
-    level = 0
     while not big.isEmpty():
-        level = min(level + 1, GROWS)
         pivots = big.groupBy("s").agg(F.min("id").alias("a"))
         members = big.join(pivots, "s").where("id <> a").select("a", F.col("id").alias("b")).distinct()
         held = common.keep(verified(members, texts, width, percent, differences=True), "jaccard-differences")
-        score = (100 + percent) * F.col("dn") - (100 - percent) * F.col("n")  # two members link where their scores sum to 0 or less
-        best = held.groupBy("a").agg(F.min(F.struct(score.alias("score"), F.col("b").alias("least"))).alias("m")).select("a", "m.*")
-        sure = held.join(best, "a").where((score + F.col("score") <= 0) & (F.col("b") != F.col("least"))).select(F.col("least").alias("u"), F.col("b").alias("v"))
-        links = links.unionByName(_edges(held)).unionByName(sure)
-        roots = components(links)
-        links = _stars(roots)
-        state = held.join(roots, F.col("b") == F.col("u"), "left").select("a", "b", "n", "dn", F.coalesce("root", "b").alias("comp"), "apart")
-        several = state.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("a")
-        tokens = common.keep(state.join(several, "a", "left_semi").withColumn("token", F.explode("apart")).drop("apart"), "jaccard-tokens")
-        often = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # a token of one member joins nothing, but has its place
+        used += [found, held]
+        sizes = held.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+        over = sizes.where(F.col("m") > leaf).select("a")
+        few = held.join(over, "a", "left_anti").repartition("a").sortWithinPartitions("a", "b")
+        leaves = common.keep(few.mapInArrow(_leaf(percent), "u long, v long"), "jaccard-leaves")
+        used.append(leaves)
+        links = links.unionByName(leaves)
+        if over.isEmpty():
+            break
+        many = held.join(over, "a", "left_semi")
+        score = (100 + percent) * F.col("dn") - (100 - percent) * F.col("n")
+        best = many.groupBy("a").agg(F.min(F.struct(score.alias("score"), F.col("b").alias("least"))).alias("m")).select("a", "m.*")
+        close = many.join(best, "a").withColumn("comp", F.when(F.col("linked"), F.col("a")).when(score + F.col("score") <= 0, F.col("least")).otherwise(F.col("b")))
+        links = links.unionByName(close.where("comp <> b").select(F.col("comp").alias("u"), F.col("b").alias("v")))
+        # a star whose centre is linked to the pivot is the pivot's
+        hub = close.where("b = least").select(F.col("a").alias("ha"), F.col("linked").alias("hl"))
+        state = close.join(hub, F.col("a") == F.col("ha")).withColumn("comp", F.when(F.col("hl") & (F.col("comp") == F.col("least")), F.col("a")).otherwise(F.col("comp")))
+        tokens = common.keep(state.select("a", "b", "n", "dn", "comp", F.explode("apart").alias("token")), "jaccard-tokens")
+        used.append(tokens)
+        often = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("k > 1")  # a token of one member joins nothing, but has its place
         ranked = tokens.join(often, ["a", "token"], "left").withColumn("p", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("k", F.lit(1)), "token")) - 1)
         reach = F.floor((100 - percent) * (F.col("n") + 100 * F.col("n") / percent) / (100 + percent))  # the most a partner can differ by
-        rows = ranked.where(F.col("k").isNotNull() & (F.col("p") <= reach))
-        found = met(rows.select(F.xxhash64("a", "token").alias("s"), F.col("b").alias("id"), "n", "dn", F.col("p").cast("long").alias("p"), "comp"), small << level)
+        rows = ranked.where("k IS NOT NULL AND x <> y").where(F.col("p") <= reach)  # nor does one whose members are joined
+        found = met(rows.select(F.xxhash64("a", "token").alias("s"), F.col("b").alias("id"), "n", "dn", F.col("p").cast("long").alias("p"), "comp"))
         pairs = common.keep(plausible(found.where("NOT big").select("a", "b").distinct()), "jaccard-pairs")
-        links = linked(pairs, links)
+        used.append(pairs)
+        links = links.unionByName(linked(pairs))
         big = found.where("big").select("s", F.col("a").alias("id"))
 
-    roots = components(links)
+    roots = components(links, "jaccard-roots")
+    common.discard(*used)
     rooted = classes.join(roots, F.col("id") == F.col("u"), "left").select("n", "k1", "k2", F.coalesce("root", "id").alias("root"))
-    return profile.drop("sketch").join(rooted, ["n", "k1", "k2"], "left").select(
+    return profile.join(rooted, ["n", "k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
     )
 
