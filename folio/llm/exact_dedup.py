@@ -1,17 +1,20 @@
-"""Exact deduplication by grouping, with an extendible-hash directory as labels of the index on shared files.
+"""Exact deduplication with an extendible-hash index on shared files.
 
 Texts are equal when they are identical after lower-casing A-Z. Of equal texts the row with the largest doc_id stays.
 
-* The scan writes one index entry a row (key, digest, doc_id) to the shared folder; the key is a 64-bit hash of the text.
-* The directory starts with one bucket. A bucket with more distinct keys than `capacity` is split by its next key bit, and the
-  directory doubles when that bucket already uses all of its bits. Only counts by key prefix reach the driver (2**max_bits at most).
-* A plain grouping by (key, text), with a map-side merge of equal texts, finds keep_id and group_size, so a group that holds a third of all rows
-  arrives as one row a map task and its bytes are compared whole. The directory decides nothing of this: bucket and chain (the place among
-  texts of one key but different bytes) are put on the rows afterwards, and the query drops them.
-* The index rows, sorted by bucket and key, are written to the shared folder and joined with the entries on key and digest.
+* The scan writes one entry a row (key, digest, doc_id) to the shared folder; the key is a 64-bit hash of the text.
+* The directory starts with one bucket. A bucket with more distinct keys than `capacity` is split by its next key bit, and the directory
+  doubles when that bucket already uses all of its bits. Only counts by key prefix reach the driver, 2**max_bits at most; on a table that
+  would need more buckets than that, capacity is larger from the start.
+* Texts are dealt to owner tasks by their bucket, a range of keys. The owner compares bytes: texts of one key but other bytes are a chain.
+  A key with more than a thousandth of all rows (so at most a thousand keys) is dealt by `fan` further numbers, each owner merges its
+  part, and the merged rows, `fan` a text at most, are compared once more. So a text of a third of all rows meets in no single task.
+* The index (bucket, key, chain, digest, keep_id, group_size) is a table in the shared folder. Each entry finds its bucket through the directory
+  and its place in the chain there; entries of the hot keys find it in a broadcast part of the index.
 
 Nulls: a null text is the empty text; a null doc_id sorts below every other. Repeated rows (one doc_id, equal text) count one by one in
-group_size, and each reports the same keep_id. An empty table gives no rows. Other columns are ignored.
+group_size, and each reports the same keep_id. Texts of any length are hashed and compared whole. Ties: equal texts with one doc_id are repeated rows.
+An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+NO_ID = -(1 << 63)
+
 
 def normalised(column: str = "text") -> Column:
     return F.translate(common.text_or_empty(column), common.UPPER, common.LOWER)
@@ -65,38 +70,59 @@ def double_directory(counts: np.ndarray, capacity: int) -> np.ndarray:
     return np.array(directory, dtype=np.int64)
 
 
-def build_index(df: DataFrame, capacity: int = 65536, max_bits: int = 16, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(entries, index): a row per input row, and a row per distinct text with its bucket, chain place, keep_id and group_size."""
-    spark = df.sparkSession
-    texts = df.select("doc_id", normalised().alias("norm")).withColumn("key", text_key(F.col("norm"), hash_bits))
-    entries = common.keep(texts.select("doc_id", "key", F.sha2("norm", 256).alias("digest")), "dedup-entries")
-
-    slot = F.shiftrightunsigned("key", 64 - max_bits)
-    found = entries.select("key").distinct().groupBy(slot.alias("slot")).count().collect()
-    counts = np.zeros(1 << max_bits, dtype=np.int64)
-    for r in found:
-        counts[r["slot"]] = r["count"]
-    directory = double_directory(counts, capacity)
-    depth = int(math.log2(len(directory)))
-    slots = spark.createDataFrame([(i, int(b)) for i, b in enumerate(directory)], "slot long, bucket long")
-
-    own_slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-    owners = (
-        texts.groupBy("key", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("digest"), "keep_id", "group_size")
-        .withColumn("slot", own_slot)
-        .join(F.broadcast(slots), "slot")  # at most 2**max_bits rows
-        .withColumn("chain", F.row_number().over(Window.partitionBy("key").orderBy(F.desc_nulls_last("keep_id"), "digest")))
-        .select("bucket", "key", "chain", "digest", "keep_id", "group_size")
-    )
-    return entries, common.keep(owners.sortWithinPartitions("bucket", "key", "chain"), "dedup-index")
-
-
-def exact_dedup(df: DataFrame, capacity: int = 65536, max_bits: int = 16, hash_bits: int = 64) -> DataFrame:
+class Index:
+    """The directory, the hot keys and the written index of a table."""
+
+    def __init__(self, df: DataFrame, capacity: int = 1024, max_bits: int = 18, hash_bits: int = 64, hot_from: int = 1000, fan: int = 64):
+        self.spark = df.sparkSession
+        texts = df.select("doc_id", normalised().alias("norm")).withColumn("key", text_key(F.col("norm"), hash_bits))
+        self.entries = common.keep(texts.select("doc_id", "key", F.sha2("norm", 256).alias("digest")), "dedup-entries")
+        n = self.entries.count()
+        capacity = max(capacity, n >> (max_bits - 2))
+        bits = min(max_bits, max(1, (n // capacity).bit_length() + 3))
+        keys = self.entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        hot = F.collect_list(F.when(F.col("n") >= max(hot_from, n // 1000), F.col("key")))  # a thousand keys at most
+        found = keys.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("slot")).agg(F.count(F.lit(1)).alias("n"), hot.alias("hot")).collect()
+        counts = np.zeros(1 << bits, dtype=np.int64)
+        for r in found:
+            counts[r["slot"]] = r["n"]
+        self.hot = sorted(k for r in found for k in r["hot"])
+        self.directory = double_directory(counts, capacity)
+        self.table = common.keep(self._owned(texts, fan), "dedup-index")
+
+    def routed(self, rows: DataFrame) -> DataFrame:
+        """rows with the bucket of their key, through the directory."""
+        depth = int(math.log2(len(self.directory)))
+        slots = self.spark.createDataFrame([(i, int(b)) for i, b in enumerate(self.directory)], "__slot long, bucket long")
+        slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+        return rows.withColumn("__slot", slot).join(F.broadcast(slots), "__slot").drop("__slot")  # at most 2**max_bits rows
+
+    def _owned(self, texts: DataFrame, fan: int) -> DataFrame:
+        is_hot = F.col("key").isin(self.hot) if self.hot else F.lit(False)
+        part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(fan))).otherwise(F.lit(0).cast("long"))
+        dealt = self.routed(texts).withColumn("part", part).repartition("bucket", "part")  # owner tasks: grouping below needs no other exchange
+        merged = dealt.groupBy("bucket", "part", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        merged = merged.select("bucket", "key", F.sha2("norm", 256).alias("digest"), F.when(is_hot, F.col("norm")).alias("norm"), "keep_id", "group_size")
+        if self.hot:
+            merged = common.keep(merged, "dedup-owned")
+            again = merged.where("norm IS NOT NULL").groupBy("bucket", "key", "digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+            merged = merged.where("norm IS NULL").unionByName(again)
+        chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.desc_nulls_last("keep_id"), "digest"))
+        return merged.drop("norm").withColumn("chain", chain).select("bucket", "key", "chain", "digest", "keep_id", "group_size")
+
+    def lookup(self) -> DataFrame:
+        """doc_id, key, digest, bucket, chain, keep_id, group_size of each entry."""
+        entries, on = self.routed(self.entries), ["bucket", "key", "digest"]
+        if not self.hot:
+            return entries.join(self.table, on)
+        is_hot = F.col("key").isin(self.hot)
+        few = self.table.where(is_hot)  # a thousand keys and their chains
+        return entries.where(~is_hot).join(self.table.where(~is_hot), on).unionByName(entries.where(is_hot).join(F.broadcast(few), on))
+
+
+def exact_dedup(df: DataFrame, capacity: int = 1024, max_bits: int = 18, hash_bits: int = 64, hot_from: int = 1000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain: one row for each row of df."""
-    entries, index = build_index(df, capacity, max_bits, hash_bits)
-    return entries.join(index, ["key", "digest"]).select(
+    return Index(df, capacity, max_bits, hash_bits, hot_from).lookup().select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -108,15 +134,14 @@ def exact_dedup(df: DataFrame, capacity: int = 65536, max_bits: int = 16, hash_b
 
 
 def keep_first(df: DataFrame) -> DataFrame:
-    """df's rows without the copies, with all of its columns; of repeated rows one stays."""
-    kept = exact_dedup(df).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    rows = df.withColumn("__digest", F.sha2(normalised(), 256))
-    found = rows.join(kept, (rows["doc_id"].eqNullSafe(kept["__id"])) & (rows["__digest"] == kept["__digest"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    """df's rows without the copies, with all of its columns; of repeated rows one stays (merged before the exchange). Texts move once."""
+    kept = exact_dedup(df).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    rows = df.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__digest", F.sha2(normalised(), 256))
+    return rows.dropDuplicates(["__id", "__digest"]).join(kept, ["__id", "__digest"], "left_semi").drop("__id", "__digest")
 
 
 def op10_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(common.documents(spark, sf_dir)).drop("bucket", "chain")
+    return exact_dedup(common.documents(spark, sf_dir))
 
 
 OP10_SQL = """
