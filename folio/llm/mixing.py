@@ -2,18 +2,21 @@
 
 * Targets: sources, sorted by code point with null last, weigh 5, 2, 1, repeating, and share `share` of all words; a target stops at
   `most` times its source's words and the excess is shared again by weight among the others until none is above.
-* A source's documents are dealt by hash into permuted blocks (one a `rows_per_block` documents, `max_blocks` at most). Whole passes take
-  every block; the rest of the target takes blocks in their permuted order, and of the last one the documents, in hash order, whose middle
-  word lies below the target. So a source's words miss its target by half a document at most.
-* The block draws of all sources are split among the output shards by a binary tree: each node draws how many blocks of each source go
-  to its left half from the multivariate hypergeometric distribution, seeded by the node. Leaves hold exact quotas; they get disjoint runs
-  of each source's permuted draws, and inside a shard the rows are ordered by hash (the local shuffle).
-
-The driver holds a number a block: max_blocks a source at most, whatever the rows. A source with a third of all rows has more blocks, no
-larger ones. Everything depends on the seed and doc_id alone, so reruns agree.
+* A source's documents are dealt by hash into `n_blocks` permuted blocks. Whole passes take every block; the rest of the target takes blocks in
+  their permuted order, and of the last one the documents, in hash order, whose middle word lies below the target. So a source's
+  words miss its target by half a document at most. This gives each source's exact quota of blocks.
+* The quotas of all sources are split among the output shards by a binary tree: each node draws how many blocks of each source go to
+  its left half from the multivariate hypergeometric distribution, seeded by the node. A leaf is a shard with an exact quota of each source;
+  it draws that many blocks from the source's permuted sequence, disjoint from those of all other shards. mix() deals the rows out by
+  these shards, one exchange, and orders each shard by hash (the local shuffle); mix_plan() names the shard of each copy.
+
+The driver holds a number a block (n_blocks a source) and the tree's leaves. The plan, a row a block, is broadcast up to `MOST_PLAN` rows; beyond,
+it is joined by source and block, so a source with a third of all rows is n_blocks keys. Everything depends on the seed and doc_id
+alone, so reruns agree.
 
 Nulls: a null text has no words, a null source is a source of its own (the last), a null doc_id has a hash. Documents without words take
-part with nothing taken; repeated rows are mixed one by one but share a block. An empty table gives no rows. Other columns are carried by `mix`.
+part with nothing taken. Repeated rows are mixed one by one but share a block; ties of the hash are ordered by doc_id and size. Texts of any length are
+counted whole. An empty table gives no rows. Other columns are carried by `mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS = (5, 2, 1)
-BROADCAST_SOURCES = 10000  # up to so many sources their table is broadcast, so that a hot one is not dealt to one task
+MOST_PLAN = 100_000  # rows, of some 60 bytes, of a plan that is broadcast
 
 
 def water_fill(sizes: list[int], weights: list[int], share: Fraction, most: int) -> list[Fraction]:
@@ -93,7 +96,7 @@ def _plan(sources: list[tuple[str, int, Fraction]], blocks: dict[str, dict[int,
     return rows
 
 
-def _mixed(df: DataFrame, carry: list, seed: int, n_shards: int, share: str, most: int, rows_per_block: int, max_blocks: int) -> DataFrame:
+def _mixed(df: DataFrame, carry: list, seed: int, n_shards: int | None, share: str, most: int, n_blocks: int, shard_words: int) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     sized = df.select(
         F.col("doc_id").alias("__id"),
@@ -101,35 +104,30 @@ def _mixed(df: DataFrame, carry: list, seed: int, n_shards: int, share: str, mos
         F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long").alias("__size"),
         F.xxhash64("doc_id", F.lit(seed)).alias("__hash"),
         *carry,
-    )
-    rows = sized if carry else common.keep(sized, "mix-sizes")
-    light = common.keep(sized.drop("__carry"), "mix-sizes") if carry else rows
-    totals = sorted((r["__source"], r["words"] or 0, r["n"]) for r in light.groupBy("__source").agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("n")).collect())
-    targets = water_fill([w for _, w, _ in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))], Fraction(share), most)
-    facts = [(k, w, float(t), min(max_blocks, -(-n // rows_per_block))) for (k, w, n), t in zip(totals, targets, strict=True)]
-    source = spark.createDataFrame(facts, "__source string, __source_size long, __target double, __blocks long")
-
-    def dealt(x: DataFrame) -> DataFrame:
-        return x.join(F.broadcast(source) if len(facts) <= BROADCAST_SOURCES else source, "__source").withColumn("__block", F.pmod("__hash", "__blocks"))
-
+    ).withColumn("__block", F.pmod("__hash", F.lit(n_blocks)))
+    light = common.keep(sized.drop("__carry"), "mix-sizes")
     blocks: dict[str, dict[int, int]] = {}
-    for r in dealt(light).groupBy("__source", "__block").agg(F.sum("__size").alias("words")).collect():
+    for r in light.groupBy("__source", "__block").agg(F.sum("__size").alias("words")).collect():
         blocks.setdefault(r["__source"], {})[r["__block"]] = r["words"]
+    totals = sorted((k, sum(own.values())) for k, own in blocks.items())
+    targets = water_fill([w for _, w in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))], Fraction(share), most)
+    n_shards = n_shards or max(16, -(-int(sum(targets)) // shard_words))
+    rows = _plan([(k, w, t) for (k, w), t in zip(totals, targets, strict=True)], blocks, n_shards, seed)
+    facts = {k: (w, float(t)) for (k, w), t in zip(totals, targets, strict=True)}
     plan = spark.createDataFrame(
-        _plan([(k, w, t) for (k, w, _), t in zip(totals, targets, strict=True)], blocks, n_shards, seed),
-        "__source string, __block long, __whole int, __part double, __shards array<int>",
+        [(*r, *facts[r[0]]) for r in rows], "__source string, __block long, __whole int, __part double, __shards array<int>, __source_size long, __target double"
     )
+    all_rows = (sized if carry else light).join(F.broadcast(plan) if len(rows) <= MOST_PLAN else plan, ["__source", "__block"])
     before = Window.partitionBy("__source", "__block").orderBy("__hash", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = dealt(rows).join(plan, ["__source", "__block"])
     whole = all_rows.where("__part IS NULL").withColumn("__copies", F.col("__whole"))
     middle = F.coalesce(F.sum("__size").over(before), F.lit(0)) + F.col("__size") / 2
     part = all_rows.where("__part IS NOT NULL").withColumn("__copies", F.col("__whole") + (middle < F.col("__part")).cast("int"))
-    return whole.unionByName(part)
+    return whole.unionByName(part), n_shards
 
 
-def mix_plan(df: DataFrame, seed: int = 8, n_shards: int = 16, share: str = "3/2", most: int = 2, rows_per_block: int = 256, max_blocks: int = 4096) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row for each row of df."""
-    m = _mixed(df, [], seed, n_shards, share, most, rows_per_block, max_blocks)
+def mix_plan(df: DataFrame, seed: int = 8, n_shards: int | None = None, share: str = "3/2", most: int = 2, n_blocks: int = 256, shard_words: int = 1 << 24) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, shards (of each copy): one row for each row of df. n_shards: by default one for shard_words, 16 at least."""
+    m, _ = _mixed(df, [], seed, n_shards, share, most, n_blocks, shard_words)
     return m.select(
         F.col("__id").alias("doc_id"),
         F.col("__size").alias("size"),
@@ -137,16 +135,18 @@ def mix_plan(df: DataFrame, seed: int = 8, n_shards: int = 16, share: str = "3/2
         F.col("__target").alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"),
         F.col("__copies").alias("copies"),
+        F.slice("__shards", F.lit(1), F.col("__copies")).alias("shards"),
     )
 
 
-def mix(df: DataFrame, seed: int = 8, n_shards: int = 16, share: str = "3/2", most: int = 2, rows_per_block: int = 256, max_blocks: int = 4096, shards: bool = False) -> DataFrame:
-    """df's columns, a row for each copy drawn; with shards also mix_shard and mix_order (the local shuffle's key)."""
-    m = _mixed(df, [F.struct(*df.columns).alias("__carry")], seed, n_shards, share, most, rows_per_block, max_blocks)
+def mix(df: DataFrame, seed: int = 8, n_shards: int | None = None, share: str = "3/2", most: int = 2, n_blocks: int = 256, shard_words: int = 1 << 24, shards: bool = False) -> DataFrame:
+    """df's columns, a row for each copy drawn, dealt out by shard and shuffled inside; with shards also mix_shard and mix_order."""
+    m, n = _mixed(df, [F.struct(*df.columns).alias("__carry")], seed, n_shards, share, most, n_blocks, shard_words)
     copies = m.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
-    extra = [F.element_at("__shards", F.col("__copy")).alias("mix_shard"), F.xxhash64("__id", "__copy", F.lit(seed)).alias("mix_order")] if shards else []
-    return copies.select("__carry.*", *extra)
+    drawn = copies.select("__carry", F.element_at("__shards", F.col("__copy")).alias("__shard"), F.xxhash64("__id", "__copy", F.lit(seed)).alias("__order"))
+    dealt = drawn.repartition(n, "__shard").sortWithinPartitions("__shard", "__order")
+    return dealt.select("__carry.*", *([F.col("__shard").alias("mix_shard"), F.col("__order").alias("mix_order")] if shards else []))
 
 
 def op8_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(common.documents(spark, sf_dir)).drop("copies")
+    return mix_plan(common.documents(spark, sf_dir))
