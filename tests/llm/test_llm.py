@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup, html_text, jaccard, mixing, packing, quality, secrets, sharding, suffix_dedup, webp
 
@@ -41,9 +43,9 @@ def none(spark):
 TEXTS = {r[0]: r[1] or "" for r in made()}
 
 
-@pytest.mark.parametrize("small", [256, 2])
-def test_jaccard(docs, none, small):
-    got = {r[0]: (r[1], r[2]) for r in jaccard.similarity_classes(docs, width=4, percent=85, small=small, hot_from=3).collect()}
+@pytest.mark.parametrize("small,leaf", [(256, 4096), (2, 4096), (1, 1)])
+def test_jaccard(docs, none, small, leaf):
+    got = {r[0]: (r[1], r[2]) for r in jaccard.similarity_classes(docs, width=4, percent=85, small=small, leaf=leaf, hot_from=3).collect()}
     sets, root = {}, {}
     for i, t in TEXTS.items():
         w = t.encode().lower().split()
@@ -58,6 +60,33 @@ def test_jaccard(docs, none, small):
     assert jaccard.similarity_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [85, 60])
+def test_jaccard_leaf(percent):
+    """Members of a pivot, joined by their differences, against brute force: edits of one text, chains of edits and unrelated texts."""
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        pivot = r.choice(10**6, 60, replace=False)
+        sets = [pivot]
+        for k in range(60):
+            x = sets[int(r.integers(0, len(sets)))] if k % 6 else r.choice(10**6, int(r.integers(1, 80)), replace=False)
+            keep = x[r.random(len(x)) > r.choice([0.02, 0.1, 0.4])]
+            sets.append(np.unique(np.concatenate([keep, r.choice(200, int(r.integers(0, 9)), replace=False)])) if len(keep) else x)
+        own, rows = set(pivot.tolist()), []
+        for k, x in enumerate(sets[1:], 1):
+            apart = sorted(own ^ set(x.tolist()))
+            rows.append((0, k, len(x), len(apart), 100 * len(own & set(x.tolist())) >= percent * len(own | set(x.tolist())), apart))
+        table = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)], list("abndls"))
+        root = list(range(len(sets)))
+        want = list(range(len(sets)))
+        links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(a := set(sets[i].tolist()) & set(sets[j].tolist())) >= percent * len(set(sets[i].tolist()) | set(sets[j].tolist()))]
+        found = [x for out in jaccard._leaf(percent)(iter([table.slice(0, 20), table.slice(20)])) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+        assert set(found) <= {x for i, j in links for x in ((i, j), (j, i))} and len(found) < len(sets)
+        for pairs, at in ((links, want), (found, root)):
+            for i, j in pairs:
+                at[:] = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
+        assert root == want
+
+
 @pytest.mark.parametrize("cap,tree", [(16384, 512), (16384, 1), (1, 1)])
 def test_suffix(docs, none, cap, tree):
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, cap=cap, tree=tree).collect()}
@@ -80,12 +109,30 @@ def test_exact(docs, none, bits):
     for i, t in TEXTS.items():
         groups.setdefault(t.translate(fold), []).append(i)
     want = {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
-    rows = exact_dedup.exact_dedup(docs, capacity=4, max_bits=6, hash_bits=bits).drop("bucket", "chain").collect()
-    assert {r[0]: tuple(r)[1:] for r in rows} == want
+    for hot_from in (1000, 1):  # with 1, each key with a thousandth of the rows is hot
+        rows = exact_dedup.exact_dedup(docs, capacity=4, max_bits=6, hash_bits=bits, hot_from=hot_from).collect()
+        assert {r[0]: tuple(r)[1:5] for r in rows} == want
+        for b in {r["bucket"] for r in rows}:  # chains count the texts of a key
+            assert all(r["chain"] >= 1 for r in rows if r["bucket"] == b)
+        assert len({(r["bucket"], r["chain"], r["text_sha256"]) for r in rows}) == len(groups)
     assert exact_dedup.keep_first(docs.unionAll(docs)).count() == len(groups)
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_index(spark, docs):
+    """Owner ranges: buckets are disjoint key ranges of at most `capacity` keys; another directory breaks the result."""
+    index = exact_dedup.Index(docs, capacity=4, max_bits=6)
+    keys = sorted(((r["key"] & (1 << 64) - 1), r["bucket"]) for r in index.table.collect())
+    order = [b for k, (_, b) in enumerate(keys) if k == 0 or keys[k - 1][1] != b]
+    assert len(order) == len(set(order)) > 1
+    assert max(Counter(b for _, b in keys).values()) <= 4
+    index.directory = index.directory[::-1].copy()
+    assert index.lookup().count() < docs.count()
+    null = spark.createDataFrame([(None, "A"), (None, "a"), (3, "a"), (3, "a"), (4, None), (None, "")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(null).collect()), key=str)
+    assert got == sorted([(None, 3, 4, False)] * 2 + [(3, 3, 4, True)] * 2 + [(4, 4, 2, True), (None, 4, 2, False)], key=str)
+
+
 def test_shards(docs, none):
     rows = sharding.histogram_shards(docs, 4).collect()
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == {(i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in TEXTS.items()}
@@ -103,10 +150,35 @@ def test_mix(docs, none):
         own = [r for r in rows if (r["source_size"], r["target"]) == source]
         assert abs(sum(r["taken"] for r in own) - source[1]) <= max(r["size"] for r in own)
         assert all(r["taken"] <= 2 * r["size"] for r in own)
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_plan(docs.repartition(2)).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_plan(docs.repartition(2)).collect()))
     table = mixing.split_tree(np.array([5, 0, 9]), 4, 1)
     assert table.sum(axis=0).tolist() == [5, 0, 9]
+    assert (np.abs(table.sum(axis=1) - 14 / 4) < 1).all()
     assert mixing.mix(docs).columns == docs.columns
+    mixed = mixing.mix(docs, shards=True).collect()  # each shard holds the copies that the tree gave it, shuffled
+    want = Counter((r["doc_id"], s) for r in rows for s in r["shards"])
+    assert Counter((r["doc_id"], r["mix_shard"]) for r in mixed) == want and all(len(r["shards"]) == r["copies"] for r in rows)
+
+
+def test_mix_tree(docs, monkeypatch):
+    """The tree's quotas decide the shards: each shard has as many blocks of a source as its leaf says, and another tree gives other rows."""
+    quotas = []
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda q, n, seed: quotas.append(tree(q, n, seed)) or quotas[-1])
+    rows = mixing.mix_plan(docs, n_shards=5, n_blocks=8).collect()
+    blocks = {}
+    for r in docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8))).collect():
+        blocks[r["doc_id"]] = (r["source"] or "~", r["block"])
+    for j, source in enumerate(sorted({s for s, _ in blocks.values()})):
+        drawn = {(blocks[r["doc_id"]][1], k, s) for r in rows if blocks[r["doc_id"]][0] == source for k, s in enumerate(r["shards"])}
+        assert all(sum(s == shard for _, _, s in drawn) <= quotas[0][shard, j] for shard in range(5))
+        assert len(drawn) >= quotas[0][:, j].sum() - 1  # the last block may give no document
+    monkeypatch.setattr(mixing, "split_tree", lambda q, n, seed: tree(q, n, seed)[::-1])
+    other = mixing.mix_plan(docs, n_shards=5, n_blocks=8).collect()
+    assert sorted(map(str, rows)) != sorted(map(str, other))
+
+
+def test_mix_edges(none):
     assert mixing.mix_plan(none).count() == 0
 
 
