@@ -71,6 +71,26 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(p, True)
 
 
+WORDS = 18  # 64-bit words of a sieve, as a power of two
+
+
+def _bit(*columns: str) -> tuple[Column, Column]:
+    h = F.xxhash64(*columns)
+    return F.pmod(h, F.lit(1 << WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
+
+
+def sieve(wanted: DataFrame, *columns: str) -> DataFrame:
+    """A bitmap of hashes of wanted's columns: 1 << WORDS rows (2 MB) at most, at any size. When nearly full it keeps nothing back, and nothing is lost."""
+    word, bit = _bit(*columns)
+    return wanted.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def sift(rows: DataFrame, bitmap: DataFrame, *columns: str, out: bool = False) -> DataFrame:
+    """rows whose columns may be in the sieve; with out those that certainly are not. The sieve is broadcast."""
+    word, bit = _bit(*columns)
+    return rows.join(F.broadcast(bitmap), (word == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0), "left_anti" if out else "left_semi")
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package wherever the driver was started."""
     root = str(Path(__file__).resolve().parents[2])

@@ -41,7 +41,6 @@ from .components import components
 
 U = np.uint64
 SKETCH = 10  # least bits of a parity sketch, as a power of two; a larger set has at least half as many bits as shingles
-WANTED = 18  # 64-bit words of the filter on texts to verify, as a power of two
 
 
 def needed(a, b, percent: int):
@@ -268,14 +267,6 @@ def _folded(sketch: str, other: str) -> Column:
     return F.when(F.size(s) > n, F.aggregate(runs, none, lambda t, k: F.zip_with(t, F.slice(s, k * n + 1, n), lambda x, y: x.bitwiseXOR(y)))).otherwise(s)
 
 
-def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows without most of those whose id is not in wanted, by a bitmap of hashes that is broadcast: 1 << WANTED rows at most, at any size."""
-    h = F.xxhash64("id")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
-    bitmap = wanted.groupBy(F.pmod(h, F.lit(1 << WANTED)).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    return rows.join(F.broadcast(bitmap), (F.pmod(h, F.lit(1 << WANTED)) == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0), "left_semi")
-
-
 def _edges(checked: DataFrame) -> DataFrame:
     return checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -321,14 +312,14 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
 
     found = met(regions)
     met_ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id")))
-    sketches = _maybe(heads.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "sketch"), met_ids)
+    sketches = common.sift(heads.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "sketch"), common.sieve(met_ids, "id"), "id")
     sketches = common.keep(sketches.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "jaccard-sketches")
     common.discard(heads)
     pairs = common.keep(plausible(found.where("NOT big").select("a", "b").distinct()), "jaccard-pairs")
     big = found.where("big").select("s", F.col("a").alias("id"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(big.select("id")).distinct()
     wanted = common.keep(wanted, "jaccard-wanted")
-    texts = common.keep(_maybe(docs.withColumnRenamed("doc_id", "id"), wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
+    texts = common.keep(common.sift(docs.withColumnRenamed("doc_id", "id"), common.sieve(wanted, "id"), "id").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
     used: list[DataFrame] = [texts, sketches, wanted, pairs]
     links = linked(pairs)
 

@@ -7,19 +7,21 @@ the input; matches never cross documents.
   anchor. The choice depends on the window's bytes only, so equal windows have equal anchors at equal places; the windows of one anchor are a
   run. There are about 2 / length anchors a byte, and only they are sorted, not all suffixes.
 * Runs with equal bytes are one class (map-side merged): a class with two occurrences repeats as a whole, which settles the inside of copies.
-* The classes that share an anchor string get their context (the run's bytes on either side of the anchor). They are sorted by the suffix from the
-  anchor; a stack scan over the common prefixes yields the interval tree; in every interval the members are sorted by what stands left of
-  the anchor, read backwards, and each takes its longest left extension that another member shares. Where that differs among members the
-  interval is left-diverse: a maximal repeat. A member whose left and right extension reach `length` together repeats there, whichever member it
-  shares them with, so all occurrences are found and not neighbours alone.
-* Where more than `tree` classes share an anchor string, the tree could be a chain as long as the context; their windows are counted by hash in the
-  task. More than `cap` classes (a passage in very many documents; cap times 800 bytes is what a task holds) are not gathered
-  at all: their windows are rows, counted after a map-side merge. Either is as exact, and nothing is cut off.
+* Two other classes can share a window only if they share the anchor and, on one side of it at least, half of the window's other bytes. Classes that
+  share neither half with another one are done: they have no repeats.
+* The others get their context (the run's bytes on either side of the anchor), and those of an anchor string meet. They are sorted by the suffix from the
+  anchor; a stack scan over the common prefixes yields the interval tree; in every interval the members, in the order of what stands left of
+  the anchor, read backwards, each take the longest left extension that another member shares (minima of the neighbours' common lengths). Where
+  that differs among members the interval is left-diverse: a maximal repeat. A member whose left and right extension reach `length`
+  together repeats there, whichever member it shares them with, so all occurrences are found and not neighbours alone.
+* A task holds `cap` classes of an anchor string at most (cap times 800 bytes). Of an anchor with more of them the windows are rows instead, counted
+  after a map-side merge; that is as exact, and nothing is cut off.
+* Texts are moved only for documents that need their context read or have something removed; bitmaps of 2 MB keep the others in the scan.
 
 Anchors and windows are compared by 64-bit hashes of bytes within one 64-bit anchor hash.
 
 Nulls: a null text is empty; a null doc_id is an id of its own. Texts under `length` bytes have nothing to remove. Repeated rows repeat each other
-and lose all that is long enough. An empty table gives no rows. Other columns are ignored.
+and lose all that is long enough. Texts of any length are worked on in pieces. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,35 +91,44 @@ def _anchors(length: int, gram: int):
                 doc = np.searchsorted(rel, begin, side="right") - 1
                 bytes_hash = textnum.span_hash(c, begin, end + length)
                 geometry = ((p - begin) * 65536 + (end - begin)).astype(U)
+                half = (length - gram + 1) // 2
+                sides = []
+                for has, x in ((p - begin >= half, p - half), (end - p + length - gram >= half, p + gram)):
+                    x = np.where(has, x, 0)
+                    sides.append(np.where(has, textnum.mix(textnum.span_hash(c, x, x + has * half) ^ v[p] + U(len(sides))).view(np.int64), 0))
                 base = own[0] - (offsets[i + doc] if len(own) > 2 else first)
-                out.append((i + doc, p + base, p - begin, end - p, v[p].view(np.int64), textnum.mix(bytes_hash ^ textnum.mix(geometry)).view(np.int64)))
+                out.append((i + doc, p + base, p - begin, end - p, v[p].view(np.int64), textnum.mix(bytes_hash ^ textnum.mix(geometry)).view(np.int64), *sides))
             if out:
                 doc, *cols = (np.concatenate(x) for x in zip(*out, strict=True))
                 take = pa.array(doc)
                 back, ahead = (pa.array(cols[k].astype(np.int32)) for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0]), back, ahead, pa.array(cols[3]), pa.array(cols[4])], ["id", "th", "p", "back", "ahead", "g", "rh"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0]), back, ahead, *map(pa.array, cols[3:])], ["id", "th", "p", "back", "ahead", "g", "rh", "xl", "xr"])
 
     return run
 
 
+CONTEXT = "id long, th long, p long, single boolean, large boolean, g long, left binary, right binary"
+
+
 def _contexts(length: int):
-    """From (text, [(g, rh, p, back, ahead)]): the bytes left of each anchor backwards, and those from it on."""
+    """From (id, th, text, [(g, p, back, ahead, single, large)]): the bytes left of each anchor backwards, and those from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = textnum.column_bytes(batch.column(0))
+            data, offsets = textnum.column_bytes(batch.column(2))
             raw = data.tobytes() if len(data) < 1 << 26 else memoryview(data)
-            lists = batch.column(1)
+            lists = batch.column(3)
             items = lists.flatten()
             doc = np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))
-            g, rh, p, back, ahead = (items.field(k) for k in range(5))
+            g, p, back, ahead, single, large = (items.field(k) for k in range(6))
             at = offsets[doc] + p.to_numpy()
             lo, hi = at - back.to_numpy(), at + ahead.to_numpy() + length
             for k in range(0, len(at), 20000):
                 cut = slice(k, k + 20000)
                 left = [bytes(raw[a:b])[::-1] for a, b in zip(lo[cut].tolist(), at[cut].tolist(), strict=True)]
                 right = [bytes(raw[a:b]) for a, b in zip(at[cut].tolist(), hi[cut].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([g[cut], rh[cut], pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["g", "rh", "left", "right"])
+                own = pa.array(doc[cut])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), p[cut], single[cut], large[cut], g[cut], pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["id", "th", "p", "single", "large", "g", "left", "right"])
 
     return run
 
@@ -150,81 +161,104 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((h, first))
 
 
-def by_tree(left: list[bytes], right: list[bytes], length: int) -> dict[int, list[tuple[int, int]]]:
-    """For each member: runs of window starts, relative to its anchor, that another member shares."""
-    order = sorted(range(len(right)), key=right.__getitem__)
-    lcp = [_common(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
-    out: dict[int, list[tuple[int, int]]] = {}
-    for depth, first, last in intervals(lcp):
-        members = sorted(order[first : last + 1], key=left.__getitem__)
-        shared = [_common(left[a], left[b]) for a, b in zip(members, members[1:], strict=False)]
-        for k, x in enumerate(members):
-            most = max(shared[k - 1] if k else 0, shared[k] if k < len(shared) else 0)
-            if depth + most >= length:
-                out.setdefault(x, []).append((-most, depth - length))
-    return out
+def _in_order(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    return np.array(order), [_common(texts[a], texts[b]) for a, b in zip(order, order[1:], strict=False)]
 
 
-def counted(left: list[bytes], right: list[bytes], length: int) -> dict[int, list[tuple[int, int]]]:
-    """As by_tree(), by the hashes of all windows: for groups whose interval tree could be a long chain."""
-    owners, starts, hashes = [], [], []
-    for x, (a, b) in enumerate(zip(left, right, strict=True)):
-        c = textnum.sums(np.frombuffer(a[::-1] + b, np.uint8))
-        at = np.arange(len(a) + len(b) - length + 1)
-        hashes.append(textnum.span_hash(c, at, at + length))
-        starts.append(at - len(a))
-        owners.append(np.full(len(at), x))
-    owner, start, h = (np.concatenate(x) for x in (owners, starts, hashes))
-    key = textnum.mix(h ^ textnum.mix(start.astype(np.int64).view(U) + U(1)))  # the place is part of the key
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    out: dict[int, list[tuple[int, int]]] = {}
-    for k in np.flatnonzero(n[back] > 1).tolist():
-        runs = out.setdefault(int(owner[k]), [])
-        if runs and runs[-1][1] == start[k] - 1:
-            runs[-1] = (runs[-1][0], int(start[k]))
-        else:
-            runs.append((int(start[k]), int(start[k])))
-    return out
+class Minima:
+    """Minimum of any span of an array, by spans of powers of two."""
 
+    def __init__(self, x: np.ndarray):
+        self.rows = [x]
+        while 2 << len(self.rows) - 1 <= len(x):
+            last, w = self.rows[-1], 1 << len(self.rows) - 1
+            self.rows.append(np.minimum(last[:-w], last[w:]))
 
-def _groups(length: int, tree: int = 512):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(g, rh, left, right):
-            repeated = by_tree if len(rh) <= tree else counted
-            return [(g, rh[x], lo, hi) for x, runs in repeated(left, right, length).items() for lo, hi in runs]
+    def over(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of x[a:b], for each a < b."""
+        level = np.frexp(b - a)[1] - 1
+        out = np.empty(len(a), dtype=np.int64)
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(self.rows[k][a[at]], self.rows[k][b[at] - (1 << k)])
+        return out
+
+
+def by_tree(left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, first, last) of the runs of window starts, relative to the member's anchor, that another member shares."""
+    order, lcp = _in_order(right)
+    by_left, shared = _in_order(left)
+    minima, rank = Minima(np.array(shared, dtype=np.int64)), np.empty(len(left), dtype=np.int64)
+    rank[by_left] = np.arange(len(left))
+    rank = rank[order]
+    longest = max(shared, default=0)
+    member, lo, hi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for depth, first, last in intervals(lcp):
+        if depth + longest < length:
+            continue
+        own = np.sort(rank[first : last + 1])
+        near = minima.over(own[:-1], own[1:])
+        most = np.maximum(np.append(near, 0), np.append(0, near))  # the longest left extension shared with another member
+        good = depth + most >= length
+        if good.any():
+            member.append(by_left[own[good]])
+            lo.append(-most[good])
+            hi.append(np.full(int(good.sum()), depth - length))
+    x, a, b = (np.concatenate(y) for y in (member, lo, hi))
+    order = np.lexsort((a, x))  # overlapping runs of a member are one
+    x, a, b = x[order], a[order], b[order]
+    wide = x * 4 * length
+    reach = np.maximum.accumulate(b + wide) - wide if len(x) else b
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x[1:] != x[:-1]) | (a[1:] > reach[:-1] + 1)
+    start = np.flatnonzero(new)
+    return x[start], a[start], np.maximum.reduceat(b, start) if len(x) else b
+
+
+def _groups(length: int):
+    """Runs (id, th, a, b) of the members that occur once, from contexts sorted by anchor string."""
+
+    def solved(held):
+        rows = pa.Table.from_batches(held)
+        left, right = rows.column("left").to_pylist(), rows.column("right").to_pylist()
+        member, lo, hi = by_tree(left, right, length)
+        single = rows.column("single").to_numpy()[member] if len(member) else np.zeros(0, bool)
+        own = pa.array(member[single])
+        p = rows.column("p").to_numpy()[member[single]]
+        one = [rows.column(c).combine_chunks().take(own) for c in ("id", "th")]
+        return pa.RecordBatch.from_arrays([*one, pa.array(p + lo[single]), pa.array(p + hi[single])], ["id", "th", "a", "b"])
 
-        now, rh, left, right = None, [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out = []
-            for a, b, c, d in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if a != now:
-                    if len(rh) > 1:
-                        out += solve(now, rh, left, right)
-                    now, rh, left, right = a, [], [], []
-                rh.append(b)
-                left.append(c)
-                right.append(d)
-            yield _rows(out)
-        if len(rh) > 1:
-            yield _rows(solve(now, rh, left, right))
-
-    def _rows(out):
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g", "rh", "lo", "hi"])
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column("g")[0].as_py() != g[i]:
+                    if sum(map(len, held)) > 1:
+                        yield solved(held)
+                    held = []
+                held.append(batch.slice(i, j - i))
+        if sum(map(len, held)) > 1:
+            yield solved(held)
 
     return run
 
 
 def _windows(length: int):
-    """(g, rh, at, hash) of every window of a context."""
+    """(id, th, p, single, g, at, hash) of every window of a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, rh, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for k, (left, right) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)):
                 c = textnum.sums(np.frombuffer(left[::-1] + right, np.uint8))
                 start = np.arange(len(left) + len(right) - length + 1)
                 h = textnum.span_hash(c, start, start + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), g)), pa.array(np.full(len(h), rh)), pa.array(start - len(left)), pa.array(h)], ["g", "rh", "at", "h"])
+                own = pa.array(np.full(len(h), k))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(own) for x in ("id", "th", "p", "single", "g")), pa.array(start - len(left)), pa.array(h)], ["id", "th", "p", "single", "g", "at", "h"])
 
     return run
 
@@ -237,7 +271,7 @@ def _finish(length: int):
             for k, runs in enumerate(batch.column(2)):
                 d = data[offsets[k] : offsets[k + 1]]
                 if runs.values is None or not len(runs.values):
-                    rows.append((len(d), 0, 0, hashlib.sha256(d).hexdigest()))
+                    rows.append((len(d), 0, 0, hashlib.sha256(d).hexdigest(), d.tobytes().decode("utf-8", "replace")))
                     continue
                 a, b = (runs.values.field(x).to_numpy() for x in (0, 1))
                 edge = np.zeros(len(d) + 1, np.int32)
@@ -245,53 +279,56 @@ def _finish(length: int):
                 np.add.at(edge, b + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(d), int(gone.sum()), spans, hashlib.sha256(d[~gone]).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = d[~gone].tobytes()
+                rows.append((len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int = 16384, tree: int = 512) -> DataFrame:
-    """(id, th, a, b): runs of starts of repeated windows; docs: (id, th, text)."""
-    anchors = common.keep(docs.mapInArrow(_anchors(length, gram), "id long, th long, p long, back int, ahead int, g long, rh long"), "suffix-anchors")
-    classes = anchors.groupBy("g", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "p", "back", "ahead")).alias("one"))
-    classes = common.keep(classes, "suffix-classes")
-    mixed = classes.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).where("n > 1 AND c = 1").select("g", "n")
-    ask = classes.join(mixed, "g").select("one.id", "one.th", F.struct("g", "rh", "one.p", "one.back", "one.ahead", (F.col("n") > cap).alias("large")).alias("x"))
-    ask = ask.groupBy("id", "th").agg(F.collect_list("x").alias("xs"))  # as many as a document has anchors
-    spoken = common.keep(
-        docs.join(ask, ["id", "th"]).dropDuplicates(["id", "th"]).select("text", "xs").mapInArrow(_contexts_with_size(length), "g long, rh long, left binary, right binary, large boolean"), "suffix-contexts"
-    )
-    found = spoken.where("NOT large").drop("large").repartition("g").sortWithinPartitions("g").mapInArrow(_groups(length, tree), "g long, rh long, lo long, hi long")
-    rows = spoken.where("large").drop("large").mapInArrow(_windows(length), "g long, rh long, at long, h long")
+ANCHOR = "id long, th long, p long, back int, ahead int, g long, rh long, xl long, xr long"
+
+
+def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int = 16384) -> DataFrame:
+    """A written table (id, th, runs): runs (a, b) of starts of repeated windows; docs: (id, th, text)."""
+    anchors = common.keep(docs.mapInArrow(_anchors(length, gram), ANCHOR), "suffix-anchors")
+    one = F.min(F.struct("id", "th", "p", "back", "ahead")).alias("one")
+    classes = common.keep(anchors.groupBy("g", "rh").agg(F.count(F.lit(1)).alias("c"), one, F.min("xl").alias("xl"), F.min("xr").alias("xr")), "suffix-classes")
+    halves = classes.withColumn("x", F.explode(F.array("xl", "xr"))).where("x <> 0").drop("xl", "xr")
+    shared = common.keep(halves.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).where("n > 1 AND c = 1").select("x"), "suffix-halves")
+    asked = common.sift(halves, common.sieve(shared, "x"), "x").join(shared, "x", "left_semi").dropDuplicates(["g", "rh"]).select("g", "c", "one.*")
+    asked = common.keep(asked, "suffix-asked")
+    over = asked.groupBy("g").agg((F.count(F.lit(1)) > cap).alias("large"))
+    ask = asked.join(over, "g").select("id", "th", F.struct("g", "p", "back", "ahead", (F.col("c") == 1).alias("single"), "large").alias("x"))
+    ask = common.keep(ask.groupBy("id", "th").agg(F.collect_list("x").alias("xs")), "suffix-ask")  # as many as a document has anchors
+    texts = common.sift(docs, common.sieve(ask, "id", "th"), "id", "th")
+    spoken = texts.join(ask, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "xs")
+    spoken = common.keep(spoken.mapInArrow(_contexts(length), CONTEXT), "suffix-contexts")
+    common.discard(asked, ask, shared)
+    found = spoken.where("NOT large").repartition("g").sortWithinPartitions("g").mapInArrow(_groups(length), "id long, th long, a long, b long")
+    rows = spoken.where("large").mapInArrow(_windows(length), "id long, th long, p long, single boolean, g long, at long, h long")
     twice = rows.groupBy("g", "at", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    found = found.unionByName(rows.join(twice, ["g", "at", "h"]).select("g", "rh", F.col("at").alias("lo"), F.col("at").alias("hi")))
-    single = classes.where("c = 1").join(found, ["g", "rh"]).select("one.id", "one.th", (F.col("one.p") + F.col("lo")).alias("a"), (F.col("one.p") + F.col("hi")).alias("b"))
-    whole = anchors.join(classes.where("c > 1").select("g", "rh"), ["g", "rh"], "left_semi").select("id", "th", (F.col("p") - F.col("back")).alias("a"), (F.col("p") + F.col("ahead")).alias("b"))
-    return single.unionByName(whole)
-
-
-def _contexts_with_size(length: int):
-    inner = _contexts(length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            large, at = batch.column(1).flatten().field(5), 0
-            for out in inner(iter([batch])):
-                yield pa.RecordBatch.from_arrays([*out.columns, large[at : at + len(out)]], [*out.schema.names, "large"])
-                at += len(out)
-
-    return run
+    start = F.col("p") + F.col("at")
+    found = found.unionByName(rows.where("single").join(twice, ["g", "at", "h"]).select("id", "th", start.alias("a"), start.alias("b")))
+    again = classes.where("c > 1").select("g", "rh")
+    whole = common.sift(anchors.select("id", "th", "p", "back", "ahead", "g", "rh"), common.sieve(again, "g", "rh"), "g", "rh").join(again, ["g", "rh"], "left_semi")
+    runs = found.unionByName(whole.select("id", "th", (F.col("p") - F.col("back")).alias("a"), (F.col("p") + F.col("ahead")).alias("b")))
+    out = common.keep(runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "suffix-runs")  # bounded by the text
+    common.discard(anchors, classes, spoken)
+    return out
 
 
-def remove_repeats(df: DataFrame, length: int = 400, gram: int = 64, cap: int = 16384, tree: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of df."""
+def remove_repeats(df: DataFrame, length: int = 400, gram: int = 64, cap: int = 16384) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text: one row for each row of df. text: the remaining bytes (U+FFFD for those of a character that was cut)."""
     common.ship(df.sparkSession)
     text = common.text_or_empty()
-    docs = df.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    runs = repeated_runs(docs, length, gram, cap, tree).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the text
-    out = docs.join(runs, ["id", "th"], "left").select("id", "text", "runs").mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    runs = repeated_runs(docs, length, gram, cap)
+    some = common.sieve(runs, "id", "th")
+    hit = common.sift(docs, some, "id", "th").join(runs, ["id", "th"], "left").select("id", "text", "runs")
+    rest = common.sift(docs, some, "id", "th", out=True).select("id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("runs"))
+    out = hit.unionByName(rest).mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 

@@ -87,9 +87,9 @@ def test_jaccard_leaf(percent):
         assert root == want
 
 
-@pytest.mark.parametrize("cap,tree", [(16384, 512), (16384, 1), (1, 1)])
-def test_suffix(docs, none, cap, tree):
-    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, cap=cap, tree=tree).collect()}
+@pytest.mark.parametrize("cap", [16384, 1])
+def test_suffix(docs, none, cap):
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, cap=cap).collect()}
     data = {i: t.encode() for i, t in TEXTS.items()}
     seen = Counter(b[k : k + 400] for b in data.values() for k in range(len(b) - 399))
     for i, b in data.items():
@@ -98,10 +98,37 @@ def test_suffix(docs, none, cap, tree):
             if seen[b[k : k + 400]] > 1:
                 gone[k : k + 400] = b"\1" * 400
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
-        assert got[i] == (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        assert got[i] == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_tree():
+    """Runs of windows that another member shares, against brute force, with few letters so that contexts agree far on either side."""
+    r = random.Random(9)
+    for size in (2, 5, 40):
+        for _ in range(15):
+            left = ["".join(r.choice("ab" if r.random() < 0.1 else "a") for _ in range(r.randint(0, 12))).encode() for _ in range(size)]
+            right = ["".join(r.choice("ab" if r.random() < 0.1 else "a") for _ in range(r.randint(0, 12))).encode() for _ in range(size)]
+            right = [b"anchor" + x for x in right]
+            windows = [{(-k, (a[:k][::-1] + b)[:10]) for k in range(len(a) + 1) if k + len(b) >= 10} for a, b in zip(left, right, strict=True)]
+            want = {(i, k) for i, w in enumerate(windows) for k, x in w if any((k, x) in v for j, v in enumerate(windows) if j != i)}
+            got = [(int(m), k) for m, a, b in zip(*suffix_dedup.by_tree(left, right, 10), strict=True) for k in range(a, b + 1)]
+            assert sorted(got) == sorted(want)
+
+
+def test_suffix_long_and_repeated(spark):
+    """A text over several pieces, a copy of a part of it far away, repeated rows and null ids."""
+    r = np.random.default_rng(2)
+    long = bytes(r.integers(97, 123, 5 << 20, dtype=np.uint8)).decode()
+    part = long[(2 << 20) - 150 : (2 << 20) + 450]  # over the cut between pieces
+    long = long[: 4 << 20] + part + long[4 << 20 :]
+    short = "".join(map(chr, r.integers(97, 123, 900)))
+    rows = [(1, long), (2, short), (2, short), (None, short[:450] + "é"), (None, None), (5, "x" * 399), (6, "y" * 401)]
+    got = {(x["doc_id"], x["n_bytes"]): (x["n_removed"], x["n_spans"]) for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, len(long)): (1200, 2), (2, 900): (900, 1), (None, 452): (450, 1), (None, 0): (0, 0), (5, 399): (0, 0), (6, 401): (401, 1)}
+
+
 @pytest.mark.parametrize("bits", [64, 2])
 def test_exact(docs, none, bits):
     groups = {}
