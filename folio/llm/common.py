@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,9 +63,24 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, had)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
+    for tables in _scratch:
+        tables.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that keep() makes meanwhile."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        _scratch.pop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by keep() that nothing will read again."""
     for df in tables:

@@ -40,6 +40,7 @@ from . import common, textnum
 from .components import components
 
 U = np.uint64
+NO_ID = -(1 << 63)
 SKETCH = 10  # least bits of a parity sketch, as a power of two; a larger set has at least half as many bits as shingles
 
 
@@ -365,10 +366,10 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
 
 
 def keep_one(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """df's rows of each component's smallest doc_id (and rows with a null doc_id); repeated rows become one."""
-    stay = similarity_classes(df, width, percent).where("component_id = doc_id OR doc_id IS NULL").select("doc_id").distinct()
-    rows = df.join(stay, df["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """df's rows of each component's smallest doc_id (and rows with a null doc_id); repeated rows become one. Texts move once: rows of one doc_id meet, and are merged there."""
+    stay = similarity_classes(df, width, percent).where("component_id = doc_id OR doc_id IS NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
+    rows = df.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__digest", F.sha2(common.text_or_empty(), 256))
+    return rows.join(stay, "__id", "left_semi").dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

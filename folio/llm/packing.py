@@ -9,7 +9,7 @@
 * Shards: a task packs its documents in blocks of about `block_tokens` tokens (half to one and a half times, or all there is). A block has an inverted
   index of BM25 weights, with the statistics of the whole table. A seed document (the first unused one) asks for all of its terms but the end token; unused
   documents of the block by falling score fill its window. The document that reaches the window's end is cut there and its rest is the next seed; so is
-  what is left at a block's end. Only when no unused document has a term of the seed's, the next unused one goes on. A task's last tokens go to sequences
+  what is left at a block's end. A window takes no second copy of a document while the block has others. Only when no unused document has a term of the seed's, the next unused one goes on. A task's last tokens go to sequences
   whose lengths are powers of two. So no sequence has padding, and each id lies in one piece.
 
 Neighbours in other blocks are not seen (README has the share). A task holds one and a half blocks and a document. Results depend on how the table is
@@ -21,6 +21,7 @@ table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -55,16 +56,22 @@ class Pieces:
         self.hashes, self.first, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Tokenises new distinct pieces, many in one string."""
+        """Tokenises new distinct pieces, many in one string. A piece of ASCII letters is one word to the tokenizer, so its words' numbers say whose ids they are."""
         ids, owners = [], []
-        for k in range(0, len(texts), 1000):
-            part = texts[k : k + 1000]
-            starts = np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            if e.ids:
-                ids.append(np.array(e.ids, dtype=np.uint16))
-                owners.append(k + np.searchsorted(starts, np.array(e.offsets)[:, 0], side="right") - 1)
+        letters = np.array([t.isascii() and t.isalpha() for t in texts], dtype=bool)
+        for plain in (True, False):
+            which = np.flatnonzero(letters == plain)
+            for k in range(0, len(which), 1000):
+                own = which[k : k + 1000]
+                part = [texts[x] for x in own.tolist()]
+                e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                if e.ids:
+                    starts = np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
+                    ids.append(np.array(e.ids, dtype=np.uint16))
+                    owners.append(own[np.array(e.word_ids) if plain else np.searchsorted(starts, np.array(e.offsets)[:, 0], side="right") - 1])
         ids, owners = np.concatenate([np.zeros(0, np.uint16), *ids]), np.concatenate([np.zeros(0, np.int64), *owners])
+        order = np.argsort(owners, kind="stable")
+        ids, owners = ids[order], owners[order]
         length = np.bincount(owners, minlength=len(texts)).astype(np.int64)
         first = np.cumsum(length) - length + len(self.ids)
         h = np.concatenate([self.hashes, hashes])
@@ -184,14 +191,41 @@ class Index:
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.n = len(docs)
+        self.left = np.arange(self.n)  # documents that postings still have
+        self._rows()
+
+    def _rows(self) -> None:
+        """Terms of a third of the documents or more have a whole row of weights."""
+        often = np.flatnonzero(np.diff(self.post_at) * 3 >= max(len(self.left), 3))
+        self.row = np.full(VOCABULARY, -1)
+        self.row[often] = np.arange(len(often))
+        self.whole = np.zeros((len(often), len(self.left)))
+        for k, t in enumerate(often.tolist()):
+            own = slice(self.post_at[t], self.post_at[t + 1])
+            self.whole[k, self.post_doc[own]] = self.post_weight[own]
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Takes used documents out of the postings."""
+        stay = unused[self.left]
+        ok = stay[self.post_doc]
+        self.post_at = np.concatenate([[0], np.cumsum(ok)])[self.post_at]
+        self.post_doc, self.post_weight = (np.cumsum(stay) - 1)[self.post_doc[ok]], self.post_weight[ok]
+        self.left = self.left[stay]
+        self._rows()
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of each document for all terms of the seed's."""
+        """BM25 of each document for all terms of the seed's; 0 for those forgotten."""
         terms = self.term[self.doc_at[seed] : self.doc_at[seed + 1]]
         if not len(terms):
             return np.zeros(self.n)
-        spans = list(zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist(), strict=True))
-        return np.bincount(np.concatenate([self.post_doc[p:q] for p, q in spans]), np.concatenate([self.post_weight[p:q] for p, q in spans]), self.n)
+        row = self.row[terms]
+        score, terms = self.whole[row[row >= 0]].sum(axis=0), terms[row < 0]
+        if len(terms):
+            spans = list(zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist(), strict=True))
+            score += np.bincount(np.concatenate([self.post_doc[p:q] for p, q in spans]), np.concatenate([self.post_weight[p:q] for p, q in spans]), len(self.left))
+        out = np.zeros(self.n)
+        out[self.left] = score
+        return out
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents with a term of the seed's, by falling score."""
@@ -211,6 +245,7 @@ def _pack(window: int, block_tokens: int, shared):
         idf, mean = shared.value
         sequence, out = TaskContext.get().partitionId() << 32, []
         held: list[tuple] = []  # what the open window has: (doc_id, ids, start, end)
+        inside: set[bytes] = set()  # digests of the documents in it
         room = window
 
         def close():
@@ -220,13 +255,15 @@ def _pack(window: int, block_tokens: int, shared):
                 out.append((doc, start, end - start, zlib.crc32(ids[start:end].astype("<u4").tobytes()), len(ids), sequence, at))
                 at += end - start
             held.clear()
+            inside.clear()
             sequence += 1
             room = window
 
-        def put(doc, ids, start):
+        def put(doc, ids, start, digest):
             """Adds ids from start on to the open window; returns where the window ended if it did."""
             nonlocal room
             while start < len(ids):
+                inside.add(digest)
                 end = min(len(ids), start + room)
                 held.append((doc, ids, start, end))
                 room -= end - start
@@ -238,6 +275,7 @@ def _pack(window: int, block_tokens: int, shared):
 
         def block(names, docs):
             index, unused = Index(docs, idf, mean), np.ones(len(docs), dtype=bool)
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in docs]
             first, seed = 0, None
             while True:
                 if seed is None:
@@ -246,16 +284,22 @@ def _pack(window: int, block_tokens: int, shared):
                     if first == len(docs):
                         return
                     seed, start = first, 0
+                    if digests[seed] in inside:  # a copy waits for another window, while there are other documents
+                        seed = next((k for k in np.flatnonzero(unused).tolist() if digests[k] not in inside), first)
                     unused[seed] = False
                 while start < len(docs[seed]) and (len(docs[seed]) - start >= room):
-                    start = put(names[seed], docs[seed], start)
-                put(names[seed], docs[seed], start)
+                    start = put(names[seed], docs[seed], start, digests[seed])
+                put(names[seed], docs[seed], start, digests[seed])
                 own, seed = seed, None
+                if unused.sum() < 0.8 * len(index.left):
+                    index.forget(unused)
                 if room == window:
                     continue
                 for k in index.neighbours(own, unused):  # the seed's window has room
+                    if digests[k] in inside:
+                        continue
                     unused[k] = False
-                    at = put(names[k], docs[k], 0)
+                    at = put(names[k], docs[k], 0, digests[k])
                     if room == window:
                         if at < len(docs[k]):
                             seed, start = k, at

@@ -311,8 +311,11 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int =
     twice = rows.groupBy("g", "at", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     start = F.col("p") + F.col("at")
     found = found.unionByName(rows.where("single").join(twice, ["g", "at", "h"]).select("id", "th", start.alias("a"), start.alias("b")))
-    again = classes.where("c > 1").select("g", "rh")
-    whole = common.sift(anchors.select("id", "th", "p", "back", "ahead", "g", "rh"), common.sieve(again, "g", "rh"), "g", "rh").join(again, ["g", "rh"], "left_semi")
+    hot_from = max(1000, (classes.agg(F.sum("c")).first()[0] or 0) // 1000)
+    again = classes.where("c > 1").select("g", "rh", "c")
+    hot = F.broadcast(again.where(F.col("c") >= hot_from).select("g", "rh"))  # a thousand rows at most
+    several = common.sift(anchors.select("id", "th", "p", "back", "ahead", "g", "rh"), common.sieve(again, "g", "rh"), "g", "rh")
+    whole = several.join(hot, ["g", "rh"], "left_anti").join(again.where(F.col("c") < hot_from), ["g", "rh"], "left_semi").unionByName(several.join(hot, ["g", "rh"], "left_semi"))
     runs = found.unionByName(whole.select("id", "th", (F.col("p") - F.col("back")).alias("a"), (F.col("p") + F.col("ahead")).alias("b")))
     out = common.keep(runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "suffix-runs")  # bounded by the text
     common.discard(anchors, classes, spoken)
