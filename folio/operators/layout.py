@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,35 +13,84 @@ PAGE_WIDTH, PAGE_HEIGHT, MARGIN, CONTENT_WIDTH, GAP = 595, 842, 48, 499, 8
 MAX_PAGE, TILE_BYTES, MIB = 14400, 12 << 20, 1 << 20
 
 
-def paginate(blocks: DataFrame) -> DataFrame:
-    """(doc_id, ord, page_no, y) of blocks (doc_id, ord, height, gap): a block that does not fit opens a page, even the first.
+#: Fixed values, in points: a blank paragraph's height (nothing follows it), the least height of a table row, the padding of a cell.
+BLANK, MIN_ROW, PADDING = 12.65, 18, 4
 
-    The cursor is a fold in document order; a document is one group and nothing else is gathered.
-    """
-    import pandas as pd
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        page, y, out = 1, float(MARGIN), []
-        for o, h, g in zip(rows["ord"], rows["height"], rows["gap"], strict=True):
+def _cursor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doc, page, y, first = None, 1, float(MARGIN), True
+    for batch in batches:
+        ids, heights, gaps, forced = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
+        pages, places = [], []
+        for i, h, g, f in zip(ids, heights, gaps, forced, strict=True):
+            if first or i != doc:
+                doc, page, y, first = i, 1, float(MARGIN), False
+            if f:
+                page, y = page + 1, float(MARGIN)
             if y + h > PAGE_HEIGHT - MARGIN:
                 page, y = page + 1, float(MARGIN)
-            out.append((o, page, y))
-            y += h + g
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "ord": [x[0] for x in out], "page_no": [x[1] for x in out], "y": [x[2] for x in out]})
+            pages.append(page)
+            places.append(y)
+            y = y + h + g
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages, pa.int32()), pa.array(places, pa.float64())], ["doc_id", "ord", "page_no", "y"])
+
 
-    return blocks.select("doc_id", "ord", "height", "gap").groupBy("doc_id").applyInPandas(place, "doc_id long, ord int, page_no int, y double")
+def paginate(blocks: DataFrame) -> DataFrame:
+    """(doc_id, ord, page_no, y) of blocks (doc_id, ord, height, gap, and forced if there are such): a block that does not fit, or is forced to, opens a page, even the first.
+
+    The rows of a document come to one task in order and are streamed, so a document of any length takes no more memory than a batch.
+    """
+    forced = F.coalesce("forced", F.lit(False)) if "forced" in blocks.columns else F.lit(False)
+    rows = blocks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ord").cast("int").alias("ord"), F.col("height").cast("double"), F.col("gap").cast("double"), forced.alias("forced"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(_cursor, "doc_id long, ord int, page_no int, y double")
 
 
-def page_cursor(heights: Column, gaps: Column) -> Column:
-    """struct(page, y) behind an array of blocks, as one expression (heights and gaps in any exact unit of doubles)."""
-    start = F.struct(F.lit(1).alias("page"), F.lit(float(MARGIN)).alias("y"))
+def image_box(width: Column, height: Column) -> tuple[Column, Column]:
+    """Drawn size of an image in pixels: shrunk to the content's width, however tall; null without a size (it is left out)."""
+    scale = F.least(F.lit(1.0), F.lit(float(CONTENT_WIDTH)) / width)
+    good = (width > 0) & (height > 0)
+    return F.when(good, width * scale), F.when(good, height * scale)
 
-    def step(s: Column, b: Column) -> Column:
-        over = s["y"] + b["height"] > PAGE_HEIGHT - MARGIN
-        return F.struct((s["page"] + over.cast("int")).alias("page"), (F.when(over, float(MARGIN)).otherwise(s["y"]) + b["height"] + b["gap"]).alias("y"))
 
-    return F.aggregate(F.arrays_zip(heights.alias("height"), gaps.alias("gap")), start, step)
+def boxes(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, ord, kind, height, blank, width_px, height_px) with height, gap and forced; images without a size drop out.
+
+    kind: PARAGRAPH, IMAGE, ROW (of a table), END (of a table), COMMENTS (the heading, on a new page) or COMMENT.
+    """
+    kind, (_, drawn) = F.col("kind"), image_box(F.col("width_px"), F.col("height_px"))
+    blank = (kind == "PARAGRAPH") & F.col("blank")
+    height = F.when(blank, BLANK).when(kind == "IMAGE", drawn).when(kind == "ROW", F.greatest(F.lit(float(MIN_ROW)), F.coalesce("height", F.lit(0.0)) + 2 * PADDING)).when(kind == "END", 0.0).otherwise(F.col("height"))
+    gap = F.when(blank | (kind == "ROW"), 0.0).when(kind == "COMMENTS", 2.0 * GAP).otherwise(float(GAP))
+    return blocks.select("doc_id", "ord", "kind", height.cast("double").alias("height"), gap.alias("gap"), (kind == "COMMENTS").alias("forced")).where("height IS NOT NULL")
+
+
+def layout(blocks: DataFrame) -> DataFrame:
+    """doc_id, ord, kind, height, page_no, y: a whole document's blocks, in order and then its comments, on pages."""
+    boxed = boxes(blocks)
+    return boxed.where("kind <> 'END'").select("doc_id", "ord", "kind", "height").join(paginate(boxed), ["doc_id", "ord"])
+
+
+def image_pages(images: DataFrame, by: str, order: str) -> DataFrame:
+    """images with page_no in their order and the size of their page."""
+    w, h = image_page(F.col("width").cast("double"), F.col("height").cast("double"))
+    return images.withColumn("page_no", F.row_number().over(Window.partitionBy(by).orderBy(order))).withColumn("page_w", w).withColumn("page_h", h)
+
+
+def placement(width: Column, height: Column, rotation: Column, box: tuple[Column, Column, Column, Column]) -> dict[str, Column]:
+    """Coefficients of x' = a * x + b * y + c, y' = d * x + e * y + f that draw a raw image, turned, into a box (left, top, width, height)."""
+    left, top, box_w, box_h = box
+    shown_w, shown_h = displayed_size(width, height, rotation)
+    sx, sy = box_w / shown_w, box_h / shown_h
+    pick = lambda at0, at90, at180, at270: F.when(rotation == 90, at90).when(rotation == 180, at180).when(rotation == 270, at270).otherwise(at0)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return {
+        "a": pick(one, zero, -one, zero) * sx,
+        "b": pick(zero, -one, zero, one) * sx,
+        "c": pick(zero, height, width, zero) * sx + left,
+        "d": pick(zero, one, zero, -one) * sy,
+        "e": pick(one, zero, -one, zero) * sy,
+        "f": pick(zero, zero, height, width) * sy + top,
+    }
 
 
 def image_page(width: Column, height: Column) -> tuple[Column, Column]:

@@ -14,6 +14,26 @@ def text_lines(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.floor(F.col("line_ix") / 40).cast("int").alias("page_ix"), "line_ix", "text", (9 + F.length("text") % 12).cast("float").alias("font_pt")).where(~T.is_blank(F.col("text")))
 
 
+def glyph_lines(glyphs: DataFrame) -> DataFrame:
+    """Text lines of glyphs (doc_id, page_ix, line_ix, ord, text, x, y, size): text in order, place of the first glyph, largest size; blank lines drop out."""
+    row = glyphs.groupBy("doc_id", "page_ix", "line_ix").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda g: g["text"]), "").alias("text"),
+        F.min_by("x", "ord").alias("x"),
+        F.min_by("y", "ord").alias("y"),
+        F.max("size").cast("float").alias("font_pt"),
+    )
+    return row.where(~T.is_blank(F.col("text")))
+
+
+def in_reading_order(lines: DataFrame) -> DataFrame:
+    """lines with line_ix anew, by page, from the top, from the left."""
+    return lines.withColumn("line_ix", F.row_number().over(Window.partitionBy("doc_id", "page_ix").orderBy("y", "x", "line_ix")) - 1)
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
 def table_runs(lines: DataFrame) -> DataFrame:
     """lines with n_cells, and run_id of maximal runs of two or more lines with one cell count of two or more (else null). Runs stay on a page."""
     page = Window.partitionBy("doc_id", "page_ix").orderBy("line_ix")

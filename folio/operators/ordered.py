@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def move(selection: DataFrame, by: list[str], position: int, up: bool) -> DataFrame:
     """Swaps a position with the one before (up) or after it; nothing happens at the ends."""
@@ -34,5 +36,21 @@ def flattened_cell(paragraphs: Column) -> Column:
     return F.aggregate(paragraphs, F.lit(""), lambda acc, p: F.concat(acc, F.when(acc != "", F.lit("\n")).otherwise(""), p))
 
 
-def distinct_in_order(order: Column, value: Column) -> Column:
-    return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda s: s["v"]))
+def distinct_in_order(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """by, and values: each distinct value once, in the order of its first occurrence. Values merge before they are gathered."""
+    first = rows.groupBy(*by, value).agg(F.min(order).alias("__o"))
+    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col(value).alias("v")))), lambda s: s["v"]).alias("values"))
+
+
+def first_row(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group."""
+    first = rows.groupBy(*by).agg(F.min(F.struct(*order, *(c for c in rows.columns if c not in {*by, *order}))).alias("r"))
+    return first.select(*by, "r.*")
+
+
+def span_table(runs: DataFrame, by: str, order: str) -> DataFrame:
+    """runs with start and stop of their text in the whole of it, in UTF-16 units; empty runs drop out."""
+    n = T.utf16_length(F.col("text")).cast("long")
+    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("start", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    return placed.withColumn("stop", F.col("start") + n).where("stop > start")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Qualities and resolution steps of the image search, steps of the document search.
 LOW, HIGH, IMAGE_STEPS, DOCUMENT_STEPS = 2, 97, 12, 11
 
@@ -12,16 +14,17 @@ LOW, HIGH, IMAGE_STEPS, DOCUMENT_STEPS = 2, 97, 12, 11
 def best_quality(probes: DataFrame, target: int) -> DataFrame:
     """item_id, scale_step, quality, size_bytes, reached: the first resolution step whose lowest quality fits, with its highest quality that fits;
     where none fits, the smallest probe (the earliest of equals). Sizes must not fall with quality."""
-    fits = probes.where(F.col("size_bytes") <= target).groupBy("item_id").agg(F.min(F.struct("scale_step", (-F.col("quality")).alias("neg"), "size_bytes")).alias("f"))
-    least = probes.groupBy("item_id").agg(F.min(F.struct("size_bytes", "scale_step", "quality")).alias("l"))
-    both = least.join(fits, "item_id", "left")
-    return both.select(
-        "item_id",
-        F.coalesce("f.scale_step", "l.scale_step").alias("scale_step"),
-        F.coalesce(-F.col("f.neg"), F.col("l.quality")).alias("quality"),
-        F.coalesce("f.size_bytes", "l.size_bytes").alias("size_bytes"),
-        F.col("f").isNotNull().alias("reached"),
+    fits = F.col("size_bytes") <= target
+    rank = F.struct(
+        (~fits).alias("miss"),
+        F.when(fits, F.col("scale_step")).otherwise(F.col("size_bytes")).cast("long").alias("first"),
+        F.when(fits, -F.col("quality")).otherwise(F.col("scale_step")).cast("long").alias("second"),
+        "quality",
+        "scale_step",
+        "size_bytes",
     )
+    best = probes.groupBy("item_id").agg(F.min(rank).alias("b"))  # one pass, merged before the exchange
+    return best.select("item_id", "b.scale_step", "b.quality", "b.size_bytes", (~F.col("b.miss")).alias("reached"))
 
 
 def replayed_quality(sizes: Column, target: Column) -> Column:
@@ -36,6 +39,42 @@ def replayed_quality(sizes: Column, target: Column) -> Column:
     return F.when(F.element_at(sizes, F.lit(LOW)) <= target, F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step, lambda s: s["best"]))
 
 
+#: Least and greatest quality of document images, and the width at which the search ends; 5 halvings get there.
+DOCUMENT_LOW, DOCUMENT_HIGH, PROBES = 0.05, 0.92, 5
+
+
+def document_quality(size_at, target: Column) -> Column:
+    """Bisection of a document's image quality in single precision: the last one found to fit, or null if the least does not. size_at: a Column of the quality to one of bytes."""
+    real = lambda x: F.lit(x).cast("float")
+    start = F.struct(real(DOCUMENT_LOW).alias("lo"), real(DOCUMENT_HIGH).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) * real(0.5)
+        fits = size_at(mid) <= target
+        return F.struct(F.when(fits, mid).otherwise(s["lo"]).alias("lo"), F.when(fits, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.when(size_at(real(DOCUMENT_LOW)) <= target, F.aggregate(F.sequence(F.lit(1), F.lit(PROBES)), start, step, lambda s: s["lo"]))
+
+
+PRESET = 102400  # bytes, a fixed value
+
+
+def target_size(custom: Column, use_preset: Column) -> Column:
+    """Bytes to reach: the preset, or what was typed; null if that is no positive size."""
+    return F.when(use_preset, F.lit(PRESET).cast("long")).otherwise(T.parse_size(custom))
+
+
+def guard(selected: Column, target: Column, pages: Column) -> Column:
+    """What stands in the way of a job, or null: nothing selected, no valid target, no pages."""
+    return F.when(F.coalesce(selected, F.lit(0)) < 1, "nothing selected").when(F.coalesce(target, F.lit(0)) < 1, "no valid target").when(F.coalesce(pages, F.lit(0)) < 1, "no pages")
+
+
+def slot_counts(documents: DataFrame, slots: DataFrame) -> DataFrame:
+    """documents with image_count; those without images are only written anew."""
+    own = slots.groupBy("doc_id").agg(F.count(F.lit(1)).alias("image_count"))
+    return documents.join(own, "doc_id", "left").withColumn("image_count", F.coalesce("image_count", F.lit(0))).withColumn("recompressed", F.col("image_count") > 0)
+
+
 def shrunk(size: Column, steps: Column) -> Column:
     """A dimension after that many resamplings by 0.85, each truncated, 1 at least."""
     return F.aggregate(F.sequence(F.lit(0), steps), size.cast("long"), lambda s, k: F.when(k == 0, s).otherwise(F.greatest(F.lit(1), F.floor(s * 0.85)).cast("long")))

@@ -6,11 +6,15 @@ lines, relationship chains from orders, image sizes and probes from part keys.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import layout, lines, ordered, search
+from .operators import compose, layout, lines, ordered, search
 from .sources import docx, docx_writer
 
 QUERIES: dict = {}
@@ -52,14 +56,14 @@ n AS (SELECT *, CASE WHEN lag(n_cells) OVER w = n_cells THEN 0 ELSE 1 END AS new
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_ix ORDER BY line_ix ROWS UNBOUNDED PRECEDING) AS run FROM n),
 q AS (SELECT *, CASE WHEN n_cells >= 2 AND count(*) OVER (PARTITION BY doc_id, page_ix, run) >= 2 THEN run END AS run_id FROM r),
 m AS (SELECT doc_id, quantile_disc(font, 0.5 ORDER BY font DESC) AS median FROM l GROUP BY doc_id)"""
-STYLE = "CASE WHEN 10 * font >= 18 * median THEN 'TITLE' WHEN 10 * font >= 14 * median THEN 'HEADING1' WHEN 10 * font >= 12 * median THEN 'HEADING2' ELSE 'NORMAL' END"
+STYLE = "CASE WHEN median <= 0 THEN 'NORMAL' " + " ".join(f"WHEN CAST(font AS FLOAT) >= CAST(median AS FLOAT) * CAST({k} AS FLOAT) THEN '{v}'" for k, v in (("1.8", "TITLE"), ("1.4", "HEADING1"), ("1.2", "HEADING2"))) + " ELSE 'NORMAL' END"
 
 
 @query(f"""WITH {RUNS}, b AS (SELECT doc_id, page_ix, coalesce('t' || run_id, 'p' || line_ix) AS block, max(run_id) AS run_id, count(*) AS n_lines,
 max(CASE WHEN run_id IS NULL THEN {STYLE} END) AS style FROM q JOIN m USING (doc_id) GROUP BY 1, 2, 3)
 SELECT doc_id, CASE WHEN run_id IS NULL THEN 'PARAGRAPH' ELSE 'TABLE' END AS kind, coalesce(style, '-') AS style, count(*) AS n_blocks, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM b GROUP BY 1, 2, 3""")
 def document_structure(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = lines.page_blocks(cell_lines(spark, sf).withColumn("font_pt", F.col("font_pt")).join(own_lines(spark, sf).select("doc_id", "line_ix", F.col("font_pt").alias("f")), ["doc_id", "line_ix"]).withColumn("font_pt", F.col("f")).drop("f"), table(spark, sf, "documents"))
+    blocks = lines.page_blocks(cell_lines(spark, sf), table(spark, sf, "documents"))
     return blocks.groupBy("doc_id", "kind", F.coalesce("style", F.lit("-")).alias("style")).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_lines").alias("n_lines"))
 
 
@@ -83,8 +87,7 @@ def upper_median_font(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {RUNS} SELECT doc_id, {STYLE} AS style, count(*) AS n_lines FROM l JOIN m USING (doc_id) GROUP BY 1, 2")
 def heading_classify(spark: SparkSession, sf: str) -> DataFrame:
     own = own_lines(spark, sf)
-    m, f = F.col("median"), F.col("font_pt")
-    style = F.when(10 * f >= 18 * m, "TITLE").when(10 * f >= 14 * m, "HEADING1").when(10 * f >= 12 * m, "HEADING2").otherwise("NORMAL")
+    style = lines.heading_style(F.col("font_pt"), F.col("median"))
     return own.join(lines.median_fonts(own, table(spark, sf, "documents")), "doc_id").groupBy("doc_id", style.alias("style")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -176,8 +179,8 @@ def optional_part(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2)
 SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY o) AS kinds FROM f GROUP BY 1""")
 def distinct_ext(spark: SparkSession, sf: str) -> DataFrame:
-    first = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("o"))
-    return first.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), ordered.joined(F.col("o"), F.col("event_type"), ",").alias("kinds"))
+    found = ordered.distinct_in_order(table(spark, sf, "events"), ["user_id"], "event_id", "event_type")
+    return found.select("user_id", F.size("values").cast("long").alias("n"), F.array_join("values", ",").alias("kinds"))
 
 
 SPANS = "c AS (SELECT conv_id AS table_id, turn // 4 AS row_ix, turn % 4 AS cell_ix, 1 + turn % 3 AS grid_span FROM conversations), k AS (SELECT table_id, max(n) AS n_columns FROM (SELECT table_id, row_ix, sum(grid_span) AS n FROM c GROUP BY 1, 2) GROUP BY 1)"
@@ -326,3 +329,259 @@ def docx_cells(spark: SparkSession, sf: str) -> DataFrame:
     text = F.array_sort(F.collect_list(F.when(F.col("entity") == "block", F.struct("ord", F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("v")))))
     found = rows.groupBy("path", cell.alias("cell")).agg(at("row_ix"), at("cell_ix"), at("grid_span"), at("vmerge_cont"), text.alias("p"))
     return found.select("path", "row_ix", "cell_ix", "grid_span", "vmerge_cont", ordered.flattened_cell(F.transform("p", lambda s: s["v"])).alias("text"))
+
+
+ITEMS = "i AS (SELECT p_partkey AS k FROM part)"
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+
+
+@query(f"""WITH {IMAGES}, r AS (SELECT *, CAST(p_partkey % 4 * 90 AS INTEGER) AS rotation FROM i)
+SELECT p_partkey, CASE WHEN rotation IN (90, 270) THEN h ELSE w END AS shown_w, CASE WHEN rotation IN (90, 270) THEN w ELSE h END AS shown_h FROM r""")
+def displayed_size(spark: SparkSession, sf: str) -> DataFrame:
+    w, h = layout.displayed_size(F.col("width").cast("long"), F.col("height").cast("long"), F.col("p_partkey") % 4 * 90)
+    return _images(spark, sf).select("p_partkey", w.alias("shown_w"), h.alias("shown_h"))
+
+
+@query(f"""WITH {IMAGES}, r AS (SELECT *, p_partkey % 4 AS q, CASE WHEN p_partkey % 2 = 1 THEN h ELSE w END AS dw, CASE WHEN p_partkey % 2 = 1 THEN w ELSE h END AS dh FROM i),
+s AS (SELECT *, 400.0::DOUBLE / dw AS sx, 300.0::DOUBLE / dh AS sy FROM r)
+SELECT p_partkey, round(([1, 0, -1, 0])[q + 1] * sx, 9) + 0 AS a, round(([0, -1, 0, 1])[q + 1] * sx, 9) + 0 AS b, round(([0, h, w, 0])[q + 1] * sx + 20, 6) AS c,
+round(([0, 1, 0, -1])[q + 1] * sy, 9) + 0 AS d, round(([1, 0, -1, 0])[q + 1] * sy, 9) + 0 AS e, round(([0, 0, h, w])[q + 1] * sy + 10, 6) AS f FROM s""")
+def image_placement(spark: SparkSession, sf: str) -> DataFrame:
+    m = layout.placement(F.col("width").cast("double"), F.col("height").cast("double"), F.col("p_partkey") % 4 * 90, (F.lit(20.0), F.lit(10.0), F.lit(400.0), F.lit(300.0)))
+    return _images(spark, sf).select("p_partkey", *((F.round(v, 6 if k in "cf" else 9) + 0.0).alias(k) for k, v in m.items()))
+
+
+@query(f"""WITH {IMAGES}, s AS (SELECT *, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE w END AS v FROM i), f AS (SELECT *, least(1.0::DOUBLE, 499.0::DOUBLE / v) AS z FROM s WHERE v > 0)
+SELECT p_partkey, round(v * z, 6) AS draw_w, round(h * z, 6) AS draw_h FROM f""")
+def image_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    w, h = layout.image_box(F.when(F.col("p_partkey") % 10 == 0, 0).otherwise(F.col("width")), F.col("height"))
+    return _images(spark, sf).select("p_partkey", F.round(w, 6).alias("draw_w"), F.round(h, 6).alias("draw_h")).where("draw_w IS NOT NULL")
+
+
+@query(f"""WITH {IMAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS page_no, least(1.0::DOUBLE, 14400.0::DOUBLE / greatest(w * 0.75::DOUBLE, h * 0.75::DOUBLE)) AS f FROM i)
+SELECT p_partkey % 50 AS album, page_no, p_partkey, CAST(floor(greatest(w * 0.75::DOUBLE * f, 1) + 0.5) AS BIGINT) AS page_w, CAST(floor(greatest(h * 0.75::DOUBLE * f, 1) + 0.5) AS BIGINT) AS page_h FROM n""")
+def image_pages(spark: SparkSession, sf: str) -> DataFrame:
+    made = layout.image_pages(_images(spark, sf).withColumn("album", F.col("p_partkey") % 50), "album", "p_partkey")
+    return made.select("album", F.col("page_no").cast("long").alias("page_no"), "p_partkey", "page_w", "page_h")
+
+
+@query("""WITH c AS (SELECT conv_id AS table_id, turn // 4 AS row_ix, CASE WHEN turn % 4 < 3 THEN 12.5::DOUBLE * ceil(length(text) / 90.0) END AS height FROM conversations)
+SELECT table_id, row_ix, greatest(18.0::DOUBLE, coalesce(max(height), 0) + 8) AS height FROM c GROUP BY 1, 2""")
+def row_heights(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("table_id"), F.floor(F.col("turn") / 4).alias("row_ix"), F.when(F.col("turn") % 4 < 3, 12.5 * F.ceil(F.length("text") / 90.0)).alias("height"))
+    return layout.row_heights(c)
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, s AS (SELECT k, list_transform(range(0, 98), lambda q: (k * 7919 % 50000 + 2000) * (q + 3) // 100 + (q * k % 17) * 300) AS sizes FROM i),
+b AS (SELECT k, sizes, 3 AS lo, 97 AS hi, 2 AS best, 0 AS n FROM s WHERE sizes[3] <= 12000
+UNION ALL SELECT k, sizes, CASE WHEN sizes[mid + 1] <= 12000 THEN mid + 1 ELSE lo END, CASE WHEN sizes[mid + 1] <= 12000 THEN hi ELSE mid - 1 END, CASE WHEN sizes[mid + 1] <= 12000 THEN mid ELSE best END, n + 1
+FROM (SELECT *, (lo + hi) // 2 AS mid FROM b WHERE lo <= hi AND n < 8))
+SELECT k, CAST(best AS INTEGER) AS quality FROM (SELECT k, best, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS r FROM b) WHERE r = 1 UNION ALL SELECT k, NULL FROM s WHERE sizes[3] > 12000""")
+def replayed_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The bisection on sizes that also fall as quality rises."""
+    sizes = F.expr("transform(sequence(1, 97), q -> (k * 7919 % 50000 + 2000) * (q + 3) div 100 + (q * k % 17) * 300)")
+    return _items(spark, sf).select("k", search.replayed_quality(sizes, F.lit(12000)).alias("quality"))
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, s AS (SELECT k, CAST(k * 7919 % 900000 + 1000 AS DOUBLE) AS base FROM i),
+b AS (SELECT k, base, CAST(0.05 AS FLOAT) AS lo, CAST(0.92 AS FLOAT) AS hi, 0 AS n FROM s WHERE floor(base * CAST(CAST(0.05 AS FLOAT) AS DOUBLE)) <= 100000
+UNION ALL SELECT k, base, CASE WHEN fits THEN mid ELSE lo END, CASE WHEN fits THEN hi ELSE mid END, n + 1
+FROM (SELECT *, floor(base * CAST(mid AS DOUBLE)) <= 100000 AS fits FROM (SELECT *, CAST((lo + hi) * CAST(0.5 AS FLOAT) AS FLOAT) AS mid FROM b WHERE n < 5)))
+SELECT k, CAST(lo AS DOUBLE) AS quality FROM b WHERE n = 5""")
+def document_quality(spark: SparkSession, sf: str) -> DataFrame:
+    found = search.document_quality(lambda q: F.floor((F.col("k") * 7919 % 900000 + 1000).cast("double") * q.cast("double")), F.lit(100000))
+    return _items(spark, sf).select("k", found.cast("double").alias("quality")).where("quality IS NOT NULL")
+
+
+@query(f"""WITH RECURSIVE {IMAGES}, s AS (SELECT p_partkey, 0 AS step, w FROM i UNION ALL SELECT p_partkey, step + 1, greatest(1, CAST(floor(w * 0.85::DOUBLE) AS BIGINT)) FROM s WHERE step < 12) SELECT p_partkey, CAST(step AS INTEGER) AS step, w FROM s""")
+def shrunk_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return _images(spark, sf).select("p_partkey", "width", F.explode(F.sequence(F.lit(0), F.lit(search.IMAGE_STEPS))).alias("step")).select("p_partkey", "step", search.shrunk(F.col("width"), F.col("step")).alias("w"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_size || ' KB' WHEN 1 THEN '' ELSE p_size || 'x' END AS given, p_partkey % 3 = 0 AS preset, p_partkey % 7 AS chosen, p_partkey % 5 AS pages FROM part),
+t AS (SELECT *, CASE WHEN preset THEN 102400 WHEN k % 4 = 0 THEN CAST(regexp_extract(given, '[0-9]+') AS BIGINT) * 1024 END AS target FROM s)
+SELECT k, target, CASE WHEN chosen < 1 THEN 'nothing selected' WHEN coalesce(target, 0) < 1 THEN 'no valid target' WHEN pages < 1 THEN 'no pages' END AS error FROM t""")
+def size_target(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("k"), F.col("p_size").cast("string")
+    given = F.when(k % 4 == 0, F.concat(n, F.lit(" KB"))).when(k % 4 == 1, "").otherwise(F.concat(n, F.lit("x")))
+    t = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_size").withColumn("target", search.target_size(given, k % 3 == 0))
+    return t.select("k", "target", search.guard(k % 7, F.col("target"), k % 5).alias("error"))
+
+
+@query("""SELECT p_partkey, p_size || ' KB' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'Target not reached: 9 KB' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'Transparent areas became white.' ELSE '' END AS message FROM part""")
+def result_message(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(k, search.result_message(F.concat(F.col("p_size").cast("string"), F.lit(" KB")), F.lit("9 KB"), k % 2 != 0, k % 3 == 0).alias("message"))
+
+
+HEADS = ("89504E470D0A1A0A", "89504E", "FFD8FF", "FFD8", "474946383961", "4749", "424D", "", "00112233445566778899")
+
+
+@query(f"""WITH h AS (SELECT p_partkey, ({list(HEADS)})[1 + p_partkey % {len(HEADS)}] AS x FROM part),
+t AS (SELECT *, CASE WHEN starts_with(x, '8950') AND length(x) >= 16 THEN 'png' WHEN starts_with(x, 'FFD8') AND length(x) >= 6 THEN 'jpeg' WHEN starts_with(x, '4749') AND length(x) >= 12 THEN 'gif' WHEN starts_with(x, '424D') THEN 'bmp' ELSE 'png' END AS kind FROM h)
+SELECT p_partkey, kind, 'image/' || kind AS mime FROM t""")
+def image_type(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.unhex(F.element_at(F.array(*map(F.lit, HEADS)), (1 + F.col("p_partkey") % len(HEADS)).cast("int")))
+    return table(spark, sf, "part").select("p_partkey", T.image_type(head).alias("kind")).withColumn("mime", T.mime_type(F.col("kind")))
+
+
+VALUES = ("aBc123", "auto", "12345", "0", "false", "true", "17", "-4", "99999999999", "x7")
+
+
+@query(f"""WITH v AS (SELECT p_partkey, ({list(VALUES)})[1 + p_partkey % {len(VALUES)}] AS v FROM part)
+SELECT p_partkey, regexp_full_match(v, '[0-9A-Fa-f]{{6}}') AS colour, CASE WHEN p_partkey % 3 = 0 THEN false ELSE v NOT IN ('false', '0') END AS flagged, coalesce(TRY_CAST(v AS INTEGER), 5) AS number FROM v""")
+def typed_values(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.element_at(F.array(*map(F.lit, VALUES)), (1 + F.col("p_partkey") % len(VALUES)).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", T.is_colour(v).alias("colour"), T.flag(F.col("p_partkey") % 3 != 0, v).alias("flagged"), T.int_or(v, 5).alias("number"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS n, coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations)
+SELECT conv_id, k, role, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop FROM w WHERE n > 0""")
+def span_table(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    runs = table(spark, sf, "conversations").select("conv_id", k.alias("k"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return ordered.span_table(runs, "conv_id", "k").select("conv_id", "k", "role", "start", "stop")
+
+
+@query(f"""WITH {LINES}, g AS (SELECT *, length(text) - length(ltrim(text, ' ')) AS lead, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n, list_filter(string_split(text, ' '), lambda x: x <> '') AS words FROM l)
+SELECT doc_id, page_ix, CAST(row_number() OVER (PARTITION BY doc_id, page_ix ORDER BY line_ix) - 1 AS BIGINT) AS line_ix, md5(array_to_string(words, '')) AS digest, CAST(7 AS BIGINT) AS x, CAST(list_max(list_transform(words, lambda w: 8 + length(w) % 9)) AS DOUBLE) AS font FROM g""")
+def glyph_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Words as glyphs: lines are put together and numbered anew from their places."""
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    g = own_lines(spark, sf).select("doc_id", "page_ix", "line_ix", F.posexplode(words).alias("ord", "text"))
+    g = g.select("*", (7 * (F.col("ord") + 1)).cast("long").alias("x"), (F.col("line_ix") * 14).alias("y"), (8 + F.length("text") % 9).alias("size"))
+    r = lines.in_reading_order(lines.glyph_lines(g))
+    return r.select("doc_id", F.col("page_ix").cast("long").alias("page_ix"), F.col("line_ix").cast("long").alias("line_ix"), F.md5("text").alias("digest"), "x", F.col("font_pt").cast("double").alias("font"))
+
+
+@query("""WITH n AS (SELECT doc_id, (len(string_split(coalesce(text, ''), chr(10))) - 1) // 40 + 1 AS n_pages, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 5 END AS image_count FROM documents)
+SELECT doc_id, CAST(n_pages AS BIGINT) AS n_pages, CAST(image_count AS BIGINT) AS image_count, image_count > 0 AS recompressed FROM n""")
+def page_and_slot_counts(spark: SparkSession, sf: str) -> DataFrame:
+    counts = lines.page_counts(own_pages(spark, sf))
+    n = F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 5).cast("int")
+    slots = table(spark, sf, "documents").select("doc_id", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("slot"))
+    return search.slot_counts(counts, slots)
+
+
+@query("SELECT conv_id, arg_min(role, turn) AS role, min(turn) AS turn FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2) GROUP BY 1")
+def first_row(spark: SparkSession, sf: str) -> DataFrame:
+    return ordered.first_row(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"])
+
+
+@query("""WITH RECURSIVE a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
+b AS (SELECT doc_id, unnest(range(len(t) + 3)) AS ord, unnest(list_concat(t, ['#', 'first remark', 'second remark'])) AS v, len(t) AS n FROM a),
+k AS (SELECT *, CASE WHEN ord = n THEN 'COMMENTS' WHEN ord > n THEN 'COMMENT' WHEN ord % 9 = 4 THEN 'IMAGE' WHEN ord % 9 IN (6, 7) THEN 'ROW' WHEN ord % 9 = 8 THEN 'END' ELSE 'PARAGRAPH' END AS kind, 12.5::DOUBLE * greatest(1, ceil(length(v) / 90.0)) AS h FROM b),
+x AS (SELECT doc_id, ord, kind, CASE WHEN kind = 'IMAGE' THEN CASE WHEN ord % 18 = 4 THEN NULL ELSE (40 + ord % 50 * 20)::DOUBLE * least(1.0::DOUBLE, 499.0::DOUBLE / (30 + ord % 70 * 15)) END WHEN kind = 'ROW' THEN greatest(18, h + 8) WHEN kind = 'END' THEN 0 WHEN kind = 'PARAGRAPH' AND trim(v) = '' THEN 12.65::DOUBLE ELSE h END AS h,
+CASE WHEN kind = 'ROW' OR kind = 'PARAGRAPH' AND trim(v) = '' THEN 0 WHEN kind = 'COMMENTS' THEN 16 ELSE 8 END AS g FROM k),
+l AS (SELECT doc_id, list(struct_pack(o := ord, k := kind, h := h, g := g) ORDER BY ord) AS s FROM x WHERE h IS NOT NULL GROUP BY 1),
+f AS (SELECT doc_id, s, 1 AS pos, 1 AS page_no, 48::DOUBLE AS y, false AS done FROM l
+UNION ALL SELECT doc_id, s, pos + 1, page_no + p, CASE WHEN p > 0 THEN 48 + s[pos].h + s[pos].g ELSE y + s[pos].h + s[pos].g END, pos = len(s) FROM (SELECT *, CASE WHEN s[pos].k = 'COMMENTS' THEN 1 WHEN y + s[pos].h > 794 THEN 1 ELSE 0 END AS p FROM f WHERE NOT done))
+SELECT doc_id, CAST(s[pos].o AS BIGINT) AS ord, s[pos].k AS kind, round(s[pos].h, 6) AS height, CAST(page_no + p AS BIGINT) AS page_no, round(CASE WHEN p > 0 THEN 48 ELSE y END, 6) AS y
+FROM (SELECT *, CASE WHEN s[pos].k = 'COMMENTS' THEN 1 WHEN y + s[pos].h > 794 THEN 1 ELSE 0 END AS p FROM f WHERE NOT done) WHERE s[pos].k <> 'END'""")
+def docx_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents on pages: paragraphs, blank ones, images, table rows, and comments on a new page."""
+    text = F.concat(F.split(F.coalesce("text", F.lit("")), "\n"), F.array(F.lit("#"), F.lit("first remark"), F.lit("second remark")))
+    rows = table(spark, sf, "documents").select("doc_id", (F.size(text) - 3).alias("n"), F.posexplode(text).alias("ord", "v"))
+    ord_, n = F.col("ord"), F.col("n")
+    kind = F.when(ord_ == n, "COMMENTS").when(ord_ > n, "COMMENT").when(ord_ % 9 == 4, "IMAGE").when((ord_ % 9).isin(6, 7), "ROW").when(ord_ % 9 == 8, "END").otherwise("PARAGRAPH")
+    height = 12.5 * F.greatest(F.lit(1), F.ceil(F.length("v") / 90.0))
+    width_px = F.when(ord_ % 18 == 4, 0).otherwise(30 + ord_ % 70 * 15)
+    blocks = rows.select("doc_id", "ord", kind.alias("kind"), height.alias("height"), (F.trim("v") == "").alias("blank"), width_px.alias("width_px"), (40 + ord_ % 50 * 20).alias("height_px"))
+    return layout.layout(blocks).select("doc_id", F.col("ord").cast("long").alias("ord"), "kind", F.round("height", 6).alias("height"), F.col("page_no").cast("long").alias("page_no"), F.round("y", 6).alias("y"))
+
+
+@query(f"""WITH {RUNS}, p AS (SELECT doc_id, unnest(range((len(a) - 1) // 40 + 1)) AS page_ix FROM l0), u AS (SELECT doc_id, page_ix, sum(length(text)) AS n FROM l GROUP BY 1, 2), good AS (SELECT doc_id, page_ix FROM u WHERE n >= 20),
+b AS (SELECT q.* FROM q JOIN good USING (doc_id, page_ix)),
+s AS (SELECT doc_id, {STYLE} AS style FROM b JOIN m USING (doc_id) WHERE run_id IS NULL),
+t AS (SELECT doc_id, page_ix, run_id, count(*) AS n_rows, sum(n_cells) AS n_cells FROM b WHERE run_id IS NOT NULL GROUP BY 1, 2, 3),
+x AS (SELECT doc_id, 'PARAGRAPH' AS kind, style, count(*) AS n, 0 AS n_cells FROM s GROUP BY 1, 3
+UNION ALL SELECT doc_id, 'TABLE', '-', sum(n_rows), sum(n_cells) FROM t GROUP BY 1
+UNION ALL SELECT doc_id, 'EMPTY', 'NORMAL', sum(n), 0 FROM (SELECT doc_id, count(*) - 1 AS n FROM p GROUP BY 1 UNION ALL SELECT doc_id, count(*) FROM t GROUP BY 1) GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS path, kind, style, CAST(n AS BIGINT) AS n, CAST(n_cells AS BIGINT) AS n_cells FROM x WHERE n > 0""")
+def lines_to_docx(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines become documents, which are scanned again: paragraphs by style, table rows and cells, empty paragraphs."""
+    rows = docx.scan(compose.lines_to_docx(cell_lines(spark, sf), own_pages(spark, sf), table(spark, sf, "documents")))
+    top = docx.blocks(rows).where("parent_cell_id IS NULL")
+    kind = F.when(F.col("kind") == "TABLE", "TABLE").when(F.size("runs") > 0, "PARAGRAPH").otherwise("EMPTY")
+    own = top.select("path", kind.alias("kind"), F.when(F.col("kind") == "TABLE", "-").otherwise(F.col("style")).alias("style"), F.coalesce("n_rows", F.lit(1)).alias("n"), F.lit(0).alias("n_cells"))
+    cells = docx.cells(rows).select("path", F.lit("TABLE").alias("kind"), F.lit("-").alias("style"), F.lit(0).alias("n"), F.lit(1).alias("n_cells"))
+    return own.unionByName(cells).groupBy("path", "kind", "style").agg(F.sum("n").alias("n"), F.sum("n_cells").alias("n_cells"))
+
+
+PICTURE = "89504E470D0A1A0A0000000D49484452000003E80000000A0806000000"  # the header of a PNG of 1000 x 10 pixels
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives with relationships, media, tracked changes, links and a comments part, made of conversations."""
+    k, e = F.col("k"), T.escape_xml(F.col("text"))
+    t = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("k"))
+    run = lambda tag: F.concat(F.lit(f"<w:r><w:{tag}>"), e, F.lit(f"</w:{tag}></w:r>"))
+    drawn = F.concat(F.lit("<w:r><w:drawing><wp:inline><a:blip r:embed=\""), F.when(k % 8 == 3, "r1").otherwise("r9"), F.lit("\"/></wp:inline></w:drawing><w:t>"), e, F.lit("</w:t></w:r>"))
+    body = F.when(k % 4 == 0, F.concat(F.lit("<w:ins>"), run("t"), F.lit("</w:ins>"))).when(k % 4 == 1, F.concat(F.lit("<w:del>"), run("delText"), F.lit("</w:del>"))).when(k % 4 == 2, F.concat(F.lit("<w:hyperlink>"), run("t"), F.lit("</w:hyperlink>"))).otherwise(drawn)
+    said = F.concat(F.lit("<w:comment w:author=\""), F.when(k % 2 == 0, T.escape_xml(F.col("role"))).otherwise(" "), F.lit("\"><w:p><w:r><w:t>"), e, F.lit("</w:t></w:r></w:p></w:comment>"))
+    whole = t.groupBy("path").agg(ordered.joined(k, F.concat(F.lit("<w:p>"), body, F.lit("</w:p>"))).alias("body"), ordered.joined(k, said).alias("said"))
+    parts = {
+        docx.DOCUMENT: F.concat(F.lit("<w:document><w:body>"), "body", F.lit("</w:body></w:document>")).cast("binary"),
+        docx.COMMENTS: F.concat(F.lit("<w:comments>"), "said", F.lit("</w:comments>")).cast("binary"),
+        docx.RELATIONSHIPS: F.lit('<Relationships><Relationship Id="r1" Target="media/a.png"/></Relationships>').cast("binary"),
+        docx.MEDIA + "a.png": F.unhex(F.lit(PICTURE)),
+    }
+    return docx_writer.pack(whole.select("path", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in parts.items()))).alias("p")).select("path", "p.*"))
+
+
+MARKED = f"""{TURNS}, o AS (SELECT *, CAST(conv_id AS VARCHAR) AS path, k + (k + 4) // 8 AS place FROM t)"""
+
+
+@query(f"""WITH {MARKED} SELECT path, CAST(place AS INTEGER) AS ord, 'IMAGE' AS kind, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS marks, {len(PICTURE) // 2} AS n_bytes FROM o WHERE k % 8 = 3
+UNION ALL SELECT path, CAST(place + CASE WHEN k % 8 = 3 THEN 1 ELSE 0 END AS INTEGER), 'PARAGRAPH', clean, CASE WHEN clean = '' THEN '' ELSE (['inserted underline', 'deleted strike', 'underline 0563C1', ''])[k % 4 + 1] END, NULL FROM o""")
+def docx_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives with images, tracked changes and links, scanned: their blocks, with the bytes of the image that each one refers to."""
+    rows = docx.scan(_marked(spark, sf))
+    b, images = docx.blocks(rows), docx.images(rows).select("path", "image_id", F.octet_length("bytes").alias("n_bytes"))
+    r = F.element_at("runs", 1)
+    words = F.array(F.when(r["is_insertion"], "inserted"), F.when(r["is_deletion"], "deleted"), F.when(r["underline"], "underline"), F.when(r["strikethrough"], "strike"), r["color_hex"])
+    paragraph = F.col("kind") == "PARAGRAPH"
+    marks = F.when(paragraph, F.when(F.size("runs") > 0, F.array_join(words, " ")).otherwise(""))
+    text = F.when(paragraph, F.array_join(F.transform("runs", lambda x: x["text"]), ""))
+    return b.join(images, ["path", "image_id"], "left").select("path", "ord", "kind", text.alias("text"), marks.alias("marks"), "n_bytes")
+
+
+@query(f"""WITH {MARKED}, c AS (SELECT path, k, CASE WHEN k % 2 = 0 AND trim(role) <> '' THEN role ELSE 'Unknown' END AS author, regexp_replace(clean, '^\\s+|\\s+$', '', 'g') AS text FROM o)
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS INTEGER) AS ix, author, text FROM c WHERE text <> ''""")
+def docx_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """The comments part of archives, scanned."""
+    return docx.comments(docx.scan(_marked(spark, sf)))
+
+
+@query(f"""WITH {TURNS}, i AS (SELECT CAST(conv_id AS VARCHAR) AS path, k, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS nth FROM t WHERE k % 3 = 1)
+SELECT path, CAST(nth - 1 AS BIGINT) AS image_id, CASE k % 2 WHEN 0 THEN 29 ELSE 10 END AS n_bytes, 'word/media/image' || nth || CASE k % 2 WHEN 0 THEN '.png' ELSE '.gif' END AS part,
+CASE k % 2 WHEN 0 THEN 5486400 ELSE 400 * 9525 END AS cx, CASE k % 2 WHEN 0 THEN CAST(floor(95250 * (5486400.0::DOUBLE / 9525000)) AS INTEGER) ELSE 300 * 9525 END AS cy FROM i""")
+def docx_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with images written and scanned again: bytes, part names and drawn sizes."""
+    k = F.col("k")
+    t = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("k")).where("k % 3 = 1")
+    content = F.when(k % 2 == 0, F.unhex(F.lit(PICTURE))).otherwise(F.unhex(F.lit("47494638396100000000")))
+    block = t.select("path", F.lit("block").alias("entity"), k.cast("long").alias("id"), k.alias("ord"), F.lit("IMAGE").alias("kind"), k.cast("long").alias("image_id"))
+    picture = t.select("path", F.lit("image").alias("entity"), k.cast("long").alias("id"), content.alias("bytes"))
+    files = docx_writer.write(spark.createDataFrame([], docx.SCHEMA).unionByName(block, allowMissingColumns=True).unionByName(picture, allowMissingColumns=True))
+    drawn = files.mapInArrow(_drawings, "path string, image_id long, part string, cx int, cy int")
+    return docx.images(docx.scan(files)).join(drawn, ["path", "image_id"]).select("path", "image_id", F.octet_length("bytes").alias("n_bytes"), "part", "cx", "cy")
+
+
+def _drawings(batches):
+    """The extent and the part of each drawing in archives (path, content)."""
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                rels = docx.relationships(z.read(docx.RELATIONSHIPS))
+                drawings = docx.tree(z.read(docx.DOCUMENT)).iter("w:drawing")
+                for n, d in enumerate(drawings):
+                    size, blip = next(d.iter("wp:extent")), next(d.iter("a:blip"))
+                    rows.append((path, n, docx.media_part(rels[blip.get("r:embed")]), int(size.get("cx")), int(size.get("cy"))))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["path", "image_id", "part", "cx", "cy"])

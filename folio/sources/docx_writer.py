@@ -170,3 +170,16 @@ def write(rows: DataFrame) -> DataFrame:
     xml = xml.when(F.col("entity") == "comment", T.comment_xml(F.col("author"), F.col("text")))
     ready = rows.where("entity <> 'error'").select("path", "entity", "id", "parent", "ord", "kind", "image_id", "n_rows", "row_ix", "cell_ix", "grid_span", "vmerge_cont", "bytes", xml.alias("xml"))
     return ready.groupBy("path").applyInArrow(_write, "path string, content binary, length long")
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in sorted(table.to_pylist(), key=lambda r: r["name"]):
+            z.writestr(zipfile.ZipInfo(r["name"]), r["content"])
+    return pa.table({"path": table.column("path").slice(0, 1), "content": pa.array([out.getvalue()], pa.binary()), "length": pa.array([len(out.getvalue())], pa.int64())})
+
+
+def pack(parts: DataFrame) -> DataFrame:
+    """(path, content, length): an archive of the parts (path, name, content) of each path. A group is one file."""
+    return parts.select("path", "name", F.col("content").cast("binary").alias("content")).groupBy("path").applyInArrow(_pack, "path string, content binary, length long")
