@@ -22,21 +22,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""", re.S)  # what is not closed ends with the page
 ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|"[^"]*"|'[^']*'""")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-FURNITURE = {"head", "nav", "footer", "aside", "form", "noscript", "template", "svg", "math", "object", "video", "audio", "canvas", "button", "select", "dialog", "menu", "map", "label", "fieldset", "applet"} | RAW
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr", "label", "input", "picture", "source"}
+FURNITURE = {"head", "nav", "footer", "aside", "form", "noscript", "template", "svg", "object", "video", "audio", "canvas", "button", "select", "dialog", "menu", "map", "fieldset", "applet"} | RAW
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr", "label", "input", "picture", "source", "math", "semantics", "mrow", "mi", "mn", "mo", "mtext", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mfenced"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
 NAMES = re.compile(
     r"^(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|submenu|topbar|breadcrumbs?|crumbs?|sidebar|rail|aside|footer|foot|colophon|masthead|"
     r"comments?|commentlist|disqus\w*|respond|replies|reply|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|"
-    r"recommendations|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip|search|tags|hidden|paywall|teaser|outbrain|taboola|header|(?:is|visually)[-_]+hidden)$"
+    r"recommendations|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip|search|tags|hidden|paywall|teaser|outbrain|taboola|header|(?:is|visually)[-_]+hidden|user[-_]*reviews?|reviews?[-_]+(?:list|section|form))$"
 )
 #: A class or id word is a name as a whole, or where all of its parts are names or these, with a name among them.
 PLACES = set("site page main top bottom left right global primary secondary post entry mobile desktop container wrapper wrap box bar area block list links link buttons button icons section inner unit slot form item items posts articles stories".split())
 CARDS = re.compile(r"^(?:comments?|commentlist|respond|replies|reply|related|recommended|recommendations|teaser|promo\w*|outbrain|taboola)$")  # may hold articles that are not the page's
+ADVERTS = re.compile(r"^(?:ads?|advert\w*|sponsor\w*|promo\w*)$")  # an article by one of these names is not the page's
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PLACED = {"div", "ul", "ol", "dl", "table", "td", "header"}  # an id on another element, or on a section, is a place to link to
 SINGLE = {"header"}  # furniture unless it lies in an article
@@ -77,6 +78,8 @@ def _furniture(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[
             return True, []
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, []
+        if name == "class" and tag == "article" and any(ADVERTS.match(w) for w in value.split()):
+            return True, []
         if name in words and tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
             words[name] += value.split()
     if tag not in PLACED or "section" in words["class"]:
@@ -88,6 +91,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, weight, in an article) of each block in page order."""
     out: list[tuple[str, int, bool, int]] = []
     stack: list[str] = []
+    open_tags: dict[str, int] = {}
     bad = links = articles = 0  # open furniture, links and articles
     named = [(-1, False)]  # each element that is furniture by name: the one around it, and whether it is for cards
     held: list[bool] = [True]  # whether it holds the main element
@@ -106,7 +110,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
     def pop() -> None:
         nonlocal bad, links, articles, within
-        stack.pop()
+        open_tags[stack.pop()] -= 1
         b, a, m, within = marks.pop()
         bad, links, articles = bad - b, links - a, articles - m
 
@@ -131,17 +135,23 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if block:
             flush()
         if m[1]:
-            if tag in stack:
-                depth = len(stack) - 1 - stack[::-1].index(tag)
-                if tag in INLINE and any(t not in INLINE for t in stack[depth + 1 :]):
-                    continue  # an inline end tag does not end blocks
-                while len(stack) > depth:
+            if open_tags.get(tag):
+                if tag in INLINE:
+                    depth = len(stack) - 1
+                    while stack[depth] != tag and stack[depth] in INLINE:
+                        depth -= 1
+                    if stack[depth] != tag:
+                        continue  # an inline end tag does not end blocks
+                while True:
                     if marks[-1][3] != within:
                         flush()
+                    last = stack[-1]
                     pop()
+                    if last == tag:
+                        break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if block and "p" in stack[-1:]:
@@ -161,6 +171,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if is_article or is_bad or names:
             flush()
         stack.append(tag)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         marks.append((is_bad, tag == "a", is_article, within))
         if names and not is_bad and not bad:
             named.append((within, any(CARDS.match(p) for w in names for p in re.split(r"[-_]+", w))))

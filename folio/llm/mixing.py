@@ -144,7 +144,7 @@ def mix(df: DataFrame, seed: int = 8, n_shards: int | None = None, share: str =
     m, n = _mixed(df, [F.struct(*df.columns).alias("__carry")], seed, n_shards, share, most, n_blocks, shard_words)
     copies = m.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
     drawn = copies.select("__carry", F.element_at("__shards", F.col("__copy")).alias("__shard"), F.xxhash64("__id", "__copy", F.lit(seed)).alias("__order"))
-    dealt = drawn.repartition(n, "__shard").sortWithinPartitions("__shard", "__order")
+    dealt = drawn.repartitionById(n, "__shard").sortWithinPartitions("__order")  # a task a shard
     return dealt.select("__carry.*", *([F.col("__shard").alias("mix_shard"), F.col("__order").alias("mix_order")] if shards else []))
 
 

@@ -1,12 +1,14 @@
 """Shards of near equal bytes by histogram sort.
 
 Rows are sorted by a 128-bit key in hexadecimal: hash of the text, then hash of doc_id. Equal texts are neighbours, so a splitter cuts a
-group of copies only if no place outside of the group meets the tolerance. Each round counts, exactly and over all rows, the bytes below
+group of copies only if no place outside of the group meets the tolerance: a group of up to twice the tolerance (1 % of a shard) is never cut, a larger
+one only where a splitter would otherwise miss its target by more than the tolerance. Each round counts, exactly and over all rows, the bytes below
 candidate boundaries: first all boundaries of three digits, then finer ones only inside the cells that hold an unsettled splitter, until
 each splitter is within `tolerance` of its target or the cell holds one row. Then the rows are exchanged once, by shard and key cell.
 
-A round sends at most 4096 counts a splitter to the driver. A cell for slot numbers is a key prefix and a doc_id hash digit, so that a
-text that a third of all rows share (the empty one, say) is numbered by many tasks.
+A round sends at most 4096 counts a splitter to the driver. A cell for slot numbers is a key prefix, longer in larger tables (a cell has about 100,000
+rows, the broadcast counts a million rows at most), and a doc_id hash digit, so that a text that a third of all rows share (the empty one, say) is
+numbered by many tasks.
 
 Nulls: a null text has no bytes; a null doc_id has a hash of its own. Repeated rows share a key and stay together. An empty table gives no
 rows; shards may stay empty when there are fewer rows than shards. Columns other than doc_id and text are ignored or carried along.
@@ -72,7 +74,7 @@ def shard_of(key: Column, bounds: list[str]) -> Column:
     return pick(0, len(bounds))
 
 
-def histogram_shards(df: DataFrame, n_shards: int = 40, tolerance: float = 0.001, carry: tuple[str, ...] = ()) -> DataFrame:
+def histogram_shards(df: DataFrame, n_shards: int = 40, tolerance: float = 0.005, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, and the columns in carry."""
     text = common.text_or_empty()
     base = df.select(
@@ -85,8 +87,9 @@ def histogram_shards(df: DataFrame, n_shards: int = 40, tolerance: float = 0.001
     rows = base if carry else common.keep(base, "shard-keys")
     light = common.keep(rows.select("key", "size"), "shard-histogram") if carry else rows
     shard = shard_of(F.col("key"), splitters(light.select("key", "size"), n_shards, tolerance))
-    cell = F.concat(F.substring("key", 1, 2), F.substring("key", 17, 1))
-    counts = light.groupBy(shard.alias("shard"), cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))  # n_shards + 256 prefixes, 16 digits
+    wide = min(4, max(2, len(f"{light.count() // 100_000:x}") - 1))
+    cell = F.concat(F.substring("key", 1, wide), F.substring("key", 17, 1))
+    counts = light.groupBy(shard.alias("shard"), cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))  # n_shards + 16**wide prefixes, 16 digits
     ahead = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "cell", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
     place = Window.partitionBy("shard", "cell").orderBy("key", "doc_id", "size", "text_crc32")

@@ -338,6 +338,51 @@ def test_html_short_ends_without_article():
     assert html_text.main_text(f"<div><h1>Title</h1><p>Short</p><p>Words</p><p>Here</p><p>{body}</p></div>").split("\n\n") == ["Title", "Short", "Words", "Here", body.strip()]
 
 
+def test_html_labels_formulas_and_adverts():
+    page = "<article><p>Press <label>the key</label> for <math><mi>x</mi><mo>=</mo><mn>2</mn></math> now.</p></article><article class='promo'><p>Buy this now, it is cheap.</p></article><div id='user-reviews'><p>I say</p></div>"
+    assert html_text.main_text(page) == "Press the key for x=2 now."
+    assert html_text.main_text("<article><p>One <b>bold<p>two</b> words</p><p>three") == "One bold\n\ntwo words\n\nthree"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!", "</p>", "<div>", "<div></p>", "<b><div></b>", '<a "', "<script></script", "&lt", "<p><b>x", "<!--", "<a href='"])
+def test_html_hostile(piece):
+    """Time grows with the page: a megabyte of any piece takes seconds, not minutes."""
+    import time
+
+    start = time.process_time()
+    html_text.main_text("<div>" * 4000 + piece * (1 << 20 - (len(piece) - 1).bit_length()))
+    assert time.process_time() - start < 20
+
+
+def test_html_templates():
+    """The same article in differing templates."""
+    words = ["A title", "First words of it, and more of them to make a line that is long enough.", "Second & last words, with a link and more of them to make a line that is long."]
+    body = f"<h1>{words[0]}</h1><p>{words[1]}</p>\n<p>Second &amp; last words, with <a href=x>a link</a> and more of them\nto make a line that is long.</p>"
+    around = [
+        "<nav>Menu</nav><article>{}</article><footer>End</footer>",
+        "<header><a href=x>Home</a></header><main>{}</main><aside>Other</aside>",
+        "<div class='navbar'><ul><li><a href=x>One</a><li><a href=x>Two</a></ul></div><div class='content'>{}</div><div class='footer'>End</div>",
+        "<div id='sidebar'>Side</div><div id='page'><div class='post'>{}</div></div>",
+        "<table><tr><td class='menu'>Menu</td><td>{}</td></tr></table><div class=copyright>(c)</div>",
+        "<div class='cookie-banner'>We use cookies</div><div role='main'>{}</div>",
+        "<body class='has-sidebar'><div class='wrapper'>{}<div class='comments'><p>I say something here</p></div></div>",
+        "<section><article>{}<form><input><button>Send</button></form></article></section><div class='related-posts'><a href=x>More</a></div>",
+        "<script>var a = '<p>no</p>';</script><style>p {{}}</style><noscript>On!</noscript><div>{}</div>",
+        "<div class='newsletter'>Sign up</div><div class='article-body'>{}<div class='share-buttons'>Share</div></div>",
+        "<!-- <p>no</p> --><main><div class='ad'>Buy</div>{}<div class='promo'>Now</div></main>",
+    ]
+    for frame in around:
+        assert html_text.main_text(f"<html><head><title>T</title></head>{frame.format(body)}</html>").split("\n\n") == words, frame
+
+
+def test_html_edges(spark):
+    rows = [(None, None, None), (1, "u", ""), (2, "u", "no markup at all"), (2, "u", "no markup at all"), (3, None, "<p>" + "word " * 200_000)]
+    table = spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r["page_id"], r["url"], r["text"][:20], r["n_chars"]) for r in html_text.extract(table).collect()), key=str)
+    assert got == sorted([(None, None, "", 0), (1, "u", "", 0), (2, "u", "no markup at all", 16), (2, "u", "no markup at all", 16), (3, None, ("word " * 4), 999_999)], key=str)
+    assert html_text.extract(table.limit(0)).count() == 0
+
+
 def test_quality(spark, docs, none):
     r = random.Random(5)
     good, bad = [f"plain{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
