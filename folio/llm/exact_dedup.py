@@ -99,9 +99,12 @@ class Index:
 
     def _owned(self, texts: DataFrame, fan: int) -> DataFrame:
         is_hot = F.col("key").isin(self.hot) if self.hot else F.lit(False)
-        part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(fan))).otherwise(F.lit(0).cast("long"))
-        dealt = self.routed(texts).withColumn("part", part).repartition("bucket", "part")  # owner tasks: grouping below needs no other exchange
-        merged = dealt.groupBy("bucket", "part", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        rows, by = self.routed(texts), ["bucket"]
+        if self.hot:
+            by.append("part")
+            rows = rows.withColumn("part", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(fan))).otherwise(F.lit(0).cast("long")))
+        dealt = rows.repartition(*by)  # owner tasks: grouping below needs no other exchange
+        merged = dealt.groupBy(*by, "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         merged = merged.select("bucket", "key", F.sha2("norm", 256).alias("digest"), F.when(is_hot, F.col("norm")).alias("norm"), "keep_id", "group_size")
         if self.hot:
             merged = common.keep(merged, "dedup-owned")
