@@ -5,8 +5,8 @@ cross-colour, subtract-green and palette transforms; it returns pixel arrays. St
 are decoded by arrays: the code length at every bit position gives the position after one pixel, and following these is the only loop.
 
 `media_digest` stores each text's UTF-8 bytes, padded with spaces to a positive multiple of 192, as 8-bit RGBA samples, 48 pixels a row and
-4096 rows an image (a longer text has several images, one after the other), with a prefix code fitted to each image, and reads the stored
-bytes back. All of it is a map over rows; a row's memory is a few times its text.
+4096 rows an image (a longer text has several images, one after the other), with prefix codes fitted to each image and, where they save, a packed palette,
+references or the left predictor, and reads the stored bytes back. All of it is a map over rows; a row's memory is a few times its text.
 
 Nulls: a null text is empty (192 spaces are stored). Repeated rows and equal texts have equal values. An empty table gives no rows. Other columns
 are ignored.
@@ -279,8 +279,13 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
                 d = max(1, dx + dy * width)
             if d > at or at + length > n:
                 raise ValueError("back-reference outside of the image")
-            for k in range(at, at + length):
-                out[k] = out[k - d]
+            if d == 1:
+                out[at : at + length] = [out[at - 1]] * length
+            elif d >= length:
+                out[at : at + length] = out[at - d : at - d + length]
+            else:
+                for k in range(at, at + length):
+                    out[k] = out[k - d]
             at += length
         else:
             remember(at)
@@ -330,6 +335,11 @@ def _mode_at(modes: np.ndarray | None, bits: int, x: int, y: int) -> int:
 def add_prediction(residual: np.ndarray, modes: np.ndarray, bits: int, sign: int = 1) -> np.ndarray:
     """Inverse predictor over (height, width, 4); with sign -1 the forward one."""
     height, width, _ = residual.shape
+    if sign > 0 and (modes == 1).all():  # the pixel on the left everywhere: sums
+        first = residual.copy()
+        first[0, 0, 0] += 255
+        first[:, 0] = np.cumsum(first[:, 0], axis=0)
+        return np.cumsum(first, axis=1) & 255
     given, out = residual.tolist(), [[None] * width for _ in range(height)]
     known = out if sign > 0 else given
     for y in range(height):
@@ -446,13 +456,17 @@ def pack_bits(values: np.ndarray, lengths: np.ndarray) -> bytes:
 NIBBLE = np.array([int(f"{k:04b}"[::-1], 2) for k in range(16)], dtype=np.uint16)  # canonical code of sixteen symbols of four bits
 
 
-def _code_fields(lengths: np.ndarray, only: int | None) -> tuple[list[int], list[int]]:
-    """(values, lengths) of the bit fields that write a code."""
+Fields = tuple[list[int], list[int]]  # values and lengths of bit fields
+
+
+def _code_fields(lengths: np.ndarray, only: int | None) -> Fields:
+    """The bit fields that write a code."""
     if only is not None:
         return [1, 0, 1, only], [1, 1, 1, 8]
     n = max(2, int(np.flatnonzero(lengths)[-1]) + 1)
-    values = [0, 15, *(0 if s > 15 else 4 for s in LENGTH_ORDER), 1, 3, n - 2]
-    return values + NIBBLE[lengths[:n]].tolist(), [1, 4, *[3] * 19, 1, 3, 8] + [4] * n
+    wide = 3 if n - 2 < 256 else 4
+    values = [0, 15, *(0 if s > 15 else 4 for s in LENGTH_ORDER), 1, wide, n - 2]
+    return values + NIBBLE[lengths[:n]].tolist(), [1, 4, *[3] * 19, 1, 3, 2 + 2 * wide] + [4] * n
 
 
 def container(stream: bytes) -> bytes:
@@ -460,20 +474,111 @@ def container(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
 
 
-def encode(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file of a (height, width, RGBA) array, with one prefix code for all four channels."""
-    height, width, _ = pixels.shape
+def _literal_fields(pixels: np.ndarray, main: bool) -> tuple[np.ndarray, np.ndarray]:
+    """An image of literals, with one prefix code for all four channels."""
     counts = np.bincount(pixels.ravel(), minlength=256)
     lengths = code_lengths(counts)
     only = int(np.argmax(counts)) if not lengths.any() else None
     v, n = _code_fields(lengths, only)
-    values = np.array([0x2F, width - 1, height - 1, 1, 0, 0, 0, 0, *(4 * v), 1, 0, 0, 0], dtype=np.uint16)
-    sizes = np.array([8, 14, 14, 1, 3, 1, 1, 1, *(4 * n), 1, 1, 1, 1], dtype=np.uint8)
-    if only is None:
-        samples = pixels[..., [1, 0, 2, 3]].ravel()  # green, red, blue, alpha
-        values = np.concatenate([values, canonical(lengths)[samples]])
-        sizes = np.concatenate([sizes, lengths[samples]])
-    return container(pack_bits(values, sizes))
+    values = np.array([0, *([0] * main), *(4 * v), 1, 0, 0, 0], dtype=np.uint16)
+    sizes = np.array([1, *([1] * main), *(4 * n), 1, 1, 1, 1], dtype=np.uint8)
+    if only is not None:
+        return values, sizes
+    samples = pixels[..., [1, 0, 2, 3]].ravel()  # green, red, blue, alpha
+    return np.concatenate([values, canonical(lengths)[samples]]), np.concatenate([sizes, lengths[samples]])
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """(code, extra bits, how many) of a length."""
+    if value <= 4:
+        return value - 1, 0, 0
+    extra = (value - 1).bit_length() - 2
+    return 2 * extra + 2 + ((value - 1) >> extra & 1), (value - 1) & ((1 << extra) - 1), extra
+
+
+def _run_fields(pixels: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An image of runs of equal pixels: a literal each, and back-references to the pixel on the left."""
+    literal, said = pixels.reshape(-1, 4)[starts], []
+    for k, n in enumerate((lengths - 1).tolist()):
+        while n:
+            part = min(n, 4096)
+            said.append((k, *_prefix(part)))
+            n -= part
+    copies = np.array(said, dtype=np.int64).reshape(-1, 4)
+    green = code_lengths(np.bincount(np.concatenate([literal[:, 1], 256 + copies[:, 1]]), minlength=280))
+    counts = np.bincount(literal[:, [0, 2, 3]].ravel(), minlength=256)
+    rest = code_lengths(counts)
+    only = int(np.argmax(counts)) if not rest.any() else None
+    (v, n), (w, m) = _code_fields(green, None), _code_fields(rest, only)
+    codes, others = canonical(green), canonical(rest)
+    # fields: four a literal, two a reference (its length's code and extra bits; the distance is always the same and has no bits)
+    at = np.concatenate([np.repeat(np.arange(len(literal)), 4), np.repeat(copies[:, 0], 2)])
+    values = np.concatenate([np.stack([codes[literal[:, 1]], *(others[literal[:, c]] for c in (0, 2, 3))], axis=1).ravel(), np.stack([codes[256 + copies[:, 1]], copies[:, 2]], axis=1).ravel()])
+    sizes = np.concatenate([np.stack([green[literal[:, 1]], *(rest[literal[:, c]] for c in (0, 2, 3))], axis=1).ravel(), np.stack([green[256 + copies[:, 1]], copies[:, 3]], axis=1).ravel()])
+    order = np.argsort(at, kind="stable")
+    head = [0, 0, *v, *(3 * w), 1, 0, 0, 1], [1, 1, *n, *(3 * m), 1, 1, 1, 1]
+    return np.concatenate([np.array(head[0], dtype=np.uint16), values[order].astype(np.uint16)]), np.concatenate([np.array(head[1], dtype=np.uint8), sizes[order].astype(np.uint8)])
+
+
+def left_residual(pixels: np.ndarray) -> np.ndarray:
+    """Each pixel less the one on its left; less the one above in the first column, less opaque black at first."""
+    out = pixels.copy()
+    out[:, 1:] -= pixels[:, :-1]
+    out[1:, 0] -= pixels[:-1, 0]
+    out[0, 0] -= np.array([0, 0, 0, 255], dtype=np.uint8)
+    return out
+
+
+def _entropy(counts: np.ndarray) -> float:
+    used = counts[counts > 0]
+    return float(-(used * np.log2(used / used.sum())).sum())
+
+
+def encode(pixels: np.ndarray) -> bytes:
+    """A lossless WebP file of a (height, width, RGBA) array: a palette for up to 16 colours, references where half of the pixels repeat the one on the
+    left, the left predictor where it saves a tenth, else literals."""
+    height, width, _ = pixels.shape
+    values, sizes = [np.array([0x2F, width - 1, height - 1, 1, 0], dtype=np.uint16)], [np.array([8, 14, 14, 1, 3], dtype=np.uint8)]
+
+    def add(v, n):
+        values.append(np.asarray(v, dtype=np.uint16))
+        sizes.append(np.asarray(n, dtype=np.uint8))
+
+    flat = np.ascontiguousarray(pixels).reshape(-1, 4).view("<u4").ravel()
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    colours, index = np.unique(flat, return_inverse=True) if new.sum() <= len(flat) // 2 or len(flat) <= 64 else (flat, None)
+    if index is not None and len(colours) <= 16:
+        n = len(colours)
+        pack = 3 if n <= 2 else 2 if n <= 4 else 1
+        table = colours.astype("<u4").view(np.uint8).reshape(1, n, 4)
+        delta = table.copy()
+        delta[:, 1:] -= table[:, :-1]
+        add([1, PALETTE, n - 1], [1, 2, 8])
+        add(*_literal_fields(delta, False))
+        each, across = 8 >> pack, (width + (1 << pack) - 1) >> pack
+        wide = np.zeros((height, across << pack), dtype=np.int64)
+        wide[:, :width] = index.reshape(height, width)
+        packed = (wide.reshape(height, across, 1 << pack) << (np.arange(1 << pack) * each)).sum(axis=2)
+        image = np.zeros((height, across, 4), dtype=np.uint8)
+        image[..., 1], image[..., 3] = packed, 255
+        add([0], [1])
+        add(*_literal_fields(image, True))
+    elif new.sum() <= len(flat) // 2:
+        starts = np.flatnonzero(new)
+        add([0], [1])
+        add(*_run_fields(pixels, starts, np.diff(np.append(starts, len(flat)))))
+    else:
+        residual = left_residual(pixels)
+        if _entropy(np.bincount(residual.ravel(), minlength=256)) < 0.9 * _entropy(np.bincount(pixels.ravel(), minlength=256)):
+            tile = 7  # blocks of 512 pixels, the largest
+            modes = np.zeros(((height + 511) >> 9, (width + 511) >> 9, 4), dtype=np.uint8)
+            modes[..., 1], modes[..., 3] = 1, 255
+            add([1, PREDICTOR, tile], [1, 2, 3])
+            add(*_literal_fields(modes, False))
+            pixels = residual
+        add([0], [1])
+        add(*_literal_fields(pixels, True))
+    return container(pack_bits(np.concatenate(values), np.concatenate(sizes)))
 
 
 def store(payload: bytes) -> bytes:

@@ -399,6 +399,42 @@ def test_quality(spark, docs, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_webp_chosen_forms():
+    """Round trips of what each form is for, and that it is taken: palettes, runs, the left predictor, literals."""
+    r = np.random.default_rng(3)
+
+    def kinds(data):
+        bits = webp.Bits(data[20:])
+        bits.read(40)
+        return bits.read(2) if bits.read(1) else None
+
+    for n in (1, 2, 3, 4, 9, 16):
+        for shape in ((1, 1), (4, 48), (7, 5), (40, 48)):
+            colours = r.integers(0, 256, (n, 4)).astype(np.uint8)
+            x = colours[np.repeat(r.integers(0, n, (shape[0], -(-shape[1] // 3))), 3, axis=1)[:, : shape[1]]]
+            assert (webp.decode(webp.encode(x))[0] == x).all() and kinds(webp.encode(x)) == webp.PALETTE
+    runs = np.repeat(r.integers(0, 256, (600, 4)).astype(np.uint8), r.choice([1, 2, 9, 40, 5000], 600, p=[0.3, 0.3, 0.2, 0.19, 0.01]), axis=0)
+    runs = runs[: len(runs) // 48 * 48].reshape(-1, 48, 4)
+    assert (webp.decode(webp.encode(runs))[0] == runs).all() and len(webp.encode(runs)) < runs.size // 8
+    one_green = runs.copy()
+    one_green[..., [0, 2, 3]] = 7
+    assert (webp.decode(webp.encode(one_green))[0] == one_green).all()
+    slope = (np.cumsum(r.integers(0, 3, (100, 48, 4)), axis=1) + np.arange(100)[:, None, None] * 5).astype(np.uint8)
+    assert (webp.decode(webp.encode(slope))[0] == slope).all() and kinds(webp.encode(slope)) == webp.PREDICTOR
+    noise = r.integers(0, 256, (600, 48, 4)).astype(np.uint8)
+    assert (webp.decode(webp.encode(noise))[0] == noise).all() and kinds(webp.encode(noise)) is None
+    for text in (b"", b"x" * 5000, bytes(range(256)) * 9, b"ab" * 700, b"line of text\n" * 4000, bytes(r.integers(0, 256, 900_000).astype(np.uint8))):
+        payload = text + b" " * (max(1, -(-len(text) // 192)) * 192 - len(text))
+        assert webp.read_back(webp.store(payload))[0] == payload
+
+
+def test_webp_pixel_table(spark):
+    x = np.arange(2 * 3 * 4, dtype=np.uint8).reshape(2, 3, 4)
+    media = webp.encode(x) + webp.encode(x[:1])
+    rows = webp.pixel_table(spark.createDataFrame([(7, media), (8, None)], "k long, m binary"), "k", "m").collect()
+    assert sorted((r["id"], r["image"], r["width"], r["height"], bytes(r["rgba"])) for r in rows) == [(7, 0, 3, 2, x.tobytes()), (7, 1, 3, 1, x[:1].tobytes())]
+
+
 def prefix(value):
     """(code, extra bits, their number) of a length or distance."""
     if value <= 4:
