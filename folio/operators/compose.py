@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,41 +16,46 @@ def line_rows(lines: DataFrame, pages: DataFrame, documents: DataFrame, page_ima
     A scanned page is its image (page_images: doc_id, page_ix, bytes; without one it is left out), another page its tables and styled
     paragraphs; an empty paragraph follows each page but the last.
     """
-    path = F.col("doc_id").cast("string").alias("path")
     scanned = L.scanned_pages(lines, pages).select("doc_id", "page_ix", "scanned")
-    own = L.table_runs(lines).join(scanned.where("NOT scanned"), ["doc_id", "page_ix"], "left_semi").join(L.median_fonts(lines, documents), "doc_id")
-    own = own.withColumn("first", F.when(F.col("run_id").isNotNull(), F.min("line_ix").over(Window.partitionBy("doc_id", "page_ix", "run_id"))).otherwise(F.col("line_ix")))
-    own = own.withColumn("row_ix", (F.row_number().over(Window.partitionBy("doc_id", "page_ix", "run_id").orderBy("line_ix")) - 1).cast("int"))
-    place = F.struct("page_ix", F.col("first").cast("long").alias("at"))
-    off = F.lit(False)
-    names = ("bold", "italic", "underline", "strikethrough", "is_insertion", "is_deletion")
-
-    def runs(text):
-        return F.array(F.struct(text.alias("text"), *(off.alias(n) for n in names), F.lit(None).cast("string").alias("color_hex")))
-
-    style = L.heading_style(F.col("font_pt"), F.col("median"))
-    paragraphs = own.where("run_id IS NULL").select("doc_id", place.alias("place"), F.lit("PARAGRAPH").alias("kind"), style.alias("style"), runs(F.col("text")).alias("runs"))
-    grids = own.where("run_id IS NOT NULL").groupBy("doc_id", "page_ix", "first").agg(F.count(F.lit(1)).cast("int").alias("n_rows")).select("doc_id", place.alias("place"), F.lit("TABLE").alias("kind"), "n_rows")
-    behind = F.struct("page_ix", F.lit(1 << 40).alias("at"))
-    empty = L.page_separators(pages).select("doc_id", behind.alias("place"), F.lit("PARAGRAPH").alias("kind"), "style", F.array().cast(f"array<{docx.RUN}>").alias("runs"))
-    top = paragraphs.unionByName(grids, allowMissingColumns=True).unionByName(empty, allowMissingColumns=True)
+    run, off, none = Window.partitionBy("doc_id", "page_ix", "run_id"), F.lit(False), F.lit(None)
+    own = L.table_runs(lines).join(scanned.where("NOT scanned"), ["doc_id", "page_ix"], "left_semi")
+    own = own.withColumn("at", F.when(F.col("run_id").isNotNull(), F.min("line_ix").over(run)).otherwise(F.col("line_ix")).cast("long"))
+    own = own.withColumn("row_ix", (F.row_number().over(run.orderBy("line_ix")) - 1).cast("int")).withColumn("n_rows", F.count(F.lit(1)).over(run).cast("int"))
+    own = own.join(L.median_fonts(lines, documents), "doc_id").withColumn("style", L.heading_style(F.col("font_pt"), F.col("median")))
+    own = own.select("doc_id", "page_ix", "at", "line_ix", F.when(F.col("run_id").isNull(), "PARAGRAPH").otherwise("TABLE").alias("kind"), "style", "row_ix", "n_rows", "text")
+    empty = L.page_separators(pages).select("doc_id", "page_ix", F.lit(1 << 40).alias("at"), F.lit("EMPTY").alias("kind"), "style")
+    placed = own.unionByName(empty, allowMissingColumns=True).withColumn("bytes", none.cast("binary"))
     if page_images is not None:
         shown = page_images.join(scanned.where("scanned"), ["doc_id", "page_ix"], "left_semi")
-        top = top.unionByName(shown.select("doc_id", F.struct("page_ix", F.lit(-1).cast("long").alias("at")).alias("place"), F.lit("IMAGE").alias("kind"), F.col("page_ix").cast("long").alias("image_id")), allowMissingColumns=True)
-    top = top.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1)
-    out = top.select(path, F.lit("block").alias("entity"), F.col("ord").cast("long").alias("id"), *(c for c in top.columns if c not in ("doc_id", "place")))
-    # cells: numbered by line and place in it; each holds one paragraph
-    tables = top.where("kind = 'TABLE'").select("doc_id", "place.page_ix", F.col("place.at").alias("first"), F.col("ord").cast("long").alias("table"))
-    cells = own.where("run_id IS NOT NULL").select("doc_id", "page_ix", F.col("first").cast("long").alias("first"), "line_ix", "row_ix", F.posexplode(T.split_cells(F.col("text"))).alias("cell_ix", "v")).join(tables, ["doc_id", "page_ix", "first"])
-    number = F.col("page_ix").cast("long") * (1 << 44) + F.col("line_ix").cast("long") * (1 << 20) + F.col("cell_ix")
-    cell = cells.select(path, F.lit("cell").alias("entity"), number.alias("id"), F.col("table").alias("parent"), "row_ix", "cell_ix", F.lit(1).alias("grid_span"), off.alias("vmerge_cont"))
-    inner = cells.select(path, F.lit("block").alias("entity"), (-1 - number).alias("id"), number.alias("parent"), F.lit(0).alias("ord"), F.lit("PARAGRAPH").alias("kind"), F.lit("NORMAL").alias("style"), runs(F.col("v")).alias("runs"))
-    rows = lines.sparkSession.createDataFrame([], docx.SCHEMA)
-    for part in (out, cell, inner):
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    if page_images is not None:
-        rows = rows.unionByName(shown.select(path, F.lit("image").alias("entity"), F.col("page_ix").cast("long").alias("id"), "bytes"), allowMissingColumns=True)
-    return rows
+        placed = placed.unionByName(shown.select("doc_id", "page_ix", F.lit(-1).cast("long").alias("at"), F.lit("IMAGE").alias("kind"), "bytes"), allowMissingColumns=True)
+    placed = placed.withColumn("ord", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_ix", "at")) - 1)  # a table's lines are one block
+    fields = {f.name: f.dataType for f in lines.sparkSession.createDataFrame([], docx.SCHEMA).schema if f.name != "path"}
+
+    def row(entity: str, **values) -> Column:
+        return F.struct(*(({"entity": F.lit(entity)} | values).get(n, none).cast(t).alias(n) for n, t in fields.items()))
+
+    def runs(text: Column) -> Column:
+        looks = (off.alias(n) for n in ("bold", "italic", "underline", "strikethrough", "is_insertion", "is_deletion"))
+        return F.array(F.struct(text.alias("text"), *looks, none.cast("string").alias("color_hex")))
+
+    def cell(value: Column, ix: Column) -> Column:
+        """A cell, numbered by line and place in it, and the one paragraph that it holds."""
+        n = number + ix
+        held = row("block", id=-1 - n, parent=n, ord=F.lit(0), kind=F.lit("PARAGRAPH"), style=F.lit("NORMAL"), runs=runs(value))
+        return F.array(row("cell", id=n, parent=ord_, row_ix=F.col("row_ix"), cell_ix=ix, grid_span=F.lit(1), vmerge_cont=off), held)
+
+    kind, ord_ = F.col("kind"), F.col("ord").cast("long")
+    number = F.col("page_ix").cast("long") * (1 << 44) + F.col("line_ix").cast("long") * (1 << 20)
+    page, block = F.col("page_ix").cast("long"), {"id": ord_, "ord": ord_}
+    cells = F.flatten(F.transform(T.split_cells(F.col("text")), cell))
+    grid = F.when(F.col("row_ix") == 0, F.array(row("block", **block, kind=kind, n_rows=F.col("n_rows")))).otherwise(F.array())
+    made = (
+        F.when(kind == "PARAGRAPH", F.array(row("block", **block, kind=kind, style=F.col("style"), runs=runs(F.col("text")))))
+        .when(kind == "TABLE", F.concat(grid, cells))
+        .when(kind == "EMPTY", F.array(row("block", **block, kind=F.lit("PARAGRAPH"), style=F.col("style"), runs=F.array().cast(f"array<{docx.RUN}>"))))
+        .otherwise(F.array(row("block", **block, kind=kind, image_id=page), row("image", id=page, bytes=F.col("bytes"))))
+    )
+    return placed.select(F.col("doc_id").cast("string").alias("path"), F.explode(made).alias("r")).select("path", "r.*")
 
 
 def lines_to_docx(lines: DataFrame, pages: DataFrame, documents: DataFrame, page_images: DataFrame | None = None) -> DataFrame:

@@ -17,12 +17,16 @@ MAX_PAGE, TILE_BYTES, MIB = 14400, 12 << 20, 1 << 20
 BLANK, MIN_ROW, PADDING = 12.65, 18, 4
 
 
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _cursor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds page_no and y to batches (doc_id, ord, height, gap, forced, ...) in order."""
     doc, page, y, first = None, 1, float(MARGIN), True
     for batch in batches:
-        ids, heights, gaps, forced = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
         pages, places = [], []
-        for i, h, g, f in zip(ids, heights, gaps, forced, strict=True):
+        for i, h, g, f in zip(*(_values(batch.column(k)) for k in (0, 2, 3, 4)), strict=True):
             if first or i != doc:
                 doc, page, y, first = i, 1, float(MARGIN), False
             if f:
@@ -32,17 +36,18 @@ def _cursor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pages.append(page)
             places.append(y)
             y = y + h + g
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages, pa.int32()), pa.array(places, pa.float64())], ["doc_id", "ord", "page_no", "y"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.int32()), pa.array(places, pa.float64())], [*batch.schema.names, "page_no", "y"])
 
 
-def paginate(blocks: DataFrame) -> DataFrame:
-    """(doc_id, ord, page_no, y) of blocks (doc_id, ord, height, gap, and forced if there are such): a block that does not fit, or is forced to, opens a page, even the first.
+def paginate(blocks: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, ord, height, the carried columns, page_no, y) of blocks (doc_id, ord, height, gap, and forced if there are such): a block that does not fit, or is forced to, opens a page, even the first.
 
     The rows of a document come to one task in order and are streamed, so a document of any length takes no more memory than a batch.
     """
     forced = F.coalesce("forced", F.lit(False)) if "forced" in blocks.columns else F.lit(False)
-    rows = blocks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ord").cast("int").alias("ord"), F.col("height").cast("double"), F.col("gap").cast("double"), forced.alias("forced"))
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(_cursor, "doc_id long, ord int, page_no int, y double")
+    rows = blocks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ord").cast("int").alias("ord"), F.col("height").cast("double"), F.col("gap").cast("double"), forced.alias("forced"), *carried)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", page_no int, y double"
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(_cursor, schema).drop("gap", "forced")
 
 
 def image_box(width: Column, height: Column) -> tuple[Column, Column]:
@@ -66,8 +71,7 @@ def boxes(blocks: DataFrame) -> DataFrame:
 
 def layout(blocks: DataFrame) -> DataFrame:
     """doc_id, ord, kind, height, page_no, y: a whole document's blocks, in order and then its comments, on pages."""
-    boxed = boxes(blocks)
-    return boxed.where("kind <> 'END'").select("doc_id", "ord", "kind", "height").join(paginate(boxed), ["doc_id", "ord"])
+    return paginate(boxes(blocks), "kind").where("kind <> 'END'").select("doc_id", "ord", "kind", "height", "page_no", "y")
 
 
 def image_pages(images: DataFrame, by: str, order: str) -> DataFrame:

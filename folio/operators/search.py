@@ -13,18 +13,24 @@ LOW, HIGH, IMAGE_STEPS, DOCUMENT_STEPS = 2, 97, 12, 11
 
 def best_quality(probes: DataFrame, target: int) -> DataFrame:
     """item_id, scale_step, quality, size_bytes, reached: the first resolution step whose lowest quality fits, with its highest quality that fits;
-    where none fits, the smallest probe (the earliest of equals). Sizes must not fall with quality."""
-    fits = F.col("size_bytes") <= target
-    rank = F.struct(
-        (~fits).alias("miss"),
-        F.when(fits, F.col("scale_step")).otherwise(F.col("size_bytes")).cast("long").alias("first"),
-        F.when(fits, -F.col("quality")).otherwise(F.col("scale_step")).cast("long").alias("second"),
-        "quality",
-        "scale_step",
-        "size_bytes",
+    where none fits, the smallest probe (the earliest of equals). Sizes must not fall with quality; they are below 2**43, steps and qualities below 1,024.
+
+    A probe's rank is one number, as a minimum of numbers is a hash aggregate (one of structs sorts): one pass, merged before the exchange.
+    """
+    size, step, quality = (F.col(c).cast("long") for c in ("size_bytes", "scale_step", "quality"))
+    fits = size <= target
+    good = F.when(fits, step * 1024 + 1023 - quality)
+    poor = F.when(~fits, (size * 1024 + step) * 1024 + quality)
+    best = probes.groupBy("item_id").agg(F.min(good).alias("g"), F.min_by(size, good).alias("s"), F.min(poor).alias("p"))
+    pick = lambda at_good, at_poor: F.when(F.col("g").isNotNull(), at_good).otherwise(at_poor)
+    g, p = F.col("g"), F.col("p")
+    return best.select(
+        "item_id",
+        pick(F.shiftright(g, 10), F.shiftright(p, 10).bitwiseAND(1023)).alias("scale_step"),
+        pick(1023 - g.bitwiseAND(1023), p.bitwiseAND(1023)).alias("quality"),
+        pick(F.col("s"), F.shiftright(p, 20)).alias("size_bytes"),
+        g.isNotNull().alias("reached"),
     )
-    best = probes.groupBy("item_id").agg(F.min(rank).alias("b"))  # one pass, merged before the exchange
-    return best.select("item_id", "b.scale_step", "b.quality", "b.size_bytes", (~F.col("b.miss")).alias("reached"))
 
 
 def replayed_quality(sizes: Column, target: Column) -> Column:

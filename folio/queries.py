@@ -485,7 +485,8 @@ FROM (SELECT *, CASE WHEN s[pos].k = 'COMMENTS' THEN 1 WHEN y + s[pos].h > 794 T
 def docx_layout(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents on pages: paragraphs, blank ones, images, table rows, and comments on a new page."""
     text = F.concat(F.split(F.coalesce("text", F.lit("")), "\n"), F.array(F.lit("#"), F.lit("first remark"), F.lit("second remark")))
-    rows = table(spark, sf, "documents").select("doc_id", (F.size(text) - 3).alias("n"), F.posexplode(text).alias("ord", "v"))
+    texts = table(spark, sf, "documents").select("doc_id", text.alias("t")).select("doc_id", "t", (F.size("t") - 3).alias("n"))
+    rows = texts.select("doc_id", "n", F.posexplode("t").alias("ord", "v"))  # n before the lines: else the text would be split again for each
     ord_, n = F.col("ord"), F.col("n")
     kind = F.when(ord_ == n, "COMMENTS").when(ord_ > n, "COMMENT").when(ord_ % 9 == 4, "IMAGE").when((ord_ % 9).isin(6, 7), "ROW").when(ord_ % 9 == 8, "END").otherwise("PARAGRAPH")
     height = 12.5 * F.greatest(F.lit(1), F.ceil(F.length("v") / 90.0))
@@ -505,11 +506,11 @@ SELECT CAST(doc_id AS VARCHAR) AS path, kind, style, CAST(n AS BIGINT) AS n, CAS
 def lines_to_docx(spark: SparkSession, sf: str) -> DataFrame:
     """Lines become documents, which are scanned again: paragraphs by style, table rows and cells, empty paragraphs."""
     rows = docx.scan(compose.lines_to_docx(cell_lines(spark, sf), own_pages(spark, sf), table(spark, sf, "documents")))
-    top = docx.blocks(rows).where("parent_cell_id IS NULL")
-    kind = F.when(F.col("kind") == "TABLE", "TABLE").when(F.size("runs") > 0, "PARAGRAPH").otherwise("EMPTY")
-    own = top.select("path", kind.alias("kind"), F.when(F.col("kind") == "TABLE", "-").otherwise(F.col("style")).alias("style"), F.coalesce("n_rows", F.lit(1)).alias("n"), F.lit(0).alias("n_cells"))
-    cells = docx.cells(rows).select("path", F.lit("TABLE").alias("kind"), F.lit("-").alias("style"), F.lit(0).alias("n"), F.lit(1).alias("n_cells"))
-    return own.unionByName(cells).groupBy("path", "kind", "style").agg(F.sum("n").alias("n"), F.sum("n_cells").alias("n_cells"))
+    block = F.col("entity") == "block"
+    seen = rows.where("entity = 'cell' OR entity = 'block' AND parent IS NULL")  # blocks and cells at once: the archives are made and read once
+    kind = F.when(~block | (F.col("kind") == "TABLE"), "TABLE").when(F.size("runs") > 0, "PARAGRAPH").otherwise("EMPTY")
+    own = seen.select("path", kind.alias("kind"), F.when(kind == "TABLE", "-").otherwise(F.col("style")).alias("style"), F.when(block, F.coalesce("n_rows", F.lit(1))).otherwise(0).alias("n"), (~block).cast("int").alias("n_cells"))
+    return own.groupBy("path", "kind", "style").agg(F.sum("n").alias("n"), F.sum("n_cells").alias("n_cells"))
 
 
 PICTURE = "89504E470D0A1A0A0000000D49484452000003E80000000A0806000000"  # the header of a PNG of 1000 x 10 pixels
