@@ -14,8 +14,10 @@ the input; matches never cross documents.
   the anchor, read backwards, each take the longest left extension that another member shares (minima of the neighbours' common lengths). Where
   that differs among members the interval is left-diverse: a maximal repeat. A member whose left and right extension reach `length`
   together repeats there, whichever member it shares them with, so all occurrences are found and not neighbours alone.
-* A task holds `cap` classes of an anchor string at most (cap times 800 bytes). Of an anchor with more of them the windows are rows instead, counted
-  after a map-side merge; that is as exact, and nothing is cut off.
+* A task holds `cap` classes of an anchor string at most (cap times 800 bytes). Larger groups are dealt anew by what their windows share: the places where
+  a window may start are cut into `PARTS` bands, and classes that share a window of a band share all bytes that every window of the band has. Bands with
+  more than `cap` classes are cut again; one place is left at last, where the classes of a group share that window. The members of a group are so many rows of
+  several tasks, no link is lost, and what is left alone in its band is done.
 * Texts are moved only for documents that need their context read or have something removed; bitmaps of 2 MB keep the others in the scan.
 
 Anchors and windows are compared by 64-bit hashes of bytes within one 64-bit anchor hash.
@@ -39,6 +41,7 @@ from . import common, textnum
 U = np.uint64
 LOW = (1 << 24) - 1
 NO_ID = -(1 << 63)
+PIECE = 1 << 19  # bytes of text worked on at once: each takes some 100 bytes of memory meanwhile
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -54,13 +57,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first byte, end, starts of the documents in between and the end) of pieces; pieces of a long document share length - 1 bytes."""
-    for i, j in textnum.chunks(offsets):
+    for i, j in textnum.chunks(offsets, PIECE):
         lo, hi = int(offsets[i]), int(offsets[j])
-        if j - i > 1 or hi - lo <= 2 * textnum.CHUNK:
+        if j - i > 1 or hi - lo <= 2 * PIECE:
             yield i, lo, offsets[i : j + 1]
         else:
-            for at in range(lo, max(lo + 1, hi - length + 1), textnum.CHUNK):
-                yield i, lo, np.array([at, min(hi, at + textnum.CHUNK + length - 1)])
+            for at in range(lo, max(lo + 1, hi - length + 1), PIECE):
+                yield i, lo, np.array([at, min(hi, at + PIECE + length - 1)])
 
 
 def _anchors(length: int, gram: int):
@@ -107,11 +110,12 @@ def _anchors(length: int, gram: int):
     return run
 
 
-CONTEXT = "id long, th long, p long, single boolean, large boolean, g long, left binary, right binary"
+PARTS = 8
+CONTEXT = "id long, th long, p long, single boolean, g long, left binary, right binary"
 
 
 def _contexts(length: int):
-    """From (id, th, text, [(g, p, back, ahead, single, large)]): the bytes left of each anchor backwards, and those from it on."""
+    """From (id, th, text, [(g, p, back, ahead, single)]): the bytes left of each anchor backwards, and those from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +124,7 @@ def _contexts(length: int):
             lists = batch.column(3)
             items = lists.flatten()
             doc = np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))
-            g, p, back, ahead, single, large = (items.field(k) for k in range(6))
+            g, p, back, ahead, single = (items.field(k) for k in range(5))
             at = offsets[doc] + p.to_numpy()
             lo, hi = at - back.to_numpy(), at + ahead.to_numpy() + length
             for k in range(0, len(at), 20000):
@@ -128,7 +132,7 @@ def _contexts(length: int):
                 left = [bytes(raw[a:b])[::-1] for a, b in zip(lo[cut].tolist(), at[cut].tolist(), strict=True)]
                 right = [bytes(raw[a:b]) for a, b in zip(at[cut].tolist(), hi[cut].tolist(), strict=True)]
                 own = pa.array(doc[cut])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), p[cut], single[cut], large[cut], g[cut], pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["id", "th", "p", "single", "large", "g", "left", "right"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), p[cut], single[cut], g[cut], pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["id", "th", "p", "single", "g", "left", "right"])
 
     return run
 
@@ -217,7 +221,7 @@ def by_tree(left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndar
 
 
 def _groups(length: int):
-    """Runs (id, th, a, b) of the members that occur once, from contexts sorted by anchor string."""
+    """Runs (id, th, a, b) of the members that occur once, from contexts sorted by group k."""
 
     def solved(held):
         rows = pa.Table.from_batches(held)
@@ -234,10 +238,10 @@ def _groups(length: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g = batch.column("g").to_numpy()
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            k = batch.column("k").to_numpy()
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
             for i, j in zip(cuts, cuts[1:], strict=False):
-                if held and held[0].column("g")[0].as_py() != g[i]:
+                if held and held[0].column("k")[0].as_py() != k[i]:
                     if sum(map(len, held)) > 1:
                         yield solved(held)
                     held = []
@@ -248,41 +252,72 @@ def _groups(length: int):
     return run
 
 
-def _windows(length: int):
-    """(id, th, p, single, g, at, hash) of every window of a context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, (left, right) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)):
-                c = textnum.sums(np.frombuffer(left[::-1] + right, np.uint8))
-                start = np.arange(len(left) + len(right) - length + 1)
-                h = textnum.span_hash(c, start, start + length).view(np.int64)
-                own = pa.array(np.full(len(h), k))
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(own) for x in ("id", "th", "p", "single", "g")), pa.array(start - len(left)), pa.array(h)], ["id", "th", "p", "single", "g", "at", "h"])
-
-    return run
+def _bands(rows: DataFrame, width: int, length: int) -> DataFrame:
+    """The contexts of rows once for each band of `width` starts, from lo on, where they have a window; k: a hash of the bytes that all windows of a band share."""
+    rows = rows.withColumn("lo", F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.col("lo") + i * width)))
+    rows = rows.where((F.col("lo") <= F.length("right") - length) & (F.col("lo") + width - 1 >= -F.length("left")))
+    before = F.substring(F.col("left"), F.lit(1), F.greatest(1 - width - F.col("lo"), F.lit(0)))
+    return rows.withColumn("k", F.xxhash64("g", "lo", before, F.substring(F.col("right"), F.lit(1), F.col("lo") + length)))
+
+
+def _dealt(spoken: DataFrame, length: int, gram: int, cap: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Contexts in groups k of about `cap` at most, starts of repeated windows (id, th, a, b) of larger ones, and the tables that both are read from."""
+    width, calm, settled, tables = length - gram + 1, [], [], []
+    rows = first = spoken.withColumn("lo", F.lit(1 - width)).withColumn("k", F.col("g"))
+    while True:
+        counts = common.keep(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-counts")
+        tables.append(counts)
+        if width == 1:
+            start = F.col("p") + F.col("lo")
+            single = rows.where("single").select("id", "th", start.alias("a"), start.alias("b"), "k")
+            settled.append(_among(single, counts, "k").drop("k"))
+            break
+        large = counts.where(F.col("n") > cap)
+        some = rows if rows is first else common.sift(rows, common.sieve(counts, "k"), "k")  # what was asked for shares its anchor
+        if large.isEmpty():
+            calm.append(some)
+            break
+        bitmap = common.sieve(large, "k")  # what it takes by chance is cut too, which loses nothing
+        calm.append(common.sift(some, bitmap, "k", out=True))
+        hot = common.keep(common.sift(some, bitmap, "k").drop("k"), "suffix-hot")
+        tables.append(hot)
+        width = -(-width // PARTS)
+        rows = _bands(hot, width, length)
+    groups = calm[0]
+    for more in calm[1:]:
+        groups = groups.unionByName(more)
+    return groups.drop("g", "lo"), settled, tables
+
+
+def _among(rows: DataFrame, counts: DataFrame, *keys: str, n: str = "n") -> DataFrame:
+    """rows whose keys are in counts (keys, n). Keys with a thousandth of all that is counted, a thousand at most, are broadcast, so that no task gets all their rows."""
+    hot_from = max(1000, (counts.agg(F.sum(n)).first()[0] or 0) // 1000)
+    names = list(keys)
+    hot = F.broadcast(counts.where(F.col(n) >= hot_from).select(*names))
+    return rows.join(hot, names, "left_anti").join(counts.where(F.col(n) < hot_from), names, "left_semi").unionByName(rows.join(hot, names, "left_semi"))
 
 
 def _finish(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textnum.column_bytes(batch.column(1))
-            rows = []
-            for k, runs in enumerate(batch.column(2)):
-                d = data[offsets[k] : offsets[k + 1]]
-                if runs.values is None or not len(runs.values):
-                    rows.append((len(d), 0, 0, hashlib.sha256(d).hexdigest(), d.tobytes().decode("utf-8", "replace")))
-                    continue
-                a, b = (runs.values.field(x).to_numpy() for x in (0, 1))
-                edge = np.zeros(len(d) + 1, np.int32)
-                np.add.at(edge, a, 1)
-                np.add.at(edge, b + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = d[~gone].tobytes()
-                rows.append((len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+            for i, j in textnum.chunks(offsets, PIECE):
+                rows = []
+                for k in range(i, j):
+                    d, runs = data[offsets[k] : offsets[k + 1]], batch.column(2)[k]
+                    if runs.values is None or not len(runs.values):
+                        rows.append((len(d), 0, 0, hashlib.sha256(d).hexdigest(), d.tobytes().decode("utf-8", "replace")))
+                        continue
+                    a, b = (runs.values.field(x).to_numpy() for x in (0, 1))
+                    edge = np.zeros(len(d) + 1, np.int32)
+                    np.add.at(edge, a, 1)
+                    np.add.at(edge, b + length, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    kept = d[~gone].tobytes()
+                    rows.append((len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+                cols = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     return run
 
@@ -290,7 +325,7 @@ def _finish(length: int):
 ANCHOR = "id long, th long, p long, back int, ahead int, g long, rh long, xl long, xr long"
 
 
-def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int = 16384) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int = 512) -> DataFrame:
     """A written table (id, th, runs): runs (a, b) of starts of repeated windows; docs: (id, th, text)."""
     anchors = common.keep(docs.mapInArrow(_anchors(length, gram), ANCHOR), "suffix-anchors")
     one = F.min(F.struct("id", "th", "p", "back", "ahead")).alias("one")
@@ -299,30 +334,26 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 64, cap: int =
     shared = common.keep(halves.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).where("n > 1 AND c = 1").select("x"), "suffix-halves")
     asked = common.sift(halves, common.sieve(shared, "x"), "x").join(shared, "x", "left_semi").dropDuplicates(["g", "rh"]).select("g", "c", "one.*")
     asked = common.keep(asked, "suffix-asked")
-    over = asked.groupBy("g").agg((F.count(F.lit(1)) > cap).alias("large"))
-    ask = asked.join(over, "g").select("id", "th", F.struct("g", "p", "back", "ahead", (F.col("c") == 1).alias("single"), "large").alias("x"))
+    ask = asked.select("id", "th", F.struct("g", "p", "back", "ahead", (F.col("c") == 1).alias("single")).alias("x"))
     ask = common.keep(ask.groupBy("id", "th").agg(F.collect_list("x").alias("xs")), "suffix-ask")  # as many as a document has anchors
     texts = common.sift(docs, common.sieve(ask, "id", "th"), "id", "th")
     spoken = texts.join(ask, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "xs")
     spoken = common.keep(spoken.mapInArrow(_contexts(length), CONTEXT), "suffix-contexts")
     common.discard(asked, ask, shared)
-    found = spoken.where("NOT large").repartition("g").sortWithinPartitions("g").mapInArrow(_groups(length), "id long, th long, a long, b long")
-    rows = spoken.where("large").mapInArrow(_windows(length), "id long, th long, p long, single boolean, g long, at long, h long")
-    twice = rows.groupBy("g", "at", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    start = F.col("p") + F.col("at")
-    found = found.unionByName(rows.where("single").join(twice, ["g", "at", "h"]).select("id", "th", start.alias("a"), start.alias("b")))
-    hot_from = max(1000, (classes.agg(F.sum("c")).first()[0] or 0) // 1000)
+    groups, settled, tables = _dealt(spoken, length, gram, cap)
+    found = groups.repartition("k").sortWithinPartitions("k").mapInArrow(_groups(length), "id long, th long, a long, b long")
+    for more in settled:
+        found = found.unionByName(more)
     again = classes.where("c > 1").select("g", "rh", "c")
-    hot = F.broadcast(again.where(F.col("c") >= hot_from).select("g", "rh"))  # a thousand rows at most
     several = common.sift(anchors.select("id", "th", "p", "back", "ahead", "g", "rh"), common.sieve(again, "g", "rh"), "g", "rh")
-    whole = several.join(hot, ["g", "rh"], "left_anti").join(again.where(F.col("c") < hot_from), ["g", "rh"], "left_semi").unionByName(several.join(hot, ["g", "rh"], "left_semi"))
+    whole = _among(several, again, "g", "rh", n="c")
     runs = found.unionByName(whole.select("id", "th", (F.col("p") - F.col("back")).alias("a"), (F.col("p") + F.col("ahead")).alias("b")))
     out = common.keep(runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "suffix-runs")  # bounded by the text
-    common.discard(anchors, classes, spoken)
+    common.discard(anchors, classes, spoken, *tables)
     return out
 
 
-def remove_repeats(df: DataFrame, length: int = 400, gram: int = 64, cap: int = 16384) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 400, gram: int = 64, cap: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text: one row for each row of df. text: the remaining bytes (U+FFFD for those of a character that was cut)."""
     common.ship(df.sparkSession)
     text = common.text_or_empty()
