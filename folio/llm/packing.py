@@ -1,8 +1,8 @@
 """Packing documents into sequences by lexical retrieval.
 
 * Tokens: the tokenizer's normaliser and splitter never join characters across white space, nor an ASCII letter and another ASCII character
-  that is not an apostrophe. So a text is cut there, the distinct pieces of a batch are tokenised once a worker, and the ids are put together
-  by array gathers. Documents that hold a special token's string are tokenised whole.
+  that is not an apostrophe. So a text is cut there, distinct pieces are tokenised once a worker (those of Latin letters with the normaliser and
+  splitter left out, which would only lower-case them), and the ids are put together by array gathers. Texts beside a special token's string are tokenised whole.
 * Statistics: in how many documents each token id occurs, over all documents (a number an id of the vocabulary, so a bounded broadcast).
 * Routing: documents are put in the order of two min-hashes of the token ids they share with others, rare ids preferred (weight idf squared), and dealt by
   ranges of it. So documents with rare terms in common meet whatever the layout of the files; a group that is too large for a task goes to several.
@@ -22,6 +22,8 @@ table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,79 +43,117 @@ KIND[[*range(65, 91), *range(97, 123)]] = 1
 KIND[ord("'")] = 0
 KIND[textnum.SPACE] = 3
 CACHE = 1 << 20  # pieces a worker remembers
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # letters that NFC leaves alone and that lower-case one by one
 
 
 class Pieces:
-    """Token ids of texts, with the ids of pieces seen before kept."""
+    """Token ids of texts, with the ids of pieces seen before kept: a table of slots by hash, as numbers of pieces. Piece 1 is the end token, 0 none."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.hashes, self.first, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.words = Tokenizer.from_file(path)  # for pieces that are lower-cased and split already
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.final = np.zeros(1 << 16, dtype=bool)  # tokens that end a word
+        self.final[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget(CACHE)
+
+    def forget(self, room: int) -> None:
+        self.n, self.room, self.n_ids = 2, room, 1
+        self.hashes, self.first, self.length = np.zeros(room + 2, np.uint64), np.zeros(room + 2, np.int32), np.zeros(room + 2, np.int32)
+        self.ids, self.length[1] = np.full(4 * room, END, np.uint16), 1
+        self.bits = max(1, (2 * room - 1).bit_length())
+        self.slots = np.zeros(1 << self.bits, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of pieces, 0 for those not seen."""
+        slot = self._slot(hashes)
+        at = self.slots[slot]
+        other = np.flatnonzero((self.hashes[at] != hashes) & (at > 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.slots) - 1)
+            at[other] = x = self.slots[slot[other]]
+            other = other[(self.hashes[x] != hashes[other]) & (x > 0)]
+        return at
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Tokenises new distinct pieces, many in one string. A piece of ASCII letters is one word to the tokenizer, so its words' numbers say whose ids they are."""
+        """Tokenises new distinct pieces, many in one string. A piece of plain letters is one word to the tokenizer, and a word's last id tells that it is one."""
         ids, owners = [], []
-        letters = np.array([t.isascii() and t.isalpha() for t in texts], dtype=bool)
+        letters = np.array([LATIN.fullmatch(t) is not None for t in texts], dtype=bool)
         for plain in (True, False):
             which = np.flatnonzero(letters == plain)
             for k in range(0, len(which), 1000):
                 own = which[k : k + 1000]
                 part = [texts[x] for x in own.tolist()]
-                e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-                if e.ids:
-                    starts = np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
-                    ids.append(np.array(e.ids, dtype=np.uint16))
-                    owners.append(own[np.array(e.word_ids) if plain else np.searchsorted(starts, np.array(e.offsets)[:, 0], side="right") - 1])
+                if plain:
+                    found = np.array(self.words.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, dtype=np.uint16)
+                    owner = np.concatenate([[0], np.cumsum(self.final[found])[:-1]])
+                else:
+                    e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                    found, starts = np.array(e.ids, dtype=np.uint16), np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
+                    owner = np.searchsorted(starts, np.array([x for x, _ in e.offsets]), side="right") - 1
+                ids.append(found)
+                owners.append(own[owner])
         ids, owners = np.concatenate([np.zeros(0, np.uint16), *ids]), np.concatenate([np.zeros(0, np.int64), *owners])
         order = np.argsort(owners, kind="stable")
-        ids, owners = ids[order], owners[order]
-        length = np.bincount(owners, minlength=len(texts)).astype(np.int64)
-        first = np.cumsum(length) - length + len(self.ids)
-        h = np.concatenate([self.hashes, hashes])
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.first, self.length = h[order], np.concatenate([self.first, first])[order], np.concatenate([self.length, length])[order]
-        self.ids = np.concatenate([self.ids, ids])
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """uint16 ids of each document of a chunk."""
+        length = np.bincount(owners, minlength=len(texts))
+        own = slice(self.n, self.n + len(texts))
+        self.hashes[own], self.first[own], self.length[own] = hashes, np.cumsum(length) - length + self.n_ids, length
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint16)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids[order]
+        todo, slot = np.arange(own.start, own.stop, dtype=np.int32), self._slot(hashes)
+        self.n, self.n_ids = own.stop, self.n_ids + len(ids)
+        while len(todo):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = todo[free]
+            rest = self.slots[slot] != todo  # taken before or by another of these
+            todo, slot = todo[rest], (slot[rest] + 1) & (len(self.slots) - 1)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """uint16 ids of the documents of a chunk, each with the end token, and where they begin and end."""
         lo = int(offsets[0])
         d = data[lo : int(offsets[-1])]
-        if not len(d):
-            return [np.zeros(0, np.uint16)] * (len(offsets) - 1)
         raw = d.tobytes()
         if any(s in raw for s in SPECIAL):
-            return [np.array(self.tokenizer.encode(bytes(data[a:b]).decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint16) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            docs = [np.array([*self.tokenizer.encode(bytes(data[a:b]).decode("utf-8", "replace"), add_special_tokens=False).ids, END], dtype=np.uint16) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate(docs), np.cumsum([0, *map(len, docs)])
         rel, kind = offsets - lo, KIND[d]
         inside = kind != 3
-        edge = np.zeros(len(d), dtype=bool)  # a piece may not go on from the byte before
-        edge[1:] = (kind[1:] != kind[:-1]) & (kind[1:] * kind[:-1] == 2) | ~inside[:-1]
-        edge[rel[rel < len(d)]] = True
-        edge[0] = True
-        begin = np.flatnonzero(inside & edge)
-        stop = np.ones(len(d), dtype=bool)
-        stop[:-1] = edge[1:] | ~inside[1:]
+        edge = np.zeros(len(d) + 1, dtype=bool)  # a piece may not go on from the byte before
+        edge[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] * kind[:-1] == 2) | ~inside[:-1]
+        edge[rel] = edge[-1] = True
+        begin = np.flatnonzero(inside & edge[:-1])
+        stop = edge[1:].copy()
+        stop[:-1] |= ~inside[1:]
         end = np.flatnonzero(inside & stop) + 1
         h = textnum.span_hash(textnum.sums(textnum.FOLD[d]), begin, end)
-        distinct, sample, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), dtype=bool)
-        if new.any():
-            if len(self.hashes) + int(new.sum()) > CACHE:
-                self.forget()
-                new[:] = True
-            s = sample[new]
-            self.learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)])
-            at = np.searchsorted(self.hashes, distinct)
-        length, first = self.length[at][back], self.first[at][back]
+        at = self.find(h)
+        missing = np.flatnonzero(at == 0)
+        if len(missing):
+            distinct, sample = np.unique(h[missing], return_index=True)
+            if self.n + len(distinct) > self.room:
+                distinct, sample = np.unique(h, return_index=True)
+                self.forget(max(CACHE, len(distinct) + 2))
+                missing = np.arange(len(h))
+            s = missing[sample]
+            self.learn(distinct, [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)])
+            at[missing] = self.find(h[missing])
+        last = np.searchsorted(begin, rel[1:]) + np.arange(len(rel) - 1)  # where the documents' end tokens come
+        own = np.ones(len(at) + len(last), dtype=bool)
+        own[last] = False
+        pieces = np.ones(len(own), dtype=np.int32)
+        pieces[own] = at
+        length = self.length[pieces]
         ends = np.cumsum(length)
-        ids = self.ids[np.repeat(first - (ends - length), length) + np.arange(int(length.sum()))]
-        total = np.concatenate([[0], ends])
-        return np.split(ids, total[np.searchsorted(begin, rel[1:-1])])
+        ids = self.ids[np.repeat((self.first[pieces] - (ends - length)).astype(np.int32), length) + np.arange(int(ends[-1]), dtype=np.int32)]
+        return ids, np.concatenate([[0], ends[last]])
 
 
 _pieces: dict[str, Pieces] = {}
@@ -126,17 +166,21 @@ def _tokens(path: str):
         if path not in _pieces:
             _pieces[path] = Pieces(path)
         seen, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
+        mark = np.zeros(VOCABULARY, np.int32)
         for batch in batches:
             data, offsets = textnum.column_bytes(batch.column(1))
             for i, j in textnum.chunks(offsets):
-                docs = [np.append(x, np.uint16(END)) for x in _pieces[path].encode(data, offsets[i : j + 1])]
-                for a in range(0, len(docs), 256):
-                    part = docs[a : a + 256]
-                    pair = np.unique(np.repeat(np.arange(len(part), dtype=np.int64) << 16, [len(x) for x in part]) | np.concatenate(part))
-                    seen += np.bincount(pair & 0xFFFF, minlength=VOCABULARY)
-                n += len(docs)
-                total += sum(map(len, docs))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in docs], pa.binary()), pa.nulls(len(docs), pa.int64())], ["doc_id", "ids", "n"])
+                ids, at = _pieces[path].encode(data, offsets[i : j + 1])
+                places, once = np.arange(int(np.diff(at).max()), dtype=np.int32), []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    x = ids[a:b]
+                    mark[x] = places[: b - a]
+                    once.append(x[mark[x] == places[: b - a]])  # one place of each of the document's ids
+                seen += np.bincount(np.concatenate(once), minlength=VOCABULARY)
+                n += j - i
+                total += len(ids)
+                blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), blobs, pa.nulls(j - i, pa.int64())], ["doc_id", "ids", "n"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([np.append(seen, total).astype("<u8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["doc_id", "ids", "n"])
 
     return run
@@ -219,7 +263,9 @@ class Index:
         if not len(terms):
             return np.zeros(self.n)
         row = self.row[terms]
-        score, terms = self.whole[row[row >= 0]].sum(axis=0), terms[row < 0]
+        score, terms = np.zeros(len(self.left)), terms[row < 0]
+        for k in row[row >= 0].tolist():
+            score += self.whole[k]
         if len(terms):
             spans = list(zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist(), strict=True))
             score += np.bincount(np.concatenate([self.post_doc[p:q] for p, q in spans]), np.concatenate([self.post_weight[p:q] for p, q in spans]), len(self.left))

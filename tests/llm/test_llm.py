@@ -249,6 +249,30 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_pieces(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r, odd = random.Random(11), "aAbzÀÉéßñÿ×÷ŐőİıǄǅſΣσςаЖ漢かナ\u0301\u0308 '12½²ªµ.,;!?\n\t\x0b  -_\u200d😀"
+    texts = [None, "", " ", *("".join(r.choices(odd, k=r.randint(0, 120))) for _ in range(600)), "a <|endoftext|> b", "it's We'LL déjà-vu ÉLAN"]
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    whole = Tokenizer.from_file(path)
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for cache in (packing.CACHE, 40):  # the second forgets at nearly each batch
+        monkeypatch.setattr(packing, "CACHE", cache)
+        monkeypatch.setattr(packing, "_pieces", {})
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), pa.array(part, pa.string())], ["doc_id", "text"]) for k in range(0, len(texts), 7) for part in [texts[k : k + 7]]]
+        *rows, last = [x for b in packing._tokens(path)(iter(batches)) for x in b.to_pylist()]
+        assert [np.frombuffer(x["ids"], "<u2").tolist() for x in rows] == want
+        counts = np.frombuffer(last["ids"], "<u8")
+        assert last["n"] == len(texts) and counts[-1] == sum(map(len, want))
+        assert counts[:-1].tolist() == np.bincount([i for ids in want for i in set(ids)], minlength=packing.VOCABULARY).tolist()
+    pieces = packing.Pieces(path)
+    pieces.tokenizer = None  # words of Latin letters do without the normaliser and splitter
+    data = "Élan vital DÉJÀ vu".encode()
+    assert pieces.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist() == [*whole.encode(data.decode(), add_special_tokens=False).ids, 2]
+
+
 def test_packing_neighbours():
     r = np.random.default_rng(4)
     docs = [np.append(r.integers(3, 400, r.integers(1, 120)), 2).astype("<u2") for _ in range(150)] + [np.array([2], "<u2")]
