@@ -23,6 +23,9 @@ each other. A pivot's set travels once for up to `fan` partners (salted), so a p
 rows as partners is dealt to many tasks. Shingles are compared by 64-bit hashes. The frequent shingles are counted over all documents; the
 `max_hot` most frequent ones are broadcast (8 bytes each): the order only moves work, any order gives the same links.
 
+The first level's entries (shingle, document, set) are dealt out by shingle in blobs of many, so the shuffle moves and sorts few rows and a task
+finds its regions by sorting numbers; equal sets stand in each region once, by their least id. A task holds one bucket of shingles at a time.
+
 Nulls: a null text has no words, an empty set, and links with nothing. Rows with a null doc_id are not compared and keep a null component_id.
 Repeated rows have one set and one component. An empty table gives no rows. Other columns are ignored.
 """
@@ -41,6 +44,8 @@ from .components import components
 
 U = np.uint64
 NO_ID = -(1 << 63)
+ENTRY = np.dtype([("s", "<i8"), ("id", "<i8"), ("k", "<i8"), ("n", "<i4"), ("p", "<i4")])  # a shingle of a document's window: document, its set's hash and size, place
+DEAL = 1 << 18  # entries dealt out at once
 SKETCH = 10  # least bits of a parity sketch, as a power of two; a larger set has at least half as many bits as shingles
 
 
@@ -54,6 +59,11 @@ def window(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def set_key(s: np.ndarray) -> int:
+    """A 64-bit hash of a set of shingles."""
+    return int(textnum.mix(s.view(U) + U(0x51)).sum(dtype=U).view(np.int64))
+
+
 def _profiles(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,69 +71,168 @@ def _profiles(width: int, percent: int):
             for s in textnum.shingle_sets(b.column(1), width):
                 u = s.view(U)
                 n.append(len(s))
-                k1.append(int(textnum.mix(u + U(0x51)).sum(dtype=U).view(np.int64)))
+                k1.append(set_key(s))
                 k2.append(int(np.bitwise_xor.reduce(textnum.mix(u * U(0x2545F4914F6CDD1D) + U(0x77))).view(np.int64)) if len(s) else 0)
                 size = 1 << max(SKETCH, (len(s) - 1).bit_length() - 1)
                 odd = np.bincount((textnum.mix(u ^ U(0x5DEECE66D)) & U(size - 1)).astype(np.int64), minlength=size) & 1
                 bits.append(np.packbits(odd.astype(bool)).view(np.int64))
-                heads.append(s[: 5 * window(len(s), percent) // 4 + 1])
-            lengths = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
-            head = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)])))
+                heads.append(s[: 5 * window(len(s), percent) // 4 + 1].tobytes())
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in bits])]).astype(np.int32)
             sketch = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), head, sketch], ["doc_id", "n", "k1", "k2", "head", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(heads, pa.binary()), sketch], ["doc_id", "n", "k1", "k2", "head", "sketch"])
+
+    return run
+
+
+def _blobs(rows: np.ndarray, s: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, blob): rows dealt out by their shingles s, those of a bucket in one value. So a shuffle moves few rows, and tasks sort numbers in place."""
+    for k in range(0, len(rows), DEAL):
+        where = (s[k : k + DEAL].view(U) % U(buckets)).astype(np.uint16)
+        order = np.argsort(where, kind="stable")
+        own, part = where[order], np.ascontiguousarray(rows[k : k + DEAL][order])
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+        blobs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * rows.itemsize).astype(np.int32)), pa.py_buffer(part.view(np.uint8))])
+        yield pa.RecordBatch.from_arrays([pa.array(own[at[:-1]].astype(np.int32)), blobs], ["bucket", "blob"])
+
+
+def _of_buckets(dtype, work):
+    """work(rows of a bucket) for each bucket, from (bucket, blob) sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and bucket != last:
+                    yield from work(np.concatenate(held))
+                    held = []
+                last = bucket
+                held.append(np.frombuffer(blob.as_py(), dtype))
+        if held:
+            yield from work(np.concatenate(held))
 
     return run
 
 
-def _prefixes(width: int, percent: int, hot):
+def _head_blobs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = hot.value
+        for batch in batches:
+            s = textnum.column_bytes(batch.column(0))
+            s = s[0][int(s[1][0]) : int(s[1][-1])].view(np.int64)
+            yield from _blobs(s, s, buckets)
+
+    return run
+
+
+def _often(hot_from: int):
+    """Shingles with hot_from rows or more, and how many."""
+
+    def work(s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        s = np.sort(s)
+        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        count = np.diff(np.concatenate([at, [len(s)]]))
+        yield pa.RecordBatch.from_arrays([pa.array(s[at][count >= hot_from]), pa.array(count[count >= hot_from])], ["s", "count"])
+
+    return _of_buckets(np.int64, work)
+
+
+def _prefixes(width: int, percent: int, hot, buckets: int):
+    """Entries of the documents' windows, dealt out by shingle. Of documents with equal sets that a task meets together, the one with the least id has entries."""
+
+    def dealt(held):
+        key, name, n = (np.array([h[k] for h in held], dtype=t) for k, t in ((0, np.int64), (1, np.int64), (2, np.int32)))
+        order = np.lexsort((name, n, key))
+        order = order[np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (n[order][1:] != n[order][:-1])])]
+        length = np.array([len(held[k][3]) for k in order.tolist()])
+        s = np.concatenate([held[k][3] for k in order.tolist()])
+        rows = np.empty(len(s), ENTRY)
+        for c, x in (("id", name), ("k", key), ("n", n)):
+            rows[c] = np.repeat(x[order], length)
+        rows["s"], rows["p"] = s, np.arange(len(s)) - np.repeat(np.cumsum(length) - length, length)
+        return _blobs(rows, s, buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, held, size = hot.value, [], 0
         for b in batches:
-            out = []
-            for s in textnum.shingle_sets(b.column(1), width):
-                if len(frequent) and len(s):
+            for name, s in zip(b.column(0).to_pylist(), textnum.shingle_sets(b.column(1), width), strict=True):
+                if name is None or not len(s):
+                    continue
+                key, n = set_key(s), len(s)
+                if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
-                out.append(s[: window(len(s), percent)] if len(s) else s)
-            lengths = np.concatenate([[0], np.cumsum([len(h) for h in out])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*out, np.zeros(0, np.int64)])))], ["id", "prefix"])
+                held.append((key, name, n, s[: window(n, percent)].copy()))
+                size += len(held[-1][3])
+                if size >= DEAL:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if held:
+            yield from dealt(held)
 
     return run
 
 
+def _pack_pairs(s, a, b, big):
+    return pa.RecordBatch.from_arrays([pa.array(s), pa.array(a), pa.array(b), pa.array(np.full(len(a), big))], ["s", "a", "b", "big"])
+
+
+def _pairs(percent: int, small: int, s, c, n, dn, p, comp) -> Iterator[pa.RecordBatch]:
+    """Candidates of small regions, and the members of larger ones (big), from rows sorted by region s."""
+    a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    length = np.diff(np.concatenate([start, [len(s)]]))
+    length = np.repeat(length, length)
+    large = length > small
+    over_s, over_c = s[large], c[large]
+    for lag in range(1, int(length[~large].max(initial=1))):
+        if not lag & (lag - 1):  # regions that have no more pairs go
+            more = (length > lag) & (length <= small)
+            s, c, n, dn, p, comp, length = (x[more] for x in (s, c, n, dn, p, comp, length))
+        i = np.flatnonzero(s[lag:] == s[:-lag])
+        j = i + lag
+        apart = n[i] + n[j] - 2 * needed(n[i], n[j], percent)  # most that linked sets differ by
+        shared = (dn[i] + dn[j] - apart + 1) // 2  # so least that their differences from the pivot share
+        good = (np.minimum(dn[i] - p[i], dn[j] - p[j]) >= shared) & (apart >= np.abs(n[i] - n[j])) & (comp[i] != comp[j])
+        a_out.append(np.minimum(c[i], c[j])[good])
+        b_out.append(np.maximum(c[i], c[j])[good])
+    a, b = np.concatenate(a_out), np.concatenate(b_out)
+    if len(a):
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        a, b = a[once], b[once]
+    yield _pack_pairs(np.zeros(len(a), np.int64), a, b, False)
+    yield _pack_pairs(over_s, over_c, over_c, True)
+
+
+def _first_pairs(percent: int, small: int):
+    """Candidates and big regions of the first level, from dealt entries. Equal sets have equal windows, so in each region the least id stands for them: their class's."""
+
+    def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = rows[np.argsort(rows["s"], kind="stable")]
+        same = rows["s"][1:] == rows["s"][:-1]
+        rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # a shingle of one row joins nothing
+        rows = rows[np.lexsort((rows["id"], rows["n"], rows["k"], rows["s"]))]
+        once = np.ones(len(rows), dtype=bool)
+        once[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("s", "k", "n")], axis=0)
+        rows = rows[once]
+        s, c, n, p = (rows[x].astype(np.int64) for x in ("s", "id", "n", "p"))
+        order = np.lexsort((c, s))
+        s, c, n, p = s[order], c[order], n[order], p[order]
+        yield from _pairs(percent, small, s, c, n, n, p, c)
+
+    return _of_buckets(ENTRY, work)
+
+
 def _region_pairs(percent: int, small: int):
     """Candidates of small regions, and the members of larger ones (big), from rows (s, id, n, dn, p, comp) sorted by region s."""
 
-    def pack(s, a, b, big):
-        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(a), pa.array(b), pa.array(np.full(len(a), big))], ["s", "a", "b", "big"])
-
-    def pairs(s, c, n, dn, p, comp):
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        length = np.diff(np.concatenate([start, [len(s)]]))
-        ok = np.repeat(length <= small, length)
-        for lag in range(1, int(length[length <= small].max(initial=1))):
-            i = np.flatnonzero((s[lag:] == s[:-lag]) & ok[:-lag])
-            j = i + lag
-            apart = n[i] + n[j] - 2 * needed(n[i], n[j], percent)  # most that linked sets differ by
-            shared = (dn[i] + dn[j] - apart + 1) // 2  # so least that their differences from the pivot share
-            good = (np.minimum(dn[i] - p[i], dn[j] - p[j]) >= shared) & (apart >= np.abs(n[i] - n[j])) & (comp[i] != comp[j])
-            a_out.append(np.minimum(c[i], c[j])[good])
-            b_out.append(np.maximum(c[i], c[j])[good])
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-        yield pack(np.zeros(len(a), np.int64), a, b, False)
-        yield pack(s[~ok], c[~ok], c[~ok], True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, None  # rows of the last region, which may go on; a large region whose rows pass through
         for batch in batches:
             rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             if large is not None and len(rows[0]):
                 more = int(np.searchsorted(rows[0], large, side="right"))
-                yield pack(rows[0][:more], rows[1][:more], rows[1][:more], True)
+                yield _pack_pairs(rows[0][:more], rows[1][:more], rows[1][:more], True)
                 rows = [x[more:] for x in rows]
             if not len(rows[0]):
                 continue
@@ -132,14 +241,14 @@ def _region_pairs(percent: int, small: int):
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if cut:
-                yield from pairs(*(x[:cut] for x in rows))
+                yield from _pairs(percent, small, *(x[:cut] for x in rows))
             held = [x[cut:] for x in rows]
             if len(held[0]) > small:
                 large = held[0][-1]
-                yield pack(held[0], held[1], held[1], True)
+                yield _pack_pairs(held[0], held[1], held[1], True)
                 held = None
         if held is not None:
-            yield from pairs(*held)
+            yield from _pairs(percent, small, *held)
 
     return run
 
@@ -277,16 +386,17 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
     spark = df.sparkSession
     common.ship(spark)
     docs = df.select("doc_id", common.text_or_empty().alias("text"))
-    heads = common.keep(docs.mapInArrow(_profiles(width, percent), "doc_id long, n long, k1 long, k2 long, head array<long>, sketch array<long>"), "jaccard-heads")
+    heads = common.keep(docs.mapInArrow(_profiles(width, percent), "doc_id long, n long, k1 long, k2 long, head binary, sketch array<long>"), "jaccard-heads")
     profile = common.keep(heads.select("doc_id", "n", "k1", "k2"), "jaccard-profiles")
     classes = common.keep(profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
 
-    counts = heads.where("n > 0 AND doc_id IS NOT NULL").select(F.explode("head").alias("s")).groupBy("s").count().where(F.col("count") >= hot_from)
+    buckets = min(1 << 16, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by_bucket = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
+    counted = by_bucket(heads.where("n > 0 AND doc_id IS NOT NULL").select("head").mapInArrow(_head_blobs(buckets), "bucket int, blob binary"))
+    counts = counted.mapInArrow(_often(hot_from), "s long, count long")
     hot = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(max_hot).collect()], dtype=np.int64))
     hot_shared = spark.sparkContext.broadcast(hot)
-    prefixes = docs.mapInArrow(_prefixes(width, percent, hot_shared), "id long, prefix array<long>")
-    entries = prefixes.join(classes.select("id", "n"), "id").dropDuplicates(["id", "n"]).select("id", "n", F.posexplode("prefix").alias("p", "s"))
-    regions = entries.select("s", "id", "n", F.col("n").alias("dn"), F.col("p").cast("long").alias("p"), F.col("id").alias("comp"))
+    entries = docs.mapInArrow(_prefixes(width, percent, hot_shared, buckets), "bucket int, blob binary")
 
     def met(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition("s").sortWithinPartitions("s", "id")
@@ -311,7 +421,7 @@ def similarity_classes(df: DataFrame, width: int = 5, percent: int = 80, hot_fro
         used.extend([one, two])
         return _edges(one).unionByName(_edges(two))
 
-    found = met(regions)
+    found = common.keep(by_bucket(entries).mapInArrow(_first_pairs(percent, small), "s long, a long, b long, big boolean"), "jaccard-regions")
     met_ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id")))
     sketches = common.sift(heads.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "sketch"), common.sieve(met_ids, "id"), "id")
     sketches = common.keep(sketches.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "jaccard-sketches")

@@ -50,12 +50,11 @@ class Pieces:
     """Token ids of texts, with the ids of pieces seen before kept: a table of slots by hash, as numbers of pieces. Piece 1 is the end token, 0 none."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)  # for pieces that are lower-cased and split already
-        self.words.normalizer = normalizers.Sequence([])
+        self.words = Tokenizer(self.tokenizer.model)  # for pieces that are lower-cased and split already
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.final = np.zeros(1 << 16, dtype=bool)  # tokens that end a word
         self.final[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -163,13 +162,14 @@ def _tokens(path: str):
     """Rows (doc_id, ids) of the documents and, last, a row (null, frequencies) of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textnum.trim()
         if path not in _pieces:
             _pieces[path] = Pieces(path)
         seen, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
         mark = np.zeros(VOCABULARY, np.int32)
         for batch in batches:
             data, offsets = textnum.column_bytes(batch.column(1))
-            for i, j in textnum.chunks(offsets):
+            for i, j in textnum.chunks(offsets, textnum.PART):
                 ids, at = _pieces[path].encode(data, offsets[i : j + 1])
                 places, once = np.arange(int(np.diff(at).max()), dtype=np.int32), []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, html_text, jaccard, mixing, packing, quality, secrets, sharding, suffix_dedup, webp
+from folio.llm import exact_dedup, html_text, jaccard, mixing, packing, quality, secrets, sharding, suffix_dedup, textnum, webp
 
 SCHEMA = "doc_id long, text string, lang string, source string, key string, size string"
 
@@ -228,6 +228,35 @@ def test_secrets(docs, none, tmp_path):
     assert secrets.secret_spans(none).count() == 0
 
 
+def test_jaccard_dealt_entries():
+    """Entries move as a few blobs, not as a row each; every linked pair of different sets meets, and a region over the limit is whole."""
+    r = random.Random(4)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(30)]
+    texts = {i: " ".join(w) for i, w in enumerate(base)} | {100 + i: " ".join([*w[:-1], "x"]) for i, w in enumerate(base)} | {200 + i: " ".join(w) for i, w in enumerate(base)}
+    texts |= {300 + i: " ".join([*base[0][: 59 - i % 3], f"y{i}"]) for i in range(12)}
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None]), pa.array([*texts.values(), "a null id"])], ["doc_id", "text"])
+    sets = dict(zip(texts, textnum.shingle_sets(batch.column(1), 5), strict=False))
+    hot = type("Hot", (), {"value": np.sort(sets[0][:5])})
+    dealt = pa.Table.from_batches(list(jaccard._prefixes(5, 80, hot, 8)(iter([batch, batch])))).sort_by("bucket")
+    entries = sum(len(x.as_py()) for x in dealt["blob"]) // jaccard.ENTRY.itemsize
+    assert dealt.num_rows <= 8 < 800 < entries
+    stand = {i: min(j for j in sets if np.array_equal(sets[i], sets[j])) for i in sets}
+    for small, large in ((256, False), (3, True)):
+        out = [x for b in jaccard._first_pairs(80, small)(iter(dealt.combine_chunks().to_batches())) for x in b.to_pylist()]
+        pairs = {(x["a"], x["b"]) for x in out if not x["big"]}
+        big = {}
+        for x in out:
+            if x["big"]:
+                big.setdefault(x["s"], set()).add(x["a"])
+        assert bool(big) == large and {i for p in pairs for i in p} <= set(stand.values())
+        linked = {(a, b) for a in set(stand.values()) for b in set(stand.values()) if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+        assert len(linked) > 60 and all(p in pairs or any(set(p) <= m for m in big.values()) for p in linked)
+    heads = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets.values()])], ["head"])
+    counted = pa.Table.from_batches(list(jaccard._head_blobs(8)(iter([heads])))).sort_by("bucket").combine_chunks().to_batches()
+    often = {x["s"]: x["count"] for b in jaccard._often(10)(iter(counted)) for x in b.to_pylist()}
+    assert often == {s: n for s, n in Counter(np.concatenate(list(sets.values())).tolist()).items() if n >= 10}
+
+
 def test_packing(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
