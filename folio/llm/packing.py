@@ -5,7 +5,8 @@
   splitter left out, which would only lower-case them), and the ids are put together by array gathers. Texts beside a special token's string are tokenised whole.
 * Statistics: in how many documents each token id occurs, over all documents (a number an id of the vocabulary, so a bounded broadcast).
 * Routing: documents are put in the order of two min-hashes of the token ids they share with others, rare ids preferred (weight idf squared), and dealt by
-  ranges of it. So documents with rare terms in common meet whatever the layout of the files; a group that is too large for a task goes to several.
+  ranges of it, of about equal tokens by a sample that the tokens' tasks take. So documents with rare terms in common meet whatever the layout of the files;
+  a group that is too large for a task goes to several.
 * Shards: a task packs its documents in blocks of about `block_tokens` tokens (half to one and a half times, or all there is). A block has an inverted
   index of BM25 weights, with the statistics of the whole table. A seed document (the first unused one) asks for all of its terms but the end token; unused
   documents of the block by falling score fill its window. The document that reaches the window's end is cut there and its rest is the next seed; so is
@@ -13,7 +14,7 @@
   whose lengths are powers of two. So no sequence has padding, and each id lies in one piece.
 
 Neighbours in other blocks are not seen (README has the share). A task holds one and a half blocks and a document. Results depend on how the table is
-split into scan tasks where keys tie, and on the ranges Spark samples, not on which executor runs them.
+split into scan tasks and, where scores tie but for rounding, on the machine's arithmetic.
 
 Nulls: a null text is empty and has the end token alone; a null doc_id stays null. Repeated rows are packed one by one. An empty
 table gives no rows. Other columns are ignored.
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +43,34 @@ KIND[[*range(65, 91), *range(97, 123)]] = 1
 KIND[ord("'")] = 0
 KIND[textnum.SPACE] = 3
 CACHE = 1 << 20  # pieces a worker remembers
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # letters that NFC leaves alone and that lower-case one by one
+LATIN = np.zeros(256, dtype=np.uint8)  # 0: not in a Latin letter, 1: one by itself, or a space, 2: may begin one, 3: may end one
+LATIN[[*np.flatnonzero(KIND == 1), 32]] = 1
+LATIN[0xC3:0xCA] = 2
+LATIN[0x80:0xC0] = 3
+STRIDE = 32  # of a task's documents one in so many is in the sample for the ranges, and the first so many
+
+
+def spaced(d: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces d[begin:end] with a space behind each, and where they begin and end."""
+    length = end - begin + 1
+    at = np.concatenate([[0], np.cumsum(length)])
+    place = np.repeat(begin - at[:-1], length) + np.arange(at[-1])
+    place[at[1:] - 1] = 0
+    text = d[place]
+    text[at[1:] - 1] = 32
+    return text, at
+
+
+def latin(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which pieces have Latin letters only, such as NFC leaves alone and as lower-case one by one: A-Z, a-z, U+00C0 to U+024F but U+00D7, U+00F7 and U+0130."""
+    kind = LATIN[text]
+    other = kind == 0
+    other[:-1] |= (kind[:-1] == 2) & (kind[1:] != 3)
+    other[1:] |= (kind[1:] == 3) & (kind[:-1] != 2)
+    lead = np.flatnonzero(kind[:-1] == 2)
+    pair = text[lead].astype(np.int32) << 8 | text[lead + 1]
+    other[lead[(pair == 0xC397) | (pair == 0xC3B7) | (pair == 0xC4B0) | (pair > 0xC98F)]] = True
+    return ~np.logical_or.reduceat(other, starts)
 
 
 class Pieces:
@@ -81,19 +108,20 @@ class Pieces:
             other = other[(self.hashes[x] != hashes[other]) & (x > 0)]
         return at
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Tokenises new distinct pieces, many in one string. A piece of plain letters is one word to the tokenizer, and a word's last id tells that it is one."""
-        ids, owners = [], []
-        letters = np.array([LATIN.fullmatch(t) is not None for t in texts], dtype=bool)
+    def learn(self, hashes: np.ndarray, d: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Tokenises new distinct pieces d[begin:end], many in one string. A piece of plain letters is one word to the tokenizer, and a word's last id tells that it is one."""
+        text, at = spaced(d, begin, end)
+        letters, ids, owners = latin(text, at[:-1]), [], []
         for plain in (True, False):
             which = np.flatnonzero(letters == plain)
             for k in range(0, len(which), 1000):
                 own = which[k : k + 1000]
-                part = [texts[x] for x in own.tolist()]
                 if plain:
-                    found = np.array(self.words.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, dtype=np.uint16)
+                    part = text if len(own) == len(letters) else spaced(d, begin[own], end[own])[0]
+                    found = np.array(self.words.encode_batch_fast([part.tobytes().decode().lower()], add_special_tokens=False)[0].ids, dtype=np.uint16)
                     owner = np.concatenate([[0], np.cumsum(self.final[found])[:-1]])
                 else:
+                    part = [d[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(begin[own].tolist(), end[own].tolist(), strict=True)]
                     e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
                     found, starts = np.array(e.ids, dtype=np.uint16), np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
                     owner = np.searchsorted(starts, np.array([x for x, _ in e.offsets]), side="right") - 1
@@ -101,8 +129,8 @@ class Pieces:
                 owners.append(own[owner])
         ids, owners = np.concatenate([np.zeros(0, np.uint16), *ids]), np.concatenate([np.zeros(0, np.int64), *owners])
         order = np.argsort(owners, kind="stable")
-        length = np.bincount(owners, minlength=len(texts))
-        own = slice(self.n, self.n + len(texts))
+        length = np.bincount(owners, minlength=len(hashes))
+        own = slice(self.n, self.n + len(hashes))
         self.hashes[own], self.first[own], self.length[own] = hashes, np.cumsum(length) - length + self.n_ids, length
         if self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint16)])
@@ -142,7 +170,7 @@ class Pieces:
                 self.forget(max(CACHE, len(distinct) + 2))
                 missing = np.arange(len(h))
             s = missing[sample]
-            self.learn(distinct, [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)])
+            self.learn(distinct, d, begin[s], end[s])
             at[missing] = self.find(h[missing])
         last = np.searchsorted(begin, rel[1:]) + np.arange(len(rel) - 1)  # where the documents' end tokens come
         own = np.ones(len(at) + len(last), dtype=bool)
@@ -159,13 +187,13 @@ _pieces: dict[str, Pieces] = {}
 
 
 def _tokens(path: str):
-    """Rows (doc_id, ids) of the documents and, last, a row (null, frequencies) of the task."""
+    """Rows (doc_id, ids) of the documents and, last, a row (null, frequencies) of the task with a sample: numbers of tokens stood for, of distinct ids, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         textnum.trim()
         if path not in _pieces:
             _pieces[path] = Pieces(path)
-        seen, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
+        seen, n, total, sample = np.zeros(VOCABULARY, np.int64), 0, 0, []
         mark = np.zeros(VOCABULARY, np.int32)
         for batch in batches:
             data, offsets = textnum.column_bytes(batch.column(1))
@@ -177,11 +205,14 @@ def _tokens(path: str):
                     mark[x] = places[: b - a]
                     once.append(x[mark[x] == places[: b - a]])  # one place of each of the document's ids
                 seen += np.bincount(np.concatenate(once), minlength=VOCABULARY)
+                sample += [((STRIDE if n + k >= STRIDE else 1) * int(at[k + 1] - at[k]), once[k]) for k in range(j - i) if n + k < STRIDE or (n + k) % STRIDE == 0]
                 n += j - i
                 total += len(ids)
                 blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), blobs, pa.nulls(j - i, pa.int64())], ["doc_id", "ids", "n"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([np.append(seen, total).astype("<u8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["doc_id", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), blobs, pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.binary())], ["doc_id", "ids", "n", "sample"])
+        some = np.array([[w, len(x)] for w, x in sample], "<i8").tobytes() + b"".join(x.tobytes() for _, x in sample)
+        last = [np.append(seen, total).astype("<u8").tobytes(), some]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array(last[:1], pa.binary()), pa.array([n], pa.int64()), pa.array(last[1:], pa.binary())], ["doc_id", "ids", "n", "sample"])
 
     return run
 
@@ -194,29 +225,60 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(f[at])], ["id", "f"])
 
 
+def keys_of(codes: np.ndarray, ids: np.ndarray, starts: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A number for each document: its least codes, of the first row and then of the second, and 31 bits that part equal ones."""
+    first, second = (np.minimum.reduceat(c[ids], starts).astype(np.int64) for c in codes)
+    return first << 47 | second << 31 | (textnum.mix(row.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+
+
+def _sampled(shared):
+    """(key, tokens stood for) of the documents in the tasks' samples of n documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if m := min(n, STRIDE) + max(0, (n - 1) // STRIDE):
+                    weight, length = np.frombuffer(blob, "<i8", 2 * m).reshape(m, 2).T
+                    row = (TaskContext.get().partitionId() << 32) + np.arange(m)
+                    keys = keys_of(shared.value, np.frombuffer(blob, "<u2", offset=16 * m), np.cumsum(length) - length, row)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(weight)], ["key", "weight"])
+
+    return run
+
+
+def range_ends(keys: np.ndarray, weights: np.ndarray, parts: int) -> np.ndarray:
+    """Keys at which ranges of about equal weight end."""
+    order = np.argsort(keys)
+    reached = np.cumsum(weights[order])
+    return keys[order][np.searchsorted(reached, reached[-1] * np.arange(1, parts) / parts)] if parts > 1 and len(keys) else np.zeros(0, np.int64)
+
+
 def _route(shared):
-    """Adds the keys by which documents with rare shared terms meet, and a number of the row."""
+    """Adds the key by which documents with rare shared terms meet, and the number of its range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, row = shared.value, TaskContext.get().partitionId() << 32
+        (codes, ends), row = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             if not batch.num_rows:
                 continue
-            docs = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(1)]
-            ids, starts = np.concatenate(docs), np.cumsum([0, *map(len, docs[:-1])])
-            least = [pa.array(np.minimum.reduceat(k[ids], starts)) for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *least, pa.array(row + np.arange(len(docs)))], ["doc_id", "ids", "first", "second", "row"])
-            row += len(docs)
+            data, offsets = textnum.column_bytes(batch.column(1))
+            lo = int(offsets[0])
+            keys = keys_of(codes, data[lo : int(offsets[-1])].view(np.uint16), (offsets[:-1] - lo) // 2, row + np.arange(len(batch)))
+            part = np.searchsorted(ends, keys).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(part)], ["doc_id", "ids", "key", "part"])
+            row += len(batch)
 
     return run
 
 
-def route_keys(idf: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Two rows of a number for each token id: the least of a document's is its key. Ids of one document, and the end token, have none."""
+def route_codes(idf: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Two rows of a number for each token id: the least of a document's is its code. Ids of one document, and the end token, have the largest."""
     u = np.random.default_rng(5).random((2, len(f)))
     keys = -np.log1p(-u) / np.maximum(idf, 1e-6) ** 2
     keys[:, f < 2] = keys[:, END] = np.inf
-    return keys
+    codes = np.argsort(np.argsort(keys)).astype(np.int32)
+    codes[np.isinf(keys)] = (1 << 16) - 1
+    return codes
 
 
 class Index:
@@ -224,10 +286,13 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         lengths = np.array([len(x) for x in docs], dtype=np.float64)
-        pair, tf = np.unique(np.repeat(np.arange(len(docs), dtype=np.int64) << 16, lengths.astype(np.int64)) | np.concatenate(docs), return_counts=True)
-        term = pair & 0xFFFF
+        number = np.arange(len(docs), dtype=np.uint32 if len(docs) <= 1 << 16 else np.uint64) << 16
+        pair = np.sort(np.repeat(number, lengths.astype(np.int64)) | np.concatenate(docs))
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        pair, tf = pair[first], np.diff(np.append(first, len(pair)))
+        term = (pair & 0xFFFF).astype(np.int64)
         pair, tf, term = pair[term != END], tf[term != END], term[term != END]
-        doc = pair >> 16
+        doc = (pair >> 16).astype(np.int64)
         norm = k1 * (1 - b + b * lengths / max(mean, 1))
         weight = idf[term] * tf * (k1 + 1) / (tf + norm[doc])
         self.doc_at, self.term = np.searchsorted(doc, np.arange(len(docs) + 1)), term
@@ -239,8 +304,8 @@ class Index:
         self._rows()
 
     def _rows(self) -> None:
-        """Terms of a third of the documents or more have a whole row of weights."""
-        often = np.flatnonzero(np.diff(self.post_at) * 3 >= max(len(self.left), 3))
+        """Terms of a sixth of the documents or more have a whole row of weights."""
+        often = np.flatnonzero(np.diff(self.post_at) * 6 >= max(len(self.left), 6))
         self.row = np.full(VOCABULARY, -1)
         self.row[often] = np.arange(len(often))
         self.whole = np.zeros((len(often), len(self.left)))
@@ -263,9 +328,9 @@ class Index:
         if not len(terms):
             return np.zeros(self.n)
         row = self.row[terms]
-        score, terms = np.zeros(len(self.left)), terms[row < 0]
-        for k in row[row >= 0].tolist():
-            score += self.whole[k]
+        own = np.zeros(len(self.whole))
+        own[row[row >= 0]] = 1
+        score, terms = own @ self.whole, terms[row < 0]
         if len(terms):
             spans = list(zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist(), strict=True))
             score += np.bincount(np.concatenate([self.post_doc[p:q] for p, q in spans]), np.concatenate([self.post_weight[p:q] for p, q in spans]), len(self.left))
@@ -396,17 +461,21 @@ def pack(df: DataFrame, tokenizer: str | None = None, window: int = 4096, block_
         import public_tokenizers
 
         tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
-    table = common.keep(df.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(_tokens(tokenizer), "doc_id long, ids binary, n long"), "pack-tokens")
+    table = common.keep(df.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(_tokens(tokenizer), "doc_id long, ids binary, n long, sample binary"), "pack-tokens")
     found = {r["id"]: r["f"] for r in table.where("n IS NOT NULL").select("ids", "n").mapInArrow(_frequencies, "id long, f long").groupBy("id").agg(F.sum("f").alias("f")).collect()}
     total, n, f = found.get(VOCABULARY, 0), found.get(VOCABULARY + 1, 0), np.zeros(1 << 16)
     for k, v in found.items():
         if k < VOCABULARY:
             f[k] = v
     idf = np.log1p((n - f + 0.5) / (f + 0.5))
-    keys, shared = spark.sparkContext.broadcast(route_keys(idf, f)), spark.sparkContext.broadcast((idf, total / max(n, 1)))
-    routed = table.where("n IS NULL").select("doc_id", "ids").mapInArrow(_route(keys), "doc_id long, ids binary, first double, second double, row long")
-    order = ["first", "second", "row"]
-    routed = routed.repartitionByRange(max(1, -(-total // (2 * block_tokens))), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    parts, codes = max(1, -(-total // (2 * block_tokens))), spark.sparkContext.broadcast(route_codes(idf, f))
+    ends = np.zeros(0, np.int64)
+    if parts > 1:
+        sample = table.where("n IS NOT NULL").select("n", "sample").mapInArrow(_sampled(codes), "key long, weight long").toArrow()
+        ends = range_ends(sample["key"].to_numpy(), sample["weight"].to_numpy(), parts)
+    ranges, shared = spark.sparkContext.broadcast((codes.value, ends)), spark.sparkContext.broadcast((idf, total / max(n, 1)))
+    routed = table.where("n IS NULL").select("doc_id", "ids").mapInArrow(_route(ranges), "doc_id long, ids binary, key long, part int")
+    routed = routed.repartitionById(parts, "part").sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
     return routed.mapInArrow(_pack(window, block_tokens, shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -302,6 +302,32 @@ def test_packing_pieces(monkeypatch):
     assert pieces.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist() == [*whole.encode(data.decode(), add_special_tokens=False).ids, 2]
 
 
+def test_packing_latin():
+    plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+    pieces = ["a" * (k % 3) + chr(k) + "Z" * (k % 2) for k in range(33, 0x3000) if not chr(k).isspace()] + ["Élan", "x1", "漢", "😀"]
+    data = [*(x.encode() for x in pieces), b"\xc3", b"\xc3a", b"\x89a", b"a\xc3\xc3\x89"]  # the last ones are no characters
+    ends = np.cumsum([len(x) for x in data])
+    text, at = packing.spaced(np.frombuffer(b"".join(data), np.uint8), ends - [len(x) for x in data], ends)
+    assert text.tobytes() == b" ".join(data) + b" "
+    assert packing.latin(text, at[:-1]).tolist() == [plain.fullmatch(x) is not None for x in pieces] + [False] * 4
+
+
+def test_packing_ranges(spark):
+    r = random.Random(13)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(500)]
+    texts = [" ".join(r.choices(words, k=k)) for k in [1000] * 60 + [2] * 6000] + ["same text"] * 3000
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(k, t, None, None, None, None) for k, t in enumerate(texts)], 3), SCHEMA)
+    packed = packing.pack(docs, window=64, block_tokens=20000)
+    assert "rangepartitioning" not in packed._jdf.queryExecution().toString().lower()  # which would read and route all tokens once more for its sample
+    tokens = Counter()
+    for x in packed.collect():
+        tokens[x["sequence_id"] >> 32] += x["length"]
+    mean = sum(tokens.values()) / len(tokens)
+    assert len(tokens) > 3 and max(tokens.values()) < 1.7 * mean and min(tokens.values()) > 0.4 * mean
+    keys, weights = np.array([5, 1, 9, 3]), np.array([1, 1, 6, 1])
+    assert packing.range_ends(keys, weights, 3).tolist() == [5, 9] and packing.range_ends(keys[:0], weights[:0], 3).tolist() == []
+
+
 def test_packing_neighbours():
     r = np.random.default_rng(4)
     docs = [np.append(r.integers(3, 400, r.integers(1, 120)), 2).astype("<u2") for _ in range(150)] + [np.array([2], "<u2")]
